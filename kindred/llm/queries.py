@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, mixing, token_counts
+from . import decontam, langid, mixing, pii, token_counts, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_langid": langid.op1_langid,
+        "op3_pii": pii.op3_pii,
+        "op4_warc": warc.op4_warc,
         "op6_token_counts": token_counts.op6_token_counts,
         "op9_decontam": decontam.op9_decontam,
         "op10_mixing": mixing.op10_mixing,
