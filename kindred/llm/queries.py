@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, mixing, pii, token_counts, warc
+from . import decontam, langid, mixing, neardup, pii, quality, search, substrings, token_counts, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_langid": langid.op1_langid,
+        "op2_search": search.op2_search,
         "op3_pii": pii.op3_pii,
         "op4_warc": warc.op4_warc,
+        "op5_substrings": substrings.op5_substrings,
         "op6_token_counts": token_counts.op6_token_counts,
+        "op7_neardup": neardup.op7_neardup,
+        "op8_quality": quality.op8_quality,
         "op9_decontam": decontam.op9_decontam,
         "op10_mixing": mixing.op10_mixing,
     }
