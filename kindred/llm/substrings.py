@@ -94,6 +94,8 @@ ROWS = "key long, context long, doc long, at long"
 def _anchor_rows(size: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            if b.column(0).null_count:
+                b = b.filter(b.column(0).is_valid())
             ids = b.column(0).to_numpy()
             data, offsets = B.buffers(b.column(1))
             for i, j in B.slices(offsets, 1 << 20):
@@ -203,6 +205,7 @@ CONTEXTS = "key long, doc long, at long, bytes binary"
 def _context_rows(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            b = b.filter(b.column(2).is_valid())
             data, offsets = B.buffers(b.column(1))
             ids, asked = b.column(0).to_numpy(), b.column(2)
             keys, docs, ats, starts, ends = [], [], [], [], []
@@ -374,11 +377,11 @@ def repeated_spans(docs: DataFrame, *, size: int = SIZE, gram: int = GRAM, id_co
     n = shuffle_parts(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), text.alias("text")).repartition(n, "doc")
-    rows = texts.where(F.col("doc").isNotNull()) if docs.schema[id_col].nullable else texts
-    found = rows.mapInArrow(_anchor_rows(size, gram), ROWS).repartition(n, "key").mapInArrow(_first_contexts(size), FOUND)
+    # filters on ids or requests are left to the functions: pushed below it, they would make another shuffle of texts
+    found = texts.mapInArrow(_anchor_rows(size, gram), ROWS).repartition(n, "key").mapInArrow(_first_contexts(size), FOUND)
     packed = found.repartition(n, "doc").mapInArrow(_by_document, PACKED)
     asked = packed.where(F.octet_length("wanted") > 0).select("doc", "wanted").hint("shuffle_hash")
-    contexts = texts.join(asked, "doc").select("doc", "text", "wanted").mapInArrow(_context_rows(size), CONTEXTS)
+    contexts = texts.join(asked, "doc", "left").select("doc", "text", "wanted").mapInArrow(_context_rows(size), CONTEXTS)
     more = contexts.repartition(n, "key").mapInArrow(_resolve(size), FOUND).repartition(n, "doc").mapInArrow(_by_document, PACKED)
     one = packed.select("doc", F.col("removed").alias("one")).hint("shuffle_hash")
     two = more.select("doc", F.col("removed").alias("two")).hint("shuffle_hash")
