@@ -27,6 +27,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -229,6 +230,48 @@ def _confirm(size: int, percent: int):
     return run
 
 
+#: Bits of the sieve of candidate ids: a fixed size, whatever the number of ids.
+SIEVE_BITS = 1 << 23
+
+
+def _sieve_places(ids: np.ndarray) -> list[np.ndarray]:
+    h = B.mix(ids.astype(np.int64).view(np.uint64) + np.uint64(0x51ED270B))
+    low = np.uint64(SIEVE_BITS - 1)
+    return [(h & low).astype(np.int64), ((h >> np.uint64(32)) & low).astype(np.int64)]
+
+
+def _sieved(texts: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows of texts whose node may be among the groups' nodes, before texts are shuffled.
+
+    A Bloom filter of a fixed megabyte: where it fills up, more rows pass, none is lost.
+    """
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(SIEVE_BITS, bool)
+        for b in batches:
+            for at in _sieve_places(b.column(0).to_numpy()):
+                bits[at] = True
+        words = np.packbits(bits).view(np.int64)
+        some = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(words[some])], ["at", "word"])
+
+    words = np.zeros(SIEVE_BITS // 64, np.int64)
+    merged = groups.select("node").mapInArrow(mark, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word"))
+    for r in merged.toLocalIterator():  # at most SIEVE_BITS / 64 rows
+        words[r.at] = r.word
+    shared = texts.sparkSession.sparkContext.broadcast(words)
+
+    @F.pandas_udf("boolean")
+    def may(node: pd.Series) -> pd.Series:
+        ids, bits = node.fillna(0).to_numpy(np.int64), shared.value.view(np.uint8)
+        ok = node.notna().to_numpy()
+        for at in _sieve_places(ids):
+            ok &= (bits[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)
+        return pd.Series(ok)
+
+    return texts.where(may("node"))
+
+
 def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of docs."""
     spark = docs.sparkSession
@@ -249,7 +292,7 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, id_col
     sizes = groups.groupBy("component").agg(F.count("*").alias("n"))
     cells = in_blocks(groups, "component", sizes).select("node", "cell")
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
-    found = by_cell(texts.join(cells, "node").select("cell", "node", "text"), parts).mapInArrow(_confirm(size, percent), "a long, b long")
+    found = by_cell(_sieved(texts, groups).join(cells, "node").select("cell", "node", "text"), parts).mapInArrow(_confirm(size, percent), "a long, b long")
     exact = components(found)
     # 3. every row gets its set's component
     label = nodes.join(exact, "node", "left").select(*same, F.coalesce("component", "node").alias("component_id"))
