@@ -29,7 +29,7 @@ from .common import table, written
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_COPIES = 3
 #: Documents of a source that are rounded together; a source of more has several chunks.
-CHUNK = 20_000
+CHUNK = 2_000
 
 
 def word_counts(texts: pa.Array) -> np.ndarray:
