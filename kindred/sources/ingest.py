@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Separators between title and artist, in the order they are tried.
 SEPARATORS = (" - ", " – ", " — ", "|", "\t")
@@ -89,7 +90,7 @@ def unique_json_keys(pairs: list) -> dict:
     return out
 
 
-@F.udf("boolean")
+@F.udf(T.BooleanType())
 def strict_json(s: str | None) -> bool:
     """SC25: parses with unique keys and finite numbers."""
     import json
