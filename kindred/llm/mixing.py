@@ -10,7 +10,7 @@ the running sum stays next to the running target.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order;
 a source without words gets target 0; documents of size 0 take 0; repeated rows count each;
-an empty table gives an empty result.  Copies never exceed ceil(rate) <= 3.
+an empty table gives an empty result.  Copies never exceed `most`.
 """
 
 from __future__ import annotations
@@ -98,15 +98,37 @@ def balance(cells: DataFrame, tolerance: float = 1e-10, rounds: int = 60) -> Dat
     return state.withColumn("rate", F.when(some, F.exp("lam")).otherwise(0.0)).drop("lam")
 
 
-def round_copies(size: np.ndarray, rate: float, order: np.ndarray) -> np.ndarray:
-    """Whole copies, floor or ceil of the rate, so that sum(size * copies) follows rate * sum(size)."""
+def round_copies(size: np.ndarray, rate: float, order: np.ndarray, most: int = MOST_COPIES) -> np.ndarray:
+    """Whole copies so that sum(size * copies) follows rate * sum(size).
+
+    Each document gets the floor or the ceiling of the rate, the largest first.  Where one huge
+    document keeps the sum away from its target, the other choice for it is tried too, and
+    copies of the others (0 to `most`) make up for it.
+    """
+    copies, gap = _rounded(size, rate, order, most, None)
+    if len(order) and gap > 0.01 * rate * float(size.sum()):
+        other, less = _rounded(size, rate, order, most, copies[order[0]])
+        copies = other if less < gap else copies
+    return copies
+
+
+def _rounded(size: np.ndarray, rate: float, order: np.ndarray, most: int, but: int | None) -> tuple[np.ndarray, float]:
     down, up = int(np.floor(rate + 1e-9)), int(np.ceil(rate - 1e-9))
     out, lead = np.zeros(len(size), np.int64), 0.0
-    for i in order.tolist():
+    for k, i in enumerate(order.tolist()):
         n = size[i]
         low, high = lead + n * (down - rate), lead + n * (up - rate)
-        out[i], lead = (up, high) if abs(high) < abs(low) else (down, low)
-    return out
+        take_up = abs(high) < abs(low)
+        if k == 0 and but is not None:
+            take_up = but != up
+        out[i], lead = (up, high) if take_up else (down, low)
+    for i in order[1 if but is not None else 0 :].tolist():
+        n = size[i]
+        while n and out[i] < most and abs(lead + n) < abs(lead):
+            out[i], lead = out[i] + 1, lead + n
+        while n and out[i] > 0 and abs(lead - n) < abs(lead):
+            out[i], lead = out[i] - 1, lead - n
+    return out, abs(lead)
 
 
 def mix_copies(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights=WEIGHTS, most: int = MOST_COPIES, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -123,7 +145,7 @@ def mix_copies(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "so
 
     def rounded(pdf: pd.DataFrame) -> pd.DataFrame:
         order = pdf.assign(_n=-pdf["size"]).reset_index(drop=True).sort_values(["_n", "doc_id"], kind="stable").index.to_numpy()
-        copies = round_copies(pdf["size"].to_numpy(), float(pdf["rate"].iloc[0]), order)
+        copies = round_copies(pdf["size"].to_numpy(), float(pdf["rate"].iloc[0]), order, most)
         return pdf.drop(columns="chunk").assign(copies=copies)
 
     return named.groupBy("source", "chunk").applyInPandas(rounded, schema)
