@@ -35,7 +35,7 @@ def rows():
         elif kind == 5:
             t = "aa " * rng.randint(1, 200)
         elif kind == 6:
-            t = say(5) + f"\nmail x{i}@mail.example.com +1 (206) 555-01{i} 4111 1111 1111 1111, 10.0.0.{i} 300.1.1.1\t" + say(3)
+            t = say(5) + f"\nmail x{i}@mail.example.com tel +1 (206) 555-01{i:02d} ab 4111 1111 1111 1111, 10.0.0.{i} 300.1.1.1\t" + say(3)
         out.append((i, t, None if i == 7 else ["en", "fr"][i % 2], None if i == 8 else f"s{i % 4}", None if i == 9 else len(t or "")))
     out.append((60, "x" * 5000 + " " + say(3000), "en", "s0", 1))
     return out
@@ -238,7 +238,8 @@ def test_mixing(spark, docs):
         assert r.source_size == size[r.source] and abs(r.target - target[r.source]) < 1e-6 * max(1, r.target)
     for s in size:
         taken = sum(r.size * r.copies for r in got if r.source == s)
-        assert abs(taken - target[s]) <= 0.1 * target[s] + 60
+        huge = max(r.size for r in got if r.source == s)  # a source of one huge document cannot come nearer
+        assert abs(taken - target[s]) <= 0.02 * target[s] + (huge / 2 if huge > 1000 else 20)
     assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, mixing.mix_copies(docs.repartition(3)).collect()), key=repr)
     assert mixing.mix_copies(docs.where("false")).count() == 0
 
