@@ -1,6 +1,7 @@
 """Exact top-k search by BM25: an inverted index per shard with block-max dynamic pruning.
 
-Documents are dealt into shards of bounded size.  A shard's index holds for each term its
+Documents are dealt into shards of bounded size, indexed piece by piece; a query's k-th best score of
+earlier pieces prunes the later ones.  An index holds for each term its
 postings in document order and, for each block of BLOCK documents, the largest weight of the
 block.  For a query the blocks' maxima sum to an upper bound of every block; blocks are scored
 exactly in falling order of their bounds until no bound reaches the k-th best score, so the
@@ -33,6 +34,8 @@ from .common import table
 K1, BETA, BLOCK = 1.2, 0.75, 32
 #: Documents of a shard, and terms of the queries in one broadcast block (16 bytes each).
 SHARD, BLOCK_TERMS = 20_000, 2_000_000
+#: Documents of a shard that are indexed at a time: bounds a task's memory.
+PIECE = 4_000
 
 
 def term_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -88,8 +91,8 @@ class Index:
         self.begin = np.append(cut, len(self.doc))
         self.blocks = -(-base // BLOCK)
 
-    def top(self, terms: np.ndarray, factor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, rounded scores) of the k best."""
+    def top(self, terms: np.ndarray, factor: np.ndarray, k: int, ids: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, rounded scores) of the k best, these and those found before (whose k-th prunes from the start)."""
         n = self.block_at[terms + 1] - self.block_at[terms]
         entry = B.ranges(self.block_at[terms], n)
         owner = B.run_ids(n)
@@ -99,7 +102,6 @@ class Index:
         by_block = np.argsort(block, kind="stable")
         entry, owner = entry[by_block], owner[by_block]
         first = np.searchsorted(block[by_block], np.arange(self.blocks + 1))
-        ids, scores = np.empty(0, np.int64), np.empty(0)
         at, step = 0, 4
         while at < self.blocks:
             some = order[at : at + step]
@@ -202,20 +204,18 @@ def _one_block(rows: DataFrame, block: np.ndarray, n: int, words: int, k: int, s
     part = spark.sparkContext.broadcast((query, np.append(first, len(block)), place[order].astype(np.int64), idf[place[order]] * block[order, 2]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts = [], []
-        for b in batches:
-            if b.num_rows:
-                ids.append(b.column(0).to_numpy()), texts.append(b.column(1))
-        if not ids:
-            return
-        index = Index(np.concatenate(ids), texts, shared.value, words / n)
         queries, at, terms, factors = part.value
-        for q in range(0, len(queries), 512):
-            rows_ = [(queries[i], *index.top(terms[at[i] : at[i + 1]], factors[at[i] : at[i + 1]], k)) for i in range(q, min(q + 512, len(queries)))]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat([r[0] for r in rows_], [len(r[1]) for r in rows_])), pa.array(np.concatenate([r[1] for r in rows_])), pa.array(np.concatenate([r[2] for r in rows_]))],
-                ["query_id", "doc_id", "score"],
-            )
+        best = [(np.empty(0, np.int64), np.empty(0))] * len(queries)
+        for b in batches:
+            for i in range(0, b.num_rows, PIECE):  # one piece's index at a time
+                piece = b.slice(i, PIECE)
+                index = Index(piece.column(0).to_numpy(), [piece.column(1)], shared.value, words / n)
+                for q in range(len(queries)):
+                    best[q] = index.top(terms[at[q] : at[q + 1]], factors[at[q] : at[q + 1]], k, *best[q])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(queries, [len(x[0]) for x in best])), pa.array(np.concatenate([x[0] for x in best])), pa.array(np.concatenate([x[1] for x in best]))],
+            ["query_id", "doc_id", "score"],
+        )
 
     return rows.repartition(shards, F.xxhash64("doc_id", F.lit(3))).mapInArrow(run, schema)
 
