@@ -1,22 +1,26 @@
 """Exact top-k search by BM25: an inverted index per shard with block-max dynamic pruning.
 
-Documents are dealt into shards of bounded size, indexed piece by piece; a query's k-th best score of
-earlier pieces prunes the later ones.  An index holds for each term its
-postings in document order and, for each block of BLOCK documents, the largest weight of the
-block.  For a query the blocks' maxima sum to an upper bound of every block; blocks are scored
-exactly in falling order of their bounds until no bound reaches the k-th best score, so the
-result is exact.  Document counts, lengths and term frequencies are global, which makes scores
-of all shards comparable: the shards' k best merge into the k best.
-
-Queries are a table; they are broadcast in blocks of at most `block_terms` terms, and each block
+Documents are dealt into shards, indexed piece by piece; a query's k-th best score of earlier
+pieces prunes the later ones.  A piece's index holds the postings of rare terms in document
+order, the term frequencies of common ones (a twentieth of its documents or more) as columns,
+and for each block of BLOCK documents and common term the largest weight of the block.  A
+block's bound for a query is the sum of the block's maxima plus the best sum of rare postings
+in it; the bounds of many queries are one matrix product.  The blocks of the highest bounds
+are scored first and give a k-th best score to start from, then every block whose bound
+reaches the k-th best score.  Products are in single precision with a proven margin; documents
+that may be among the k best are scored again in double precision, so the result is exact.
+Document counts, lengths and term frequencies are global, which makes scores of all shards
+comparable: the shards' k best merge into the k best.
+
+Queries are a table; they are broadcast in blocks of about `block_terms` terms, and each block
 meets every shard.  Scores are rounded to 6 decimals, ties go to the smaller id.
 
 score = sum over the query's distinct terms of
         qtf * ln(1 + (N - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len / avglen))
 
 Defined results: null or wordless documents score nothing; null or wordless queries return
-nothing; only scores above 0 are returned; repeated rows each count as a document; empty tables
-give an empty result.  Ids are long and expected to be unique among queries.
+nothing; only scores above 0 are returned; repeated rows each count as a document; rows of a
+repeated query id count as one query; null ids are left out; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -33,9 +37,11 @@ from .common import table
 
 K1, BETA, BLOCK = 1.2, 0.75, 32
 #: Documents of a shard, and terms of the queries in one broadcast block (16 bytes each).
-SHARD, BLOCK_TERMS = 20_000, 2_000_000
-#: Documents of a shard that are indexed at a time: bounds a task's memory.
-PIECE = 4_000
+SHARD, BLOCK_TERMS = 8_000, 2_000_000
+#: Documents indexed, queries looked up and common terms held as columns at a time: bound a task's memory.
+PIECE, GROUP, COLUMNS = 10_000, 256, 1_024
+#: Relative error of a single-precision sum of COLUMNS products at most, with room; half a unit of the rounding, with room.
+SLACK, HALF = 1e-4, 2e-6
 
 
 def term_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -47,7 +53,9 @@ def term_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
         part = data[offsets[i] : offsets[j]]
         start, end, at = B.words(part, offsets[i : j + 1] - offsets[i], B.ALNUM)
         h, owner = B.span_hashes(B.prefix_hashes(part), start, end), B.run_ids(np.diff(at))
-        order = np.lexsort((h, owner))
+        order = np.argsort(h)
+        few = len(at) <= 1 << 16  # then owners are sorted by radix
+        order = order[np.argsort(owner[order].astype(np.uint16 if few else np.int64), kind="stable")]
         h, owner = h[order], owner[order]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
@@ -58,105 +66,121 @@ def term_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 
 
 class Index:
-    """One shard's postings of the terms that some query has."""
-
-    def __init__(self, ids: np.ndarray, texts: list[pa.Array], wanted: np.ndarray, average: float) -> None:
-        rows, terms, tfs, sizes, base = [], [], [], [], 0
-        for t in texts:
-            r, h, f, n = term_counts(t)
-            k = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
-            keep = wanted[k] == h
-            rows.append(r[keep] + base), terms.append(k[keep].astype(np.int32)), tfs.append(f[keep]), sizes.append(n)
-            base += len(n)
-        row, term, tf, size = (np.concatenate(x) for x in (rows, terms, tfs, sizes))
-        # alike documents next to each other make block maxima tight: order by rarest shared word, then length
-        lead = np.full(base, 1 << 30, np.int64)
+    """One piece's postings of the terms that some query has."""
+
+    def __init__(self, ids: np.ndarray, texts: pa.Array, wanted: np.ndarray, average: float) -> None:
+        row, h, tf, size = term_counts(texts)
+        k = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
+        keep = wanted[k] == h
+        row, term, tf, n = row[keep], k[keep], tf[keep], len(ids)
         common = np.bincount(term, minlength=len(wanted))
-        top = np.argsort(np.argsort(-common, kind="stable"))
+        # alike documents next to each other make block maxima tight: order by rarest shared word, then length
+        lead = np.full(n, 1 << 30, np.int64)
+        top = np.empty(len(wanted), np.int64)
+        top[np.argsort(-common, kind="stable")] = np.arange(len(wanted))
         np.minimum.at(lead, row, top[term])
         order = np.lexsort((ids, size, lead))
-        place = np.empty(base, np.int64)
-        place[order] = np.arange(base)
-        self.ids, size = ids[order], size[order]
-        row = place[row]
-        sort = np.lexsort((row, term))
-        self.doc, term, tf = row[sort].astype(np.int32), term[sort], tf[sort]
-        self.weight = (tf * (K1 + 1) / (tf + K1 * (1 - BETA + BETA * size[self.doc] / average)))
-        self.at = np.searchsorted(term, np.arange(len(wanted) + 1))
-        block = self.doc // BLOCK
-        cut = np.flatnonzero(np.concatenate(([True], (block[1:] != block[:-1]) | (term[1:] != term[:-1])))) if len(block) else np.empty(0, np.int64)
-        self.block = block[cut]
-        self.most = np.maximum.reduceat(self.weight, cut) if len(cut) else np.empty(0)
-        self.block_at = np.searchsorted(term[cut], np.arange(len(wanted) + 1))
-        self.begin = np.append(cut, len(self.doc))
-        self.blocks = -(-base // BLOCK)
-
-    def top(self, terms: np.ndarray, factor: np.ndarray, k: int, ids: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, rounded scores) of the k best, these and those found before (whose k-th prunes from the start)."""
-        n = self.block_at[terms + 1] - self.block_at[terms]
-        entry = B.ranges(self.block_at[terms], n)
-        owner = B.run_ids(n)
-        block = self.block[entry]
-        bound = np.bincount(block, self.most[entry] * factor[owner], minlength=self.blocks) * (1 + 1e-9) + 1e-6
-        order = np.argsort(-bound, kind="stable")
-        by_block = np.argsort(block, kind="stable")
-        entry, owner = entry[by_block], owner[by_block]
-        first = np.searchsorted(block[by_block], np.arange(self.blocks + 1))
-        at, step = 0, 4
-        while at < self.blocks:
-            some = order[at : at + step]
-            if len(scores) >= k:
-                some = some[bound[some] >= scores[k - 1]]
-                if not len(some):
-                    break
-            e = B.ranges(first[some], first[some + 1] - first[some])
-            e, o = entry[e], owner[e]
-            many = self.begin[e + 1] - self.begin[e]
-            p = B.ranges(self.begin[e], many)
-            slot = np.zeros(self.blocks, np.int64)
-            slot[some] = np.arange(len(some))
-            cell = slot[self.doc[p] // BLOCK] * BLOCK + self.doc[p] % BLOCK
-            total = np.round(np.bincount(cell, self.weight[p] * np.repeat(factor[o], many), minlength=len(some) * BLOCK), 6)
-            hit = np.flatnonzero(total > 0)
-            doc = some[hit // BLOCK] * BLOCK + hit % BLOCK
-            ids, scores = np.concatenate((ids, self.ids[doc])), np.concatenate((scores, total[hit]))
-            best = np.lexsort((ids, -scores))[:k]
-            ids, scores = ids[best], scores[best]
-            at, step = at + step, min(step * 4, 256)
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        self.ids, row = ids[order], place[row]
+        self.blocks = -(-n // BLOCK)
+        self.rows = self.blocks * BLOCK
+        self.norm = np.full(self.rows, K1)
+        self.norm[:n] = K1 * (1 - BETA + BETA * size[order] / average)
+        columns = np.flatnonzero(common * 20 >= n)
+        columns = columns[np.argsort(-common[columns], kind="stable")[:COLUMNS]]
+        self.column = np.full(len(wanted), -1, np.int32)
+        self.column[columns] = np.arange(len(columns))
+        at = self.column[term]
+        dense = at >= 0
+        self.tf = np.zeros((self.rows, len(columns)), np.float32)
+        self.tf[row[dense], at[dense]] = tf[dense]
+        self.dense = self.tf * np.float32(K1 + 1) / (self.tf + self.norm[:, None].astype(np.float32))
+        self.most = np.ascontiguousarray(self.dense.reshape(self.blocks, BLOCK, -1).max(1).T)
+        row, term, tf = row[~dense], term[~dense], tf[~dense]
+        by_term = np.argsort(term, kind="stable")
+        self.doc, term, tf = row[by_term].astype(np.int32), term[by_term], tf[by_term]
+        self.weight = tf * (K1 + 1) / (tf + self.norm[self.doc])
+        self.at = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=len(wanted)))))
+
+    def top(self, asked: list[tuple[np.ndarray, np.ndarray]], k: int, best: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """Renews best, (ids, rounded scores) of the k best of each query, by this piece's documents.
+
+        asked: (terms, factors) of each query.
+        """
+        n = len(asked)
+        rare, q = np.empty((n, self.rows)), np.empty((n, self.tf.shape[1]), np.float32)
+        for i, (terms, factor) in enumerate(asked):
+            c = self.column[terms]
+            q[i] = np.bincount(c[c >= 0], factor[c >= 0], minlength=q.shape[1])
+            terms, factor = terms[c < 0], factor[c < 0]
+            many = self.at[terms + 1] - self.at[terms]
+            p = B.ranges(self.at[terms], many)
+            rare[i] = np.bincount(self.doc[p], self.weight[p] * np.repeat(factor, many), minlength=self.rows)
+        bound = (q @ self.most) * (1 + SLACK) + rare.reshape(n, self.blocks, BLOCK).max(2) + HALF
+        floor = np.array([s[k - 1] if len(s) >= k else 0.0 for _, s in best])
+        first = min(self.blocks, 1 + -(-k // BLOCK))
+        for i in np.flatnonzero(floor == 0):  # the best blocks by bound give a k-th best score to start from
+            some = np.argpartition(-bound[i], first - 1)[:first]
+            some = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            if len(some) >= k:
+                low = (self.dense[some] @ q[i]) * (1 - SLACK) + rare[i, some] - HALF
+                floor[i] = max(0.0, np.partition(low, -k)[-k])
+        live = (bound >= floor[:, None]) & (bound > HALF)
+        found = []
+        for b in np.flatnonzero(live.any(0)):
+            i, here = np.flatnonzero(live[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
+            high = (q[i] @ self.dense[here].T) * (1 + SLACK) + rare[i, here] + HALF
+            x, y = np.nonzero((high >= floor[i, None]) & (high > HALF))
+            found.append((i[x], y + b * BLOCK, high[x, y]))
+        if not found:
+            return
+        who, doc, high = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(who, kind="stable")
+        doc, high, at = doc[order], high[order], np.searchsorted(who[order], np.arange(n + 1))
+        for i in np.flatnonzero(np.diff(at)):
+            d, u = doc[at[i] : at[i + 1]], high[at[i] : at[i + 1]]
+            low = np.concatenate((u * (1 - 2.1 * SLACK) - 2.1 * HALF, best[i][1]))
+            if len(low) >= k:
+                d = d[u >= np.partition(low, -k)[-k]]
+            best[i] = self._exact(asked[i], rare[i], d, k, *best[i])
+
+    def _exact(self, asked: tuple[np.ndarray, np.ndarray], rare: np.ndarray, doc: np.ndarray, k: int, ids: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        c = self.column[asked[0]]
+        c, factor = c[c >= 0], asked[1][c >= 0]
+        for j in range(0, len(doc), 1 << 12):
+            d = doc[j : j + (1 << 12)]
+            tf = self.tf[d[:, None], c].astype(np.float64)
+            total = np.round(rare[d] + (tf * (K1 + 1) / (tf + self.norm[d, None])) @ factor, 6)
+            d, total = d[total > 0], total[total > 0]
+            ids, scores = np.concatenate((ids, self.ids[d])), np.concatenate((scores, total))
+            first = np.lexsort((ids, -scores))[:k]
+            ids, scores = ids[first], scores[first]
         return ids, scores
 
 
 def _terms_of(rows: DataFrame) -> DataFrame:
+    """(query_id, terms, qtf), a row for each row that has words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             r, h, f, _ = term_counts(b.column(1))
-            yield pa.RecordBatch.from_arrays([pa.array(b.column(0).to_numpy()[r]), pa.array(h.view(np.int64)), pa.array(f)], ["query_id", "term", "qtf"])
+            has, first = np.unique(r, return_index=True)
+            at = pa.array(np.append(first, len(r)), pa.int32())
+            lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (h.view(np.int64), f)]
+            yield pa.RecordBatch.from_arrays([pa.array(b.column(0).to_numpy()[has]), *lists], ["query_id", "terms", "qtf"])
 
-    return rows.mapInArrow(run, "query_id long, term long, qtf long")
+    return rows.mapInArrow(run, "query_id long, terms array<long>, qtf array<long>")
 
 
 def search(docs: DataFrame, queries: DataFrame, *, k: int = 10, shard: int = SHARD, block_terms: int = BLOCK_TERMS) -> DataFrame:
     """docs (doc_id, text), queries (query_id, text) -> query_id, rank, doc_id, score."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull())
-
-    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = words = 0
-        for b in batches:
-            data, offsets = B.buffers(b.column(0))
-            for i, j in B.slices(offsets):
-                words += len(B.words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], LOWER_OR_UPPER)[0])
-            n += b.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([words])], ["n", "words"])
-
-    n, words = rows.select("text").mapInArrow(sizes, "n long, words long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
-    schema = "query_id long, doc_id long, score double"
-    if not n or not words:
-        return spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
     told = _terms_of(queries.select(F.col("query_id").cast("long"), "text").where(F.col("query_id").isNotNull()))
     out = None
     for block in _blocks(told, block_terms):
-        found = _one_block(rows, block, n, words, k, max(1, -(-n // shard)), schema)
+        found = _one_block(rows, block, k, shard)
         out = found if out is None else out.unionByName(found)
     if out is None:
         return spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
@@ -164,40 +188,40 @@ def search(docs: DataFrame, queries: DataFrame, *, k: int = 10, shard: int = SHA
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
 
-#: As ALNUM, before lower-casing.
-LOWER_OR_UPPER = B.class_table([(0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F)])
-
-
 def _blocks(told: DataFrame, most: int) -> Iterator[np.ndarray]:
-    """Whole queries in blocks of about `most` terms: structured arrays, one block on the driver at a time."""
-    held, n = [], 0
-    for r in told.groupBy("query_id").agg(F.collect_list(F.struct("term", "qtf")).alias("t")).orderBy("query_id").toLocalIterator():
-        held.append(np.array([(r.query_id, x.term, x.qtf) for x in r.t], np.int64).reshape(-1, 3))
-        n += len(r.t)
-        if n >= most:
+    """Whole queries in blocks of about `most` terms: (query, term, qtf) rows, one block on the driver at a time."""
+    held, n, last = [], 0, None
+    for r in told.orderBy("query_id").toLocalIterator():
+        if n >= most and r.query_id != last:
             yield np.concatenate(held)
             held, n = [], 0
+        terms = np.array(r.terms, np.int64)
+        held.append(np.stack((np.full(len(terms), r.query_id), terms, np.array(r.qtf, np.int64)), axis=1))
+        n, last = n + len(terms), r.query_id
     if held:
         yield np.concatenate(held)
 
 
-def _one_block(rows: DataFrame, block: np.ndarray, n: int, words: int, k: int, shards: int, schema: str) -> DataFrame:
+def _one_block(rows: DataFrame, block: np.ndarray, k: int, shard: int) -> DataFrame:
     spark = rows.sparkSession
-    wanted, place = np.unique(block[:, 1].view(np.uint64) if block[:, 1].flags.c_contiguous else np.ascontiguousarray(block[:, 1]).view(np.uint64), return_inverse=True)
+    wanted, place = np.unique(np.ascontiguousarray(block[:, 1]).view(np.uint64), return_inverse=True)
     shared = spark.sparkContext.broadcast(wanted)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df = np.zeros(len(shared.value), np.int64)
+        df, n, words = np.zeros(len(shared.value), np.int64), 0, 0
         for b in batches:
-            _, h, _, _ = term_counts(b.column(0))
+            _, h, _, size = term_counts(b.column(0))
             x = np.minimum(np.searchsorted(shared.value, h), len(df) - 1)
             df += np.bincount(x[shared.value[x] == h], minlength=len(df))
+            n, words = n + len(size), words + int(size.sum())
         some = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some])], ["t", "df"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, [-1, -2])), pa.array(np.append(df[some], [n, words]))], ["t", "df"])
 
-    df = np.zeros(len(wanted))
+    df = np.zeros(len(wanted) + 2)  # as many as the block has terms; at the end, words and documents
     for t in rows.select("text").mapInArrow(count, "t long, df long").groupBy("t").agg(F.sum("df").alias("df")).toLocalIterator():
-        df[t.t] = t.df  # as many as the block has terms
+        df[t.t] = t.df
+    df, words, n = df[:-2], df[-2], df[-1]
+    average = max(words, 1.0) / max(n, 1.0)
     idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
     order = np.argsort(block[:, 0], kind="stable")
     query, first = np.unique(block[order, 0], return_index=True)
@@ -207,17 +231,21 @@ def _one_block(rows: DataFrame, block: np.ndarray, n: int, words: int, k: int, s
         queries, at, terms, factors = part.value
         best = [(np.empty(0, np.int64), np.empty(0))] * len(queries)
         for b in batches:
-            for i in range(0, b.num_rows, PIECE):  # one piece's index at a time
-                piece = b.slice(i, PIECE)
-                index = Index(piece.column(0).to_numpy(), [piece.column(1)], shared.value, words / n)
-                for q in range(len(queries)):
-                    best[q] = index.top(terms[at[q] : at[q + 1]], factors[at[q] : at[q + 1]], k, *best[q])
+            step = -(-b.num_rows // max(1, -(-b.num_rows // PIECE)))
+            for i in range(0, b.num_rows, max(1, step)):  # one piece's index at a time, alike in size
+                piece = b.slice(i, step)
+                index = Index(piece.column(0).to_numpy(), piece.column(1), shared.value, average)
+                for g in range(0, len(queries), GROUP):
+                    some = best[g : g + GROUP]
+                    index.top([(terms[at[q] : at[q + 1]], factors[at[q] : at[q + 1]]) for q in range(g, g + len(some))], k, some)
+                    best[g : g + GROUP] = some
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.repeat(queries, [len(x[0]) for x in best])), pa.array(np.concatenate([x[0] for x in best])), pa.array(np.concatenate([x[1] for x in best]))],
             ["query_id", "doc_id", "score"],
         )
 
-    return rows.repartition(shards, F.xxhash64("doc_id", F.lit(3))).mapInArrow(run, schema)
+    shards = max(1, -(-int(n) // shard))
+    return rows.repartition(shards, F.xxhash64("doc_id", F.lit(3))).mapInArrow(run, "query_id long, doc_id long, score double")
 
 
 def op2_search(spark: SparkSession, sf_dir: str) -> DataFrame:
