@@ -88,6 +88,23 @@ def bm25(docs, queries, k=10):
     return out
 
 
+def bm25_rows(docs, queries, k):
+    """As bm25, where rows of docs may repeat: sorted rows."""
+    counts = [(i, collections.Counter(alnum(t))) for i, t in docs]
+    sizes = [sum(c.values()) for _, c in counts]
+    n, average = len(docs), sum(sizes) / len(docs)
+    df = collections.Counter(w for _, c in counts for w in c)
+    out = []
+    for q, t in queries:
+        found = []
+        for (i, c), size in zip(counts, sizes, strict=True):
+            s = sum(f * math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * size / average)) for w, f in collections.Counter(alnum(t)).items() if w in c)
+            if s > 0:
+                found.append((-round(s, 6), i))
+        out += [(q, r, i, -s) for r, (s, i) in enumerate(sorted(found)[:k], 1)]
+    return sorted(out)
+
+
 def luhn(digits):
     return sum(int(c) if k % 2 == 0 else (int(c) * 2 - 9 * (int(c) > 4)) for k, c in enumerate(reversed(digits))) % 10 == 0
 

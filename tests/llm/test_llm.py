@@ -174,6 +174,26 @@ def test_search(spark, docs):
     assert {tuple(r) for r in search.search(docs, q, shard=20, block_terms=50).collect()} == got
 
 
+def test_search_ties_repeats_and_empty(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    texts = ["one two three four"] * 70 + [" ".join(rng.choice(words[: 1 + i]) for _ in range(rng.randint(0, 60))) for i in range(200)]
+    texts += [None, "", "word " * 20_000 + "one", "ÄÖ one, TWO!"]
+    rng.shuffle(texts)
+    rows = [(i, t, 1.0, 1, 5) for i, t in enumerate(texts)] + [(3, texts[3], 1.0, 1, 5)] * 2  # a repeated row
+    frame = spark.createDataFrame(rows, "doc_id long, text string, score double, rank int, term long")
+    plain = [(r[0], r[1] or "") for r in rows]
+    ask = frame.where("doc_id % 5 = 0").select(F.col("doc_id").alias("query_id"), "text", "score", "rank")
+    for k in (1, 10, 40):
+        found = [tuple(r) for r in search.search(frame, ask, k=k, shard=90).collect()]
+        assert sorted(found) == brute.bm25_rows(plain, [p for p in plain if p[0] % 5 == 0], k)
+    none = frame.where("doc_id < 0")
+    assert search.search(none, ask).count() == 0
+    assert search.search(frame, none.select(F.col("doc_id").alias("query_id"), "text")).count() == 0
+    lost = spark.createDataFrame([(None, "one"), (1, None)], "doc_id long, text string")
+    assert search.search(lost, ask).count() == 0 == search.search(frame, lost.withColumnRenamed("doc_id", "query_id")).count()
+
+
 def test_pii_base_is_the_patterns(spark, docs):
     rng = random.Random(1)
     texts = [t or "" for _, t in pairs()] + ["".join(rng.choice("a.@@b-+1 20()é\n") for _ in range(60)) for _ in range(3000)]
