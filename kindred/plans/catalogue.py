@@ -442,7 +442,7 @@ def stratified_split(spark: SparkSession, d: str) -> DataFrame:
     return sampling.stratified_split(library(spark, d).select("id", "label"), "label", "id", 0.8, (F.col("id") * 7919) % 10007)
 
 
-@query("WITH c AS (SELECT label::BIGINT label, count(*) n FROM embeddings GROUP BY ALL), s AS (SELECT label, n, (row_number() OVER (ORDER BY label) - 1) // 4 batch FROM c), r AS (SELECT label::BIGINT label, vec_id id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 i FROM embeddings) SELECT batch, label, slot, id FROM s CROSS JOIN generate_series(0, 63) t(slot) JOIN r USING (label) WHERE i = slot % n")
+@query("WITH c AS (SELECT label::BIGINT label, count(*) n FROM embeddings GROUP BY ALL), s AS (SELECT label, n, (row_number() OVER (ORDER BY label) - 1) // 4 batch FROM c), t AS (SELECT batch, label, n, unnest(range(64)) slot FROM s), r AS (SELECT label::BIGINT label, vec_id id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 i FROM embeddings) SELECT batch, t.label, slot, id FROM t JOIN r ON r.label = t.label AND r.i = slot % n")
 def pk_batches(spark: SparkSession, d: str) -> DataFrame:
     """Four labels with 64 slots, short labels repeat."""
     return sampling.pk_batches(library(spark, d).select("id", "label"), "label", "id", 4, 64)
