@@ -64,6 +64,12 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarr
     return h[keep], np.searchsorted(owner[keep], np.arange(len(offsets)))
 
 
+def sliced_shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """shingles() of slices of bounded bytes, so that a worker's memory doesn't follow a batch or a cell."""
+    for i, j in B.slices(offsets):
+        yield shingles(B.LOWER[data[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i], size)
+
+
 def signatures(h: np.ndarray, off: np.ndarray) -> np.ndarray:
     """uint8[texts, SYMBOLS]: low bits of the minimum of each permuted hash; zeros for empty sets."""
     out = np.zeros((len(off) - 1, SYMBOLS), np.uint8)
@@ -85,10 +91,8 @@ def profiles(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = B.buffers(b.column(1))
-            data = B.LOWER[data]
             count, one, two, sig = [], [], [], []
-            for i, j in B.slices(offsets):
-                h, off = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size)
+            for h, off in sliced_shingles(data, offsets, size):
                 with np.errstate(over="ignore"):
                     for into, salt in ((one, 1), (two, 2)):
                         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(B.mix(h + np.uint64(salt * 0x632BE59BD9B4E019 & B.MASK)))))
@@ -208,9 +212,11 @@ def _confirm(size: int, percent: int):
             cut = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1], [True])))
             for a, z in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                 data, offsets = B.buffers(t.column(2).slice(a, z - a))
-                h, off = shingles(B.LOWER[data], offsets, size)
-                _, term = np.unique(h, return_inverse=True)
-                n, many = z - a, np.diff(off)
+                parts = list(sliced_shingles(data, offsets, size))
+                many = np.concatenate([np.diff(off) for _, off in parts])
+                off = np.concatenate(([0], np.cumsum(many)))
+                _, term = np.unique(np.concatenate([h for h, _ in parts]), return_inverse=True)
+                n = z - a
                 # the inverted index of the cell: for each shingle, the texts that hold it
                 order = np.argsort(term, kind="stable")
                 owner = B.run_ids(many)[order]
