@@ -29,19 +29,25 @@ def _written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """(node, component = least node reachable): minimum labels with pointer jumps, a written table per round."""
+def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
+    """(node, component = least node reachable): least labels, hooking and a pointer jump, a written table per round.
+
+    Rounds end when no label changed; labels that still change after so many rounds raise.
+    """
     links = _written(both_ways(edges))
     labels = _written(links.groupBy("src").agg(F.min("dst").alias("m")).select(F.col("src").alias("node"), F.least("src", "m").alias("component")))
     for _ in range(rounds):
         near = links.join(labels.select(F.col("node").alias("dst"), F.col("component").alias("c")), "dst").groupBy(F.col("src").alias("node")).agg(F.min("c").alias("c"))
-        low = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "c").alias("new"))
+        moved = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "c").alias("new"))
+        # a node's label also lowers its label's label: a root learns it in the same round
+        hooked = moved.groupBy(F.col("old").alias("node")).agg(F.min("new").alias("h"))
+        low = _written(moved.join(hooked, "node", "left").select("node", "old", F.least("new", F.coalesce("h", "new")).alias("new")))
         up = low.select(F.col("node").alias("new"), F.col("new").alias("top"))
         after = _written(low.join(up, "new", "left").select("node", "old", F.least("new", F.coalesce("top", "new")).alias("component")))
         labels = after.select("node", "component")
         if after.where("old <> component").isEmpty():
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"component labels still change after {rounds} rounds")
 
 
 def hops(edges: DataFrame, seeds: DataFrame, n: int = 2) -> DataFrame:

@@ -1,8 +1,11 @@
 """Queries over whole tables, against results that do not share their code or their registered SQL."""
 
+import random
+
 import duckdb
 import pytest
 
+from kindred.operators import graph
 from kindred.plans import catalogue
 
 DATA = "/root/testdata/sf0.001"
@@ -37,3 +40,12 @@ def test_hops_in_the_whole_graph(spark, edges):
         front = {m: hop for n in front for m in near[n] if m not in want}
         want = want | front
     assert {r.node: r.hop for r in catalogue.QUERIES["bfs_two_hop"](spark, DATA).collect()} == want
+
+
+def test_components_of_a_path_with_shuffled_ids(spark):
+    ids = list(range(1000))
+    random.Random(1).shuffle(ids)
+    edges = spark.createDataFrame(list(zip(ids, ids[1:])), "src long, dst long")
+    assert {r.component for r in graph.components(edges).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        graph.components(edges, rounds=2)
