@@ -74,3 +74,17 @@ def bootstrap(values: DataFrame, value: str, draws: int, size: int, id_col: str)
     picks = spark.range(draws).select(F.col("id").alias("draw")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
     picks = picks.withColumn("_k", (F.col("i") * 7919 + F.col("draw") * 104729 + F.col("i") * F.col("draw")) % max(n, 1))
     return picks.join(rows, "_k").groupBy("draw").agg(F.avg(value).alias("mean"))
+
+
+def fixed_pairs(core: DataFrame) -> DataFrame:
+    """(query_id, target) of each label with two rows or more: its two smallest ids."""
+    rows = core.where(F.col("id").isNotNull() & F.col("label").isNotNull()).select("id", "label")
+    first = rows.groupBy("label").agg(F.min("id").alias("query_id"))
+    return rows.join(first, "label").where(F.col("id") > F.col("query_id")).groupBy("query_id").agg(F.min("id").alias("target"))
+
+
+def pair_precision(found: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(n_pairs, precision): share of pairs whose target is among the found (query_id, id); 0 without pairs."""
+    hit = found.select("query_id", F.col("id").alias("target"), F.lit(1.0).alias("hit"))
+    both = pairs.join(hit, ["query_id", "target"], "left")
+    return both.agg(F.count("*").alias("n_pairs"), F.coalesce(F.avg(F.coalesce("hit", F.lit(0.0))), F.lit(0.0)).alias("precision"))

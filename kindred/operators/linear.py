@@ -54,9 +54,9 @@ def whitener(cov: np.ndarray, least: float = 1e-5) -> np.ndarray:
     return vectors @ np.diag(1 / np.sqrt(np.maximum(values, least))) @ vectors.T
 
 
-def whitened(library: DataFrame, d: int) -> DataFrame:
-    """V7: centred, whitened, unit vectors in column v."""
-    mean, cov, _ = covariance(library, d)
+def whitened(library: DataFrame, d: int, fit: DataFrame | None = None) -> DataFrame:
+    """V7: centred, whitened, unit vectors in column v; fitted on all rows, or on those of fit."""
+    mean, cov, _ = covariance(library if fit is None else fit, d)
     shared = library.sparkSession.sparkContext.broadcast((mean, whitener(cov)))
     at = library.columns.index("v")
 

@@ -263,10 +263,17 @@ def agreement(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH {E}, z AS (SELECT size, query_id, max(list_cosine_similarity(v, qv)) near, max(CASE WHEN label = query_label THEN list_cosine_similarity(v, qv) END) own FROM e, q, (VALUES (100), (200), (400)) t(size) WHERE id <> query_id AND id < size GROUP BY 1, 2) SELECT size::BIGINT size, round(avg(near), 6) coverage, round(avg(CASE WHEN own = near THEN 1.0::DOUBLE ELSE 0 END), 6) top1 FROM z GROUP BY 1")
 def size_sweep(spark: SparkSession, d: str) -> DataFrame:
-    """Nested library prefixes, all sizes in one job."""
-    lib, out = library(spark, d), None
-    for size in (100, 200, 400):
-        t = top(lib.where(F.col("id") < size), asked(lib), 1).groupBy().agg(r6(F.avg("score")).alias("coverage"), r6(F.avg((F.col("label") == F.col("query_label")).cast("double"))).alias("top1")).select(F.lit(size).cast("long").alias("size"), "coverage", "top1")
+    """Nested shares of the library up to the whole, whitening fitted again per size, precision of fixed pairs of the least share."""
+    lib, out = library(spark, d).where(F.col("id").isNotNull()).withColumn("part", F.crc32(F.col("id").cast("string")) % 8), None
+    pairs = evaluate.fixed_pairs(lib.where(F.col("part") < 1))
+    for share in (1, 2, 4, 8):
+        own = F.col("part") < share
+        white = linear.whitened(lib, 64, lib.where(own))
+        sub = white.where(own)
+        near = top(sub, asked(white), 1, digits=5).agg(r6(F.avg("score")).alias("coverage"), r6(F.avg((F.col("label") == F.col("query_label")).cast("double"))).alias("top1"))
+        q = white.join(pairs, F.col("id") == F.col("query_id")).select("query_id", "label", "v")
+        kept = evaluate.pair_precision(top(sub, q, 10, digits=5), pairs).select("n_pairs", r6(F.col("precision")).alias("pair_precision"))
+        t = sub.agg(F.count("*").alias("size")).crossJoin(near).crossJoin(kept)  # one row each
         out = t if out is None else out.unionByName(t)
     return out
 

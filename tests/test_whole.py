@@ -1,8 +1,10 @@
 """Queries over whole tables, against results that do not share their code or their registered SQL."""
 
 import random
+import zlib
 
 import duckdb
+import numpy as np
 import pytest
 
 from kindred.operators import graph
@@ -49,3 +51,30 @@ def test_components_of_a_path_with_shuffled_ids(spark):
     assert {r.component for r in graph.components(edges).collect()} == {0}
     with pytest.raises(RuntimeError):
         graph.components(edges, rounds=2)
+
+
+def test_size_sweep_reaches_the_whole_table(spark):
+    ids, labels, x = (np.array(c) for c in zip(*duckdb.sql(f"SELECT vec_id, label, embedding::DOUBLE[] FROM '{DATA}/embeddings.parquet' ORDER BY 1").fetchall()))
+    part = np.array([zlib.crc32(str(i).encode()) % 8 for i in ids])
+    core = [np.flatnonzero((part < 1) & (labels == k)) for k in np.unique(labels)]
+    pairs = [(c[0], c[1]) for c in core if len(c) > 1]
+    assert pairs
+    want = []
+    for share in (1, 2, 4, 8):
+        sub = np.flatnonzero(part < share)
+        values, vectors = np.linalg.eigh(np.cov(x[sub].T))
+        w = (x - x[sub].mean(axis=0)) @ (vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-5))) @ vectors.T)
+        w /= np.linalg.norm(w, axis=1, keepdims=True) + 1e-9
+
+        def best(q, sub=sub, w=w):
+            s = np.round(w[sub] @ w[q] / np.linalg.norm(w[q]) / np.linalg.norm(w[sub], axis=1), 5)
+            s[sub == q] = -np.inf
+            order = np.lexsort((ids[sub], -s))
+            return s[order[0]], sub[order[:10]]
+
+        probes = np.flatnonzero(ids % 100 == 0)
+        found = [best(q) for q in probes]
+        want.append((len(sub), np.mean([s for s, _ in found]), np.mean([labels[n[0]] == labels[q] for q, (_, n) in zip(probes, found)]), len(pairs), np.mean([t in best(q)[1] for q, t in pairs])))
+    got = catalogue.QUERIES["size_sweep"](spark, DATA).orderBy("size").select("size", "coverage", "top1", "n_pairs", "pair_precision").collect()
+    assert got[-1].size == len(ids)
+    assert np.allclose(np.array(got, float), np.array(want), atol=2e-5), (got, want)
