@@ -63,17 +63,23 @@ def silhouette_cosine(df: DataFrame) -> DataFrame:
     return per.select("id", F.col("own").alias("label"), F.when((F.col("n") <= 1) | F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b")).alias("silhouette"))
 
 
-def bootstrap(values: DataFrame, value: str, draws: int, size: int, id_col: str) -> DataFrame:
-    """A21, distributed: draw d, place i takes the row of number (i * 7919 + d * 104729 + i * d) mod n.
+def bootstrap(values: DataFrame, value: str, draws: int, id_col: str) -> DataFrame:
+    """A21, distributed: (draw, mean, n); each draw takes as many values as there are, by a hash of draw and place.
 
-    The drawn sample has size rows; rows are numbered by id.
+    Rows are numbered within hash parts, whose sizes give the parts' first numbers; nulls are no values.
     """
     spark = values.sparkSession
-    n = values.count()
-    rows = values.withColumn("_k", F.row_number().over(Window.orderBy(id_col)) - 1).select("_k", value)
-    picks = spark.range(draws).select(F.col("id").alias("draw")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
-    picks = picks.withColumn("_k", (F.col("i") * 7919 + F.col("draw") * 104729 + F.col("i") * F.col("draw")) % max(n, 1))
-    return picks.join(rows, "_k").groupBy("draw").agg(F.avg(value).alias("mean"))
+    rows = values.where(F.col(value).isNotNull()).select(id_col, value).withColumn("_p", F.pmod(F.xxhash64(id_col, value), F.lit(1024)))
+    rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(id_col, value)) - 1)
+    sizes = sorted((r["_p"], r["n"]) for r in rows.groupBy("_p").agg(F.count("*").alias("n")).collect())  # 1,024 at most
+    n, first = 0, []
+    for p, size in sizes:
+        first.append((p, n))
+        n += size
+    first = spark.createDataFrame(first, "_p long, _first long")
+    rows = rows.join(F.broadcast(first), "_p").select((F.col("_first") + F.col("_r")).alias("_k"), value)
+    picks = spark.range(draws * n).select(F.expr(f"id div {max(n, 1)}").alias("draw"), F.pmod(F.xxhash64(F.expr(f"id div {max(n, 1)}"), F.col("id") % max(n, 1)), F.lit(max(n, 1))).alias("_k"))
+    return picks.join(rows, "_k").groupBy("draw").agg(F.avg(value).alias("mean"), F.count("*").alias("n"))
 
 
 def fixed_pairs(core: DataFrame) -> DataFrame:

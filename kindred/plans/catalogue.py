@@ -465,7 +465,7 @@ def fold_macro_vs_weighted(spark: SparkSession, d: str) -> DataFrame:
 @query("WITH v AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 k, embedding[1]::DOUBLE x FROM embeddings), p AS (SELECT draw, (i * 7919 + draw * 104729 + i * draw) % (SELECT count(*) FROM v) k FROM generate_series(0, 99) a(draw), generate_series(0, 199) b(i)), m AS (SELECT draw, avg(x) m FROM p JOIN v USING (k) GROUP BY 1) SELECT round(quantile_cont(m, 0.025), 6) low, round(quantile_cont(m, 0.975), 6) high, round(avg(CASE WHEN m > 0 THEN 1.0::DOUBLE ELSE 0 END), 6) positive FROM m")
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     """A21."""
-    b = evaluate.bootstrap(library(spark, d).select("id", F.get("v", F.lit(0)).alias("x")), "x", 100, 200, "id")
+    b = evaluate.bootstrap(library(spark, d).select("id", F.get("v", F.lit(0)).alias("x")), "x", 100, "id")
     return b.agg(r6(F.percentile("mean", 0.025)).alias("low"), r6(F.percentile("mean", 0.975)).alias("high"), r6(F.avg((F.col("mean") > 0).cast("double"))).alias("positive"))
 
 

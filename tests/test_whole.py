@@ -7,7 +7,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from kindred.operators import graph
+from kindred.operators import evaluate, graph
 from kindred.plans import catalogue
 
 DATA = "/root/testdata/sf0.001"
@@ -78,3 +78,15 @@ def test_size_sweep_reaches_the_whole_table(spark):
     got = catalogue.QUERIES["size_sweep"](spark, DATA).orderBy("size").select("size", "coverage", "top1", "n_pairs", "pair_precision").collect()
     assert got[-1].size == len(ids)
     assert np.allclose(np.array(got, float), np.array(want), atol=2e-5), (got, want)
+
+
+def test_bootstrap_draws_as_many_values_as_there_are(spark):
+    x = [r[0] for r in duckdb.sql("SELECT embedding[1]::DOUBLE FROM '/root/testdata/sf0.1/embeddings.parquet'").fetchall()]
+    got = catalogue.QUERIES["bootstrap_ci"](spark, "/root/testdata/sf0.1").first()
+    assert 0.7 < (got.high - got.low) / (2 * 1.96 * np.std(x) / len(x) ** 0.5) < 1.3
+    assert got.low < np.mean(x) < got.high
+    few = spark.createDataFrame([(i % 50, float(i)) for i in range(300)] + [(7, None)], "id long, x double")
+    draws = evaluate.bootstrap(few, "x", 20, "id").collect()
+    assert [r.n for r in draws] == [300] * 20 and len({r.mean for r in draws}) == 20
+    assert abs(np.mean([r.mean for r in draws]) - 149.5) < 5
+    assert evaluate.bootstrap(few.where("x < 0"), "x", 20, "id").count() == 0
