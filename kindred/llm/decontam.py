@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bytesops as B
-from .common import table
+from .common import table, written
 
 WINDOW = 10
 #: Words of benchmark items in one broadcast block (about 50 bytes a word).
@@ -152,10 +153,9 @@ def contamination(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, bl
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), *carry, F.col(text_col).alias("text"))
     items = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").alias("text"))
-    schema = rows.drop("text").schema.add("n_words", "long").add("hit_starts", T.ArrayType(T.LongType())).add("hit_lengths", T.ArrayType(T.LongType())).add("items", T.ArrayType(T.StringType()))
-    many = list(schema.names)[: -4]
 
-    def one(ids: list[str], texts: list[str]) -> DataFrame:
+    def one(rows: DataFrame, ids: list[str], texts: list[str]) -> DataFrame:
+        schema = rows.drop("text").schema.add("n_words", "long").add("hit_starts", T.ArrayType(T.LongType())).add("hit_lengths", T.ArrayType(T.LongType())).add("items", T.ArrayType(T.StringType()))
         known = np.unique(word_hashes(*lowered(pa.array(texts, pa.string())))[0])
         counts = _count_words(rows, known)
         block = Windows(ids, texts, lambda h: counts[np.searchsorted(known, h)], window)
@@ -184,15 +184,19 @@ def contamination(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, bl
 
         return rows.mapInArrow(search, schema)
 
-    parts = [one(ids, texts) for ids, texts in blocks(items, block_words)]
-    if len(parts) == 1:
-        return parts[0]
-    # several blocks: a document's rows of all blocks meet again by its id (its rows are alike but for hits)
-    joined = parts[0]
-    for p in parts[1:]:
-        joined = joined.unionByName(p)
+    told = blocks(items, block_words)
+    head, more = next(told), next(told, None)
+    if more is None:
+        return one(rows, *head)
+    # several blocks: every row has a key of its own, written once, by which its results of all blocks meet again
+    keyed = written(rows.withColumn("_row", F.monotonically_increasing_id()), "decontam")
+    joined = None
+    for block in chain((head, more), told):
+        part = one(keyed.select("_row", "text"), *block)
+        joined = part if joined is None else joined.unionByName(part)
     flat = lambda c: F.flatten(F.collect_list(c)).alias(c)
-    return joined.groupBy(*many, "n_words").agg(flat("hit_starts"), flat("hit_lengths"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    found = joined.groupBy("_row").agg(F.first("n_words").alias("n_words"), flat("hit_starts"), flat("hit_lengths"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return keyed.drop("text").join(found, "_row").drop("_row")
 
 
 def covered(starts: np.ndarray, lengths: np.ndarray) -> int:

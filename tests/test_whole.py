@@ -7,6 +7,7 @@ import duckdb
 import numpy as np
 import pytest
 
+from kindred.llm import decontam
 from kindred.operators import evaluate, graph
 from kindred.plans import catalogue
 
@@ -90,3 +91,13 @@ def test_bootstrap_draws_as_many_values_as_there_are(spark):
     assert [r.n for r in draws] == [300] * 20 and len({r.mean for r in draws}) == 20
     assert abs(np.mean([r.mean for r in draws]) - 149.5) < 5
     assert evaluate.bootstrap(few.where("x < 0"), "x", 20, "id").count() == 0
+
+
+def test_decontamination_rows_with_many_blocks(spark):
+    rows = [(1, "ab cd ef gh"), (1, "ab cd ef gh"), (None, "ab cd ef gh"), (None, "ij kl mn op"), (None, "no hit at all"), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([("q1", "ab cd ef"), ("q2", "kl mn"), ("q3", "zz zz zz")], "item_id string, text string")
+    one, many = (decontam.contamination(docs, bench, block_words=n) for n in (1_000_000, 3))
+    assert one.columns == many.columns
+    plain = lambda df: sorted((repr(tuple(r)) for r in decontam.digest_columns(df).collect()))
+    assert len(plain(many)) == len(rows) and plain(many) == plain(one)
