@@ -19,14 +19,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, 0.8) the document of the smallest id."""
-    found = neardup.near_duplicates(docs, size=5, percent=80)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    rows = docs.select(*DOCUMENTS)
-    again = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where(F.col("count") > 1)
-    if not again.isEmpty():  # repeated rows are copies too
-        rows = rows.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(rows.where(F.col("doc_id").isNull()))
-    return rows.join(gone, "doc_id", "left_anti").select(*DOCUMENTS)
+    """Of each group of near duplicates (five-word shingles, 0.8) the row of the smallest id; rows without id come last."""
+    rows = written(docs.select(*DOCUMENTS).withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = neardup.near_duplicates(rows, size=5, percent=80, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
+    kept = found.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(order)["_row"].alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select(*DOCUMENTS)
 
 
 def decontam_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +40,11 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes, with their number of copies."""
-    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text", "source", "lang", "n_chars"))  # rows without id count by their content
+    again = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where(F.col("count") > 1).select("doc_id", F.lit(True).alias("_again"))
+    many = not again.isEmpty()
+    docs = docs.join(again, "doc_id", "left") if many else docs
+    told = F.when(F.col("_again"), None).otherwise(F.col("doc_id").cast("long")) if many else F.col("doc_id").cast("long")
+    key = F.coalesce(told, F.xxhash64("text", "source", "lang", "n_chars"))  # rows without an id of their own count by their content
     mixed = mixing.mix_copies(docs.select(key.alias("doc_id"), "source", "text"))
     taken = mixed.where(F.col("copies") > 0).groupBy("doc_id").agg(F.max("size").alias("size"), F.max("copies").alias("copies"))
     return docs.join(taken.withColumnRenamed("doc_id", "_key"), key == F.col("_key")).select(*[docs[c] for c in DOCUMENTS], "size", "copies")
