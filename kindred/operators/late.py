@@ -1,4 +1,4 @@
-"""Late interaction, pooling and windows of ragged vector sets (V21-V28, T4, SC-free)."""
+"""Late interaction, pooling and windows of ragged vector sets (V21, V24-V28, T4, SC-free)."""
 
 from __future__ import annotations
 

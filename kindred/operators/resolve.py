@@ -1,4 +1,4 @@
-"""Search and entity resolution."""
+"""Search and entity resolution."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Scoring a library against a table of queries.
+"""Scoring a library against a table of queries.
 
 Queries are read in blocks of a fixed number of rows; a block is broadcast and every library
 batch is one matrix product with it.  Statistics over the whole library (z-scores) are a first

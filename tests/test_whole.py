@@ -114,3 +114,8 @@ def test_pipeline_keeps_texts_that_share_an_id(spark):
     two = spark.createDataFrame([(1, "one"), (1, "two two two two two " * 9)], "doc_id long, text string").selectExpr("*", "'en' lang", "'s' source", "1L n_chars")
     sizes = {r.text: r["size"] for r in P.mixing_stage(spark, two, DATA).collect()}
     assert len(sizes) == len(set(sizes.values())) == 2  # a row of its own each, not the larger of both
+
+
+def test_junk_filter_has_the_look_ahead_pattern(spark, tmp_path):
+    spark.createDataFrame([(1, "Money Trees x Blinding Lights\nmore"), (2, "Pola (The Geek x VRV Remix)"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.junk for r in catalogue.QUERIES["junk_filter"](spark, str(tmp_path)).collect()} == {1: True, 2: False, 3: False}
