@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,7 +13,8 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where that is unset (single-process tests) a local folder is made and set.
+    Only where that is unset and the session is a single process (tests) a local folder is made
+    and set; on a cluster executors would write to different disks, so that raises.
     """
     told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if told:
@@ -20,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
     if jvm_dir.isDefined():
         return jvm_dir.get().rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     made = "file://" + tempfile.mkdtemp(prefix="kindred-shared-")
     spark.sparkContext.setCheckpointDir(made)
     return made
@@ -49,3 +53,25 @@ def shuffle_parts(spark: SparkSession) -> int:
 def held_out(doc_id) -> F.Column:
     """crc32 of the id's text leaves 2 when divided by 4; a null id counts as the empty text."""
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 4) == 2
+
+
+#: A key with more than this share of all rows is frequent; so there are at most as many frequent keys.
+FREQUENT = 1024
+
+
+def salted_join(rows: DataFrame, small: DataFrame, key: str, salt: str, how: str = "inner") -> DataFrame:
+    """rows joined with small (a row per key), where the rows of a frequent key are dealt to many tasks by `salt`.
+
+    Frequent keys are found by a count that is combined before its shuffle; at most FREQUENT of them
+    come to the driver, and only their rows of `small` are repeated.
+    """
+    total = rows.count()
+    hot = rows.groupBy(key).agg(F.count("*").alias("_n")).where((F.col("_n") * FREQUENT > total) & F.col(key).isNotNull())
+    found = hot.select(key, F.ceil(F.col("_n") * FREQUENT / F.lit(max(total, 1))).cast("int").alias("_k")).collect()
+    if not found:
+        return rows.join(small, key, how)
+    hot = F.broadcast(rows.sparkSession.createDataFrame(found, rows.select(key).schema.add("_k", "integer")))
+    many = F.coalesce(F.col("_k"), F.lit(1))
+    dealt = rows.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(salt, F.lit(17)), many).cast("int")).drop("_k")
+    each = small.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), many - 1))).drop("_k")
+    return dealt.join(each, [key, "_salt"], how).drop("_salt")

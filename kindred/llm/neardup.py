@@ -136,7 +136,7 @@ def in_blocks(rows: DataFrame, group: str, sizes: DataFrame, most: int = CELL) -
 
 
 def by_cell(df: DataFrame, parts: int) -> DataFrame:
-    return df.repartition(parts, "cell").sortWithinPartitions("cell")
+    return df.repartition(parts, "cell").sortWithinPartitions("cell", "node")
 
 
 def groups_of(batches: Iterator[pa.RecordBatch], column: int = 0, most: int = 1 << 16) -> Iterator[pa.Table]:
@@ -159,25 +159,29 @@ def groups_of(batches: Iterator[pa.RecordBatch], column: int = 0, most: int = 1
         yield pa.Table.from_batches(held)
 
 
-def _forest(near, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a spanning forest of the graph near(i, rows) -> bool over n nodes."""
-    left, a, b = np.arange(n), [], []
+def _stars(near, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, other) for every node of the graph near(i, rows) -> bool but the first of its component."""
+    left, first, other = np.arange(n), [], []
     while len(left) > 1:
-        queue, left = [int(left[0])], left[1:]
+        root = int(left[0])
+        queue, left = [root], left[1:]
         while queue and len(left):
-            i = queue.pop()
-            hit = near(i, left)
+            hit = near(queue.pop(), left)
             if hit.any():
                 found = left[hit]
-                a.append(np.full(len(found), i)), b.append(found)
+                first.append(np.full(len(found), root)), other.append(found)
                 queue += found.tolist()
                 left = left[~hit]
     none = np.empty(0, np.int64)
-    return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
+    return (np.concatenate(first), np.concatenate(other)) if first else (none, none)
 
 
 def _near_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """cell, node, signature -> links whose signatures differ in at most LIMIT symbols."""
+    """cell, node, signature, sorted by cell and node -> links of every node to the smallest of its component in the cell.
+
+    Two nodes are joined in a cell where their signatures differ in at most LIMIT symbols.  The cells of
+    one group give the same few links, since the smallest node stands for all.
+    """
     for t in groups_of(batches):
         cell, node = t.column(0).to_numpy(), t.column(1).to_numpy()
         sig = np.frombuffer(b"".join(t.column(2).to_pylist()), np.uint8).reshape(-1, SYMBOLS)
@@ -185,26 +189,30 @@ def _near_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         size = np.diff(cut)
         out: list[tuple[np.ndarray, np.ndarray]] = []
         for m in np.unique(size[(size > 1) & (size <= 8)]).tolist():  # small cells: all their pairs at once
-            base = cut[:-1][size == m]
+            bases = cut[:-1][size == m]
             i, j = np.triu_indices(m, 1)
-            x, y = (base[:, None] + i).ravel(), (base[:, None] + j).ravel()
-            for s in range(0, len(x), 1 << 17):
-                p, q = x[s : s + (1 << 17)], y[s : s + (1 << 17)]
-                ok = (sig[p] != sig[q]).sum(axis=1) <= LIMIT
-                out.append((p[ok], q[ok]))
+            for s in range(0, len(bases), (1 << 17) // len(i)):
+                base = bases[s : s + (1 << 17) // len(i)]
+                joined = np.zeros((len(base), m, m), bool)
+                joined[:, i, j] = (sig[(base[:, None] + i)] != sig[(base[:, None] + j)]).sum(axis=2) <= LIMIT
+                joined |= joined.transpose(0, 2, 1) | np.eye(m, dtype=bool)
+                label = np.tile(np.arange(m), (len(base), 1))
+                for _ in range(m - 1):
+                    label = np.where(joined, label[:, None, :], m).min(axis=2)
+                out.append(((base[:, None] + label).ravel(), (base[:, None] + np.arange(m)).ravel()))
         for g in np.flatnonzero(size > 8).tolist():
             a, z = int(cut[g]), int(cut[g + 1])
             own = sig[a:z]
-            i, j = _forest(lambda i, rows, own=own: (own[rows] != own[i]).sum(axis=1) <= LIMIT, z - a)
+            i, j = _stars(lambda i, rows, own=own: (own[rows] != own[i]).sum(axis=1) <= LIMIT, z - a)
             out.append((i + a, j + a))
         if out:
-            p, q = np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
-            pair = np.unique(np.stack((np.minimum(node[p], node[q]), np.maximum(node[p], node[q])), axis=1), axis=0)
+            p, q = node[np.concatenate([x[0] for x in out])], node[np.concatenate([x[1] for x in out])]
+            pair = np.unique(np.stack((p[p != q], q[p != q]), axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
 
 
 def _confirm(size: int, percent: int):
-    """cell, node, text -> links of similarity >= percent / 100 on the full sets, as spanning forests."""
+    """cell, node, text -> links of every node to the smallest it is connected with in the cell, by similarities >= percent / 100 on the full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups_of(batches, most=1024):
@@ -228,7 +236,7 @@ def _confirm(size: int, percent: int):
                     union = many[i] + many[rows] - shared
                     return (union > 0) & (100 * shared >= percent * union)
 
-                i, j = _forest(near, n)
+                i, j = _stars(near, n)
                 x, y = node[a:z][i], node[a:z][j]
                 ok = x != y
                 yield pa.RecordBatch.from_arrays([pa.array(x[ok]), pa.array(y[ok])], ["a", "b"])
