@@ -1,4 +1,6 @@
 import base64
+import collections
+import functools
 import hashlib
 import random
 
@@ -70,26 +72,64 @@ def test_langid(spark, docs):
     assert {r.lang_pred for r in langid.predict(docs, nothing).collect()} == {"und"}
 
 
-def test_langid_sums_all_segmentations():
-    words = [langid.MARK + w for w in (b"the", b"th", "é".encode(), b"zzz")]
-    keys = langid.pieces(token_counts.tokenizer_path())
+def test_langid_sums_all_segmentations(monkeypatch):
+    words = [langid.MARK + w for w in (b"the", b"th", "é".encode(), b"zzz", b"internationalisierungsgesellschaften", "日本語の文章".encode(), "ééàà".encode(), b"")]
+    keys, longest = langid.pieces(token_counts.tokenizer_path())
     p = np.append(np.linspace(1, 2, len(keys)) / len(keys), 0)[:, None]
 
     def piece(x):
         h = bytesops.span_hashes(bytesops.prefix_hashes(np.frombuffer(x, np.uint8)), np.array([0]), np.array([len(x)]))[0]
         k = min(int(np.searchsorted(keys, h)), len(keys) - 1)
-        return p[k, 0] if keys[k] == h else 0.0
+        return (k, p[k, 0]) if keys[k] == h else (-1, 0.0)
 
-    def total(w):
+    @functools.cache
+    def total(w):  # (probability, expected uses of each piece times the probability)
         if not w:
-            return 1.0
-        s = sum(piece(w[:k]) * total(w[k:]) for k in range(1, len(w) + 1) if piece(w[:k]))
-        first = len(w.decode()[0].encode())
-        return s + langid.FLOOR * total(w[first:])
-
-    for at, grid, char in langid.grid(words, keys):
-        got = langid.forward(grid, char, p)[:, -1, 0]
-        assert np.allclose(got, [total(words[i]) for i in at], rtol=1e-9)
+            return 1.0, {}
+        s, uses = 0.0, collections.Counter()
+        first = len(w[: 1 + next((k for k in range(1, len(w)) if w[k] & 0xC0 != 0x80), len(w)) - 1])
+        for n in range(1, len(w) + 1):
+            k, q = piece(w[:n])
+            for rate, use in ((q, k), (langid.FLOOR if n == first else 0.0, None)):
+                if rate:
+                    rest, inner = total(w[n:])
+                    s += rate * rest
+                    uses.update({x: rate * y for x, y in inner.items()})
+                    if use is not None:
+                        uses[use] += rate * rest
+        return s, uses
+
+    for cells in (1 << 16, 8):  # one stretch, and many
+        monkeypatch.setattr(langid, "CELLS", cells)
+        seen, expected = set(), np.zeros(len(keys) + 1)
+        with np.errstate(divide="ignore"):
+            logp = np.log(p[:, 0])
+        for at, some in langid.batches_of(words, keys, longest):
+            assert np.allclose(langid.log_sums(some, p)[:, 0], [np.log(total(words[i])[0]) for i in at], rtol=1e-9)
+            langid.expected_pieces(some, np.ones(len(at)), logp, expected)
+            seen |= set(at.tolist())
+        assert seen == set(range(len(words)))
+        want = np.zeros(len(keys) + 1)
+        for w in words:
+            s, uses = total(w)
+            for k, n in uses.items():
+                want[k] += n / s
+        assert np.allclose(expected, want, rtol=1e-7)
+
+
+def test_langid_takes_words_whole(spark):
+    """A word far beyond any stretch is scored as the sum over all its segmentations, without underflow."""
+    keys, longest = langid.pieces(token_counts.tokenizer_path())
+    p = np.append(np.linspace(1, 2, len(keys)) / len(keys), 0)[:, None] * np.ones((1, 2))
+    one, two = (langid.log_sums(langid.Words([langid.MARK + b"ab" * n], keys, longest), p)[0, 0] for n in (2000, 4000))
+    assert np.isfinite([one, two]).all() and abs(two / one - 2) < 0.01
+    texts = [("the and of with " * 30, "en"), ("der die das und " * 30, "de")]
+    docs = spark.createDataFrame([(i, *texts[i % 2]) for i in range(8)], "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    odd = [("the" * 5000, "en"), ("derunddas" * 3000, "de"), (None, "und"), ("", "und"), ("12 . 3", "und")] + [("und die der", "de")] * 2
+    got = langid.predict(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(odd)], "doc_id long, text string"), model).collect()
+    assert {r.doc_id: r.lang_pred for r in got} == {i: w for i, (_, w) in enumerate(odd)}
+    assert langid.predict(docs.where("false"), model).count() == 0
 
 
 def test_langid_held_out_accuracy(spark):
