@@ -108,7 +108,7 @@ def profiles(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str =
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, node) for each chunk and left-out symbol."""
+    """(key, node, slot) for each chunk and left-out symbol; slot is the place of that symbol."""
     for b in batches:
         node = b.column(0).to_numpy()
         n = len(node)
@@ -119,8 +119,8 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in range(CHUNKS):
             for k in range(WIDTH):
                 keys[:, c, k] = B.mix(whole[:, c] - sig[:, c, k] * weight[k] + np.uint64((c * WIDTH + k + 1) << 44))
-        many = CHUNKS * WIDTH
-        yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(node, many))], ["key", "node"])
+        slot = np.tile(np.arange(SYMBOLS, dtype=np.int32), n)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(node, SYMBOLS)), pa.array(slot)], ["key", "node", "slot"])
 
 
 def in_blocks(rows: DataFrame, group: str, sizes: DataFrame, most: int = CELL) -> DataFrame:
@@ -159,55 +159,59 @@ def groups_of(batches: Iterator[pa.RecordBatch], column: int = 0, most: int = 1
         yield pa.Table.from_batches(held)
 
 
-def _stars(near, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first, other) for every node of the graph near(i, rows) -> bool but the first of its component."""
-    left, first, other = np.arange(n), [], []
+def _forest(near, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first of the component, parent, child) of a spanning forest of the graph near(i, rows) -> bool over n nodes."""
+    left, out = np.arange(n), []
     while len(left) > 1:
         root = int(left[0])
         queue, left = [root], left[1:]
         while queue and len(left):
-            hit = near(queue.pop(), left)
+            i = queue.pop()
+            hit = near(i, left)
             if hit.any():
                 found = left[hit]
-                first.append(np.full(len(found), root)), other.append(found)
+                out.append((np.full(len(found), root), np.full(len(found), i), found))
                 queue += found.tolist()
                 left = left[~hit]
-    none = np.empty(0, np.int64)
-    return (np.concatenate(first), np.concatenate(other)) if first else (none, none)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 3
 
 
 def _near_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """cell, node, signature, sorted by cell and node -> links of every node to the smallest of its component in the cell.
+    """cell, node, slot, signature, sorted by cell and node -> links that connect the nodes whose signatures differ in at most LIMIT symbols.
 
-    Two nodes are joined in a cell where their signatures differ in at most LIMIT symbols.  The cells of
-    one group give the same few links, since the smallest node stands for all.
+    Nodes of a cell that agree in the left-out symbol too are in all WIDTH cells of the chunk.  They are
+    linked, to the smallest they are connected with, in the chunk's first cell alone; in the others only
+    nodes that differ there are.
     """
     for t in groups_of(batches):
-        cell, node = t.column(0).to_numpy(), t.column(1).to_numpy()
-        sig = np.frombuffer(b"".join(t.column(2).to_pylist()), np.uint8).reshape(-1, SYMBOLS)
+        cell, node, slot = (t.column(k).to_numpy() for k in range(3))
+        sig = np.frombuffer(b"".join(t.column(3).to_pylist()), np.uint8).reshape(-1, SYMBOLS)
+        said = sig[np.arange(len(slot)), slot]
         cut = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1], [True])))
         size = np.diff(cut)
         out: list[tuple[np.ndarray, np.ndarray]] = []
         for m in np.unique(size[(size > 1) & (size <= 8)]).tolist():  # small cells: all their pairs at once
-            bases = cut[:-1][size == m]
+            base = cut[:-1][size == m]
             i, j = np.triu_indices(m, 1)
-            for s in range(0, len(bases), (1 << 17) // len(i)):
-                base = bases[s : s + (1 << 17) // len(i)]
-                joined = np.zeros((len(base), m, m), bool)
-                joined[:, i, j] = (sig[(base[:, None] + i)] != sig[(base[:, None] + j)]).sum(axis=2) <= LIMIT
-                joined |= joined.transpose(0, 2, 1) | np.eye(m, dtype=bool)
-                label = np.tile(np.arange(m), (len(base), 1))
-                for _ in range(m - 1):
-                    label = np.where(joined, label[:, None, :], m).min(axis=2)
-                out.append(((base[:, None] + label).ravel(), (base[:, None] + np.arange(m)).ravel()))
+            x, y = (base[:, None] + i).ravel(), (base[:, None] + j).ravel()
+            new = (slot[x] % WIDTH == 0) | (said[x] != said[y])
+            x, y = x[new], y[new]
+            for s in range(0, len(x), 1 << 17):
+                p, q = x[s : s + (1 << 17)], y[s : s + (1 << 17)]
+                ok = (sig[p] != sig[q]).sum(axis=1) <= LIMIT
+                out.append((p[ok], q[ok]))
         for g in np.flatnonzero(size > 8).tolist():
             a, z = int(cut[g]), int(cut[g + 1])
-            own = sig[a:z]
-            i, j = _stars(lambda i, rows, own=own: (own[rows] != own[i]).sum(axis=1) <= LIMIT, z - a)
-            out.append((i + a, j + a))
+            own, symbol = sig[a:z], said[a:z]
+            first, i, j = _forest(lambda i, rows, own=own: (own[rows] != own[i]).sum(axis=1) <= LIMIT, z - a)
+            if slot[a] % WIDTH:
+                new = symbol[i] != symbol[j]
+                out.append((i[new] + a, j[new] + a))
+            else:
+                out.append((first + a, j + a))
         if out:
             p, q = node[np.concatenate([x[0] for x in out])], node[np.concatenate([x[1] for x in out])]
-            pair = np.unique(np.stack((p[p != q], q[p != q]), axis=1), axis=0)
+            pair = np.unique(np.stack((np.minimum(p, q), np.maximum(p, q)), axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
 
 
@@ -236,8 +240,8 @@ def _confirm(size: int, percent: int):
                     union = many[i] + many[rows] - shared
                     return (union > 0) & (100 * shared >= percent * union)
 
-                i, j = _stars(near, n)
-                x, y = node[a:z][i], node[a:z][j]
+                first, _, j = _forest(near, n)
+                x, y = node[a:z][first], node[a:z][j]
                 ok = x != y
                 yield pa.RecordBatch.from_arrays([pa.array(x[ok]), pa.array(y[ok])], ["a", "b"])
 
@@ -296,10 +300,10 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, id_col
     nodes = sets.groupBy(*same).agg(F.min("doc_id").alias("node"), F.min("signature").alias("signature"))
     nodes = written(nodes, "nodes")
     # 1. candidate links: the multi-index join of signatures
-    keys = nodes.select("node", "signature").mapInArrow(_keys, "key long, node long")
+    keys = nodes.select("node", "signature").mapInArrow(_keys, "key long, node long, slot int")
     counts = keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    rows = in_blocks(keys, "key", counts).select("cell", "node")
-    rows = rows.join(nodes.select("node", "signature"), "node").select("cell", "node", "signature")
+    rows = in_blocks(keys, "key", counts).select("cell", "node", "slot")
+    rows = rows.join(nodes.select("node", "signature"), "node").select("cell", "node", "slot", "signature")
     maybe = by_cell(rows, parts).mapInArrow(_near_signatures, "a long, b long")
     groups = components(maybe)
     # 2. exact links: the candidate groups on their full sets
