@@ -240,13 +240,73 @@ def test_pii_base_is_the_patterns(spark, docs):
     assert all(sorted(pii.base_spans(t)) == brute.base_spans(t) for t in texts)
 
 
+def _tags(model, rows):
+    """Labels of each row of words, by the batch decoder."""
+    at = np.concatenate(([0], np.cumsum([len(w) for w in rows])))
+    words = [w for r in rows for w in r]
+    telling = np.array([k for k, w in enumerate(words) if pii._TELLING.search(w)], np.int64)
+    place, found = model.decode(telling, at, lambda which: model.vectors([words[k] for k in which.tolist()]))
+    tags = np.zeros(len(words), np.int64)
+    tags[place] = found
+    return [tags[a:b] for a, b in zip(at[:-1], at[1:])]
+
+
+def test_pii_decoder_is_plain_viterbi():
+    """On every chain of telling words and their neighbours, between two O."""
+    model = pii.trained()
+    rows = [w for w, _ in pii.labelled_rows(60, seed=3)] + [["plain", "words"] * 30 + ["call", "(206)", "555-0134"] + ["more"] * 20 + ["7"], ["x"], []]
+    for words, got in zip(rows, _tags(model, rows), strict=True):
+        near = [any(abs(i - k) <= pii.CONTEXT and pii._TELLING.search(w) for k, w in enumerate(words)) for i in range(len(words))]
+        grid = [model._sum(f) + (0 if ok else np.where(np.arange(len(pii.LABELS)), -1e6, 0)) for f, ok in zip(pii.windowed(words), near, strict=True)]
+        if not words:
+            continue
+        best, back = grid[0] + pii.START, []
+        for e in grid[1:]:
+            step = best[:, None] + model.move + pii.LEGAL
+            back.append(step.argmax(axis=0))
+            best = step.max(axis=0) + e
+        path = [int(best.argmax())]
+        for x in reversed(back):
+            path.append(int(x[path[-1]]))
+        assert got.tolist() == path[::-1]
+
+
 def test_pii_crf(spark):
     model = pii.trained()
     held = pii.labelled_rows(200, seed=99)
-    tags = model.decode([w for w, _ in held])
+    tags = _tags(model, [w for w, _ in held])
     assert sum([pii.LABELS[k] for k in t] == want for t, (_, want) in zip(tags, held)) >= 0.9 * len(held)
-    found = pii.crf_spans(['see token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" there', "nothing here", "", "in 1999 it was 25% more"], model)
-    assert [k for _, _, k in found[0]] == ["secret"] and found[1] == found[2] == found[3] == []
+    texts = ['see token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" there', "nothing here", "", "in 1999 it was 25% more", None, "é 中 " * 9 + "mail me: joe [at] example [dot] org now"]
+    found = pii.crf_spans(pa.array(texts), model)
+    assert [k for _, _, k in found[0]] == ["secret"] and found[1] == found[2] == found[3] == found[4] == []
+    assert [texts[5][a:b] for a, b, _ in found[5]] == ["joe [at] example [dot] org"]
+
+
+def test_pii_long_runs_of_digits():
+    """Very long digit runs neither break nor take long."""
+    far = "1.2.3." + "0" * 5000 + "1"
+    assert pii.base_spans(far) == [(0, len(far), "ip")]
+    t = "7" * 300_000 + " " + "1." * 100_000 + " +1" + "(" * 100_000
+    assert [k for _, _, k in pii.base_spans(t)] == ["ip"] * 25_000 and pii.base_spans("9" * 5000 + ".1.1.1") == []
+    assert pii.apart([(0, 3, "x"), (3, 5, "x"), (9, 12, "x")], [(4, 9, "ip")]) == [(0, 3, "x"), (9, 12, "x")]
+
+
+def test_op3_rows(spark, tmp_path):
+    """The registered query's rows: nulls, empty and long texts, repeated rows, an empty table, clashing columns."""
+    texts = [(i, t) for i, t in pairs()] + [(6, dict(pairs())[6]), (None, "a@b.org"), (70, "é 1.2.3.4 x@y.zz " * 4000), (71, "1.2.3." + "0" * 5000)]
+    df = spark.createDataFrame([(i, t, 1, "x") for i, t in texts], "doc_id long, text string, base int, spans string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(pii.op3_pii(spark, str(tmp_path)).collect(), key=repr)
+    want = []
+    for i, t in texts:
+        base = sorted(pii.base_spans(t or ""), key=lambda s: (s[0], pii.KINDS.index(s[2])))
+        want.append((i, *(sum(k == s[2] for s in base) for k in pii.BASE_KINDS), hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, b, k in base).encode()).hexdigest()))
+    assert sorted([tuple(r)[:6] for r in got], key=repr) == sorted(want, key=repr)
+    for r in got:
+        said = [x.split(":") for x in r.spans.split(",") if x]
+        assert [int(x[1]) for x in said] == sorted(int(x[1]) for x in said) and len(said) >= r.n_email + r.n_ip + r.n_card + r.n_phone
+    df.where("false").write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert pii.op3_pii(spark, f"{tmp_path}/none").count() == 0
 
 
 def test_pii_masks(spark, docs):
