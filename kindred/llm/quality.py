@@ -2,18 +2,22 @@
 
 Two logistic classifiers see the same documents differently: one the text's content (byte and
 word statistics, hashed words), one the page's metadata (source, language, stated length).
-Over rounds each gives its most confident unlabelled documents, as pseudo-labels, to the other.
-Both are calibrated (Platt) on labelled rows that neither was fitted on, their calibrated log
-odds are combined, and all documents are scored over their whole texts.
+Over rounds each gives its most confident documents, out of all unlabelled ones, as pseudo-labels to
+the other.  Both are calibrated (Platt, with a weak prior on no change), and their log odds combined, on
+all labelled rows of a quarter of the ids that neither was fitted on; all documents are scored over
+their whole texts.
 
-Fitting reads a bounded sample: about `fit_rows` labelled and `pool_rows` unlabelled documents,
-chosen by a hash of the id.  The threshold of rejection is the largest, up to 0.5, that keeps
-at least `keep` of the good rows of the calibration part.
+What comes to the driver are features, not texts: of about `fit_rows` labelled rows outside that
+quarter (chosen by a hash of id and text) and of at most `give` pseudo-labelled documents a round and
+view.  Calibration sums, the threshold and the choice of pseudo-labels run over all rows in Spark.
+The threshold of rejection is the largest, up to 0.5, that keeps at least `keep` of the good rows of
+the calibration quarter.
 
 Defined results: a null text is empty; null metadata are a value of their own; null labels count
-as none; of several labels of an id the largest holds; without labels of both kinds every score
-is 0.5 and nothing is rejected; repeated rows each get a row; an empty table gives an empty
-result.
+as none; of several labels of an id the largest holds; without labels of both kinds outside the
+calibration quarter every score is 0.5 and nothing is rejected; without good rows in the quarter
+nothing is rejected; rows that repeat id and text are learned from once, and each get a row; an empty
+table gives an empty result; columns besides id, text, metadata and the carried ones are not read.
 """
 
 from __future__ import annotations
@@ -26,9 +30,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .common import table
+from .common import table, written
 
-FIT_ROWS, POOL_ROWS, KEEP = 2500, 2500, 0.995
+FIT_ROWS, GIVE, KEEP, ROUNDS = 2500, 100, 0.995, 2
 BUCKETS, META = 1 << 11, 1 << 9
 CLASSES = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "lower": b"abcdefghijklmnopqrstuvwxyz", "digit": b"0123456789", "space": b" \t", "line": b"\n", "stop": b".,;:'\"-()", "loud": b"!?", "mark": b"#$%&*|<>{}[]=+_~^@/\\"}
 
@@ -124,74 +128,141 @@ class Model:
         return p(a * one + b), p(c * two + d), p(e * one + f * two + g)
 
 
-def co_train(labelled: list, pool: list, *, rounds: int = 4, give: int = 100, keep: float = KEEP) -> Model:
-    """labelled, pool: (texts, metadata columns[, labels]) as Arrow."""
-    texts, columns, y = labelled
-    y = np.asarray(y, float)
-    if len(y) < 20 or y.min() == y.max():
-        return Model(None, None, None, None, None, 0.0)
+def _features(rows: DataFrame, meta: int) -> pa.Table:
+    """Features of (row, y, text, *metadata), one of equal rows: row, y, dense, buckets, shares, meta as packed numbers, by row."""
+    schema = "row long, y long, dense binary, buckets binary, shares binary, meta binary"
 
-    def dense_of(texts):
-        dense, row, bucket, share = text_features(texts)
-        out = np.zeros((len(texts), dense.shape[1] + BUCKETS), np.float32)
-        out[:, : dense.shape[1]] = dense
-        out[row, dense.shape[1] + bucket] = np.sqrt(share)
-        return out, dense.shape[1]
-
-    x, d = dense_of(texts)
-    u, _ = dense_of(pool[0])
-    mean, scale = x[:, :d].mean(axis=0), x[:, :d].std(axis=0) + 1e-3
-    for part in (x, u):
-        part[:, :d] = ((part[:, :d] - mean) / scale).clip(-6, 6)
-
-    def onehot(m):
-        out = np.zeros((len(m), META), np.float32)
-        np.add.at(out, (np.arange(len(m))[:, None], m), 1)
-        return out
-
-    m, v = onehot(meta_features(columns)), onehot(meta_features(pool[1]))
-    held = np.arange(len(y)) % 4 == 3
-    fit = ~held
-    good, bad = max(y[fit].sum(), 1), max((1 - y[fit]).sum(), 1)
-    weight = np.where(y == 1, len(y) / (2 * good), len(y) / (2 * bad))
-    taught = [(np.empty(0, np.int64), np.empty(0)), (np.empty(0, np.int64), np.empty(0))]
-    share = y[fit].mean()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            dense, row, bucket, share = text_features(b.column(2))
+            m = meta_features(b.columns[3 : 3 + meta])
+            cut = np.searchsorted(row, np.arange(b.num_rows + 1))
+            packed = lambda x, t: pa.array([x[i].astype(t).tobytes() for i in range(b.num_rows)], pa.binary())
+            parts = lambda x, t: pa.array([x[i:j].astype(t).tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), packed(dense, np.float64), parts(bucket, np.int16), parts(share, np.float32), packed(m, np.int32)], ["row", "y", "dense", "buckets", "shares", "meta"])
+
+    once = rows.mapInArrow(run, schema).groupBy("row").agg(*[F.first(c).alias(c) for c in ("y", "dense", "buckets", "shares", "meta")])
+    return once.toArrow().sort_by("row")
+
+
+def _matrices(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(dense, hashed words, one-hot metadata) of _features rows."""
+    n = t.num_rows
+    of = lambda c, k: np.frombuffer(b"".join(t.column(c).to_pylist()), k)
+    dense = of("dense", np.float64).reshape(n, -1) if n else np.zeros((0, len(CLASSES) + 9))
+    hashed, meta = np.zeros((n, BUCKETS), np.float32), np.zeros((n, META), np.float32)
+    for i, (b, s, m) in enumerate(zip(t.column("buckets").to_pylist(), t.column("shares").to_pylist(), t.column("meta").to_pylist(), strict=True)):
+        hashed[i, np.frombuffer(b, np.int16)] = np.sqrt(np.frombuffer(s, np.float32))
+        np.add.at(meta[i], np.frombuffer(m, np.int32), 1)
+    return dense, hashed, meta
+
+
+def _views(docs: DataFrame, model: Model, meta: tuple[str, ...], what: str) -> DataFrame:
+    """(doc_id, row, z1, z2) of every document, written: log odds of both views."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            one, two = shared.value.views(b.column(2), b.columns[3:])
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(one), pa.array(two)], ["doc_id", "row", "z1", "z2"])
+
+    rows = docs.select("doc_id", _row(), F.col("text").alias("_text"), *[F.col(c).alias(f"_view_{c}") for c in meta])
+    return written(rows.mapInArrow(run, docs.select("doc_id").schema.add("row", "long").add("z1", "double").add("z2", "double")), what)
+
+
+def _row() -> F.Column:
+    return F.xxhash64("doc_id", "text").alias("row")
+
+
+def _calibrated(rows: DataFrame, rounds: int = 40) -> list[tuple[float, ...]]:
+    """Weights of (z1, 1), (z2, 1) and (z1, z2, 1) by Newton steps whose sums run over all rows (z1, z2, y)."""
+    inputs = [("z1",), ("z2",), ("z1", "z2")]
+    prior = [np.array([1.0, 0.0]), np.array([1.0, 0.0]), np.array([0.5, 0.5, 0.0])]
+    best, least, step = [p.copy() for p in prior], [np.inf] * 3, [np.zeros(len(p)) for p in prior]
+    for _ in range(rounds):
+        tried, sums = [w - d for w, d in zip(best, step, strict=True)], []
+        for k, (names, w) in enumerate(zip(inputs, tried, strict=True)):
+            x = [*(F.col(n) for n in names), F.lit(1.0)]
+            odds = sum((c * float(v) for c, v in zip(x, w, strict=True)), F.lit(0.0))
+            p = 1 / (1 + F.exp(-odds))
+            terms = {"loss": F.greatest(odds, F.lit(0.0)) + F.log1p(F.exp(-F.abs(odds))) - odds * F.col("y")}
+            terms |= {f"g{i}": (p - F.col("y")) * c for i, c in enumerate(x)}
+            terms |= {f"h{i}_{j}": p * (1 - p) * a * b for i, a in enumerate(x) for j, b in enumerate(x)}
+            sums += [F.coalesce(F.sum(t), F.lit(0.0)).alias(f"{k}_{name}") for name, t in terms.items()]
+        told, moved = rows.agg(*sums).first(), 0.0
+        for k, w in enumerate(tried):
+            d, off = range(len(w)), w - prior[k]
+            loss = told[f"{k}_loss"] + 0.5 * float(off @ off)
+            if loss <= least[k] + 1e-12:
+                best[k], least[k] = w, loss
+                g = np.array([told[f"{k}_g{i}"] for i in d]) + off
+                step[k] = np.linalg.solve(np.array([[told[f"{k}_h{i}_{j}"] for j in d] for i in d]) + np.eye(len(w)), g)
+            else:  # too far: half the step, from where it was best
+                step[k] = step[k] / 2
+            moved = max(moved, float(np.abs(step[k]).max()))
+        if moved < 1e-9:
+            break
+    return [tuple(float(v) for v in w) for w in best]
+
+
+def fitted(docs: DataFrame, labels: DataFrame, *, meta=("source", "lang", "n_chars"), target: str = "quality", fit_rows: int = FIT_ROWS, give: int = GIVE, rounds: int = ROUNDS, keep: float = KEEP) -> tuple[Model, DataFrame | None]:
+    """The model, and (doc_id, row, z1, z2) of all documents, None where nothing could be learned."""
+    told = labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull()).groupBy("doc_id").agg(F.max(target).cast("long").alias("_y"))
+    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 3
+    known = docs.select("doc_id", "text", *meta).join(told, "doc_id")
+    n = docs.select("doc_id").join(told.where(~held), "doc_id").count()
+    place = F.pmod(F.xxhash64("doc_id", "text", F.lit(5)), F.lit(1 << 30))
+    some = known.where(~held & (place < int(min(1.0, fit_rows / max(n, 1)) * (1 << 30))))
+    sample = _features(some.select(_row(), F.col("_y"), "text", *meta), len(meta))
+    y = sample.column("y").to_numpy().astype(float)
+    if not len(y) or y.min() == y.max():
+        return Model(None, None, None, None, None, 0.0), None
+    dense, hashed, m = _matrices(sample)
+    mean, scale = dense.mean(axis=0), dense.std(axis=0) + 1e-3
+    joined = lambda dense, hashed: np.hstack((((dense - mean) / scale).clip(-6, 6).astype(np.float32), hashed))
+    x, share = joined(dense, hashed), y.mean()
+    weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
+    none = (np.zeros((0, x.shape[1]), np.float32), np.zeros((0, META), np.float32), np.empty(0))
+    taught = [none, none]  # what each view learns from the other: text features, metadata, pseudo-labels
     for r in range(rounds + 1):
         ws = []
-        for (known, unknown), (rows, said), ridge in zip(((x, u), (m, v)), taught, (1e-3, 1e-2), strict=True):
-            ws.append(logistic(np.vstack((known[fit], unknown[rows])), np.append(y[fit], said), np.append(weight[fit], np.full(len(rows), 0.3)), ridge))
-        if r == rounds or not len(u):
-            break
-        given = []
-        for unknown, w in ((u, ws[0]), (v, ws[1])):
-            z = unknown @ w[:-1] + w[-1]
-            p, order = 1 / (1 + np.exp(-np.clip(z, -30, 30))), np.argsort(z, kind="stable")
-            n = give * (r + 1)
-            low, high = order[: max(1, int(n * (1 - share)))], order[::-1][: int(n * share)]
-            low, high = low[p[low] < 0.1], high[p[high] > 0.9]  # the confident only
-            given.append((np.append(low, high), np.append(np.zeros(len(low)), np.ones(len(high)))))
-        taught = [given[1], given[0]]
-    one, two = x[held] @ ws[0][:-1] + ws[0][-1], m[held] @ ws[1][:-1] + ws[1][-1]
-    even = np.ones(int(held.sum()))
-    fits = [logistic(np.stack(z, axis=1), y[held], even, 1e-4, 400) for z in ((one,), (two,), (one, two))]
-    p = 1 / (1 + np.exp(-(fits[2][0] * one + fits[2][1] * two + fits[2][2])))
-    threshold = min(0.5, float(np.quantile(p[y[held] == 1], 1 - keep))) if (y[held] == 1).any() else 0.0
-    return Model(mean, scale, ws[0], ws[1], [tuple(f) for f in fits], threshold)
-
-
-def fit(docs: DataFrame, labels: DataFrame, *, meta=("source", "lang", "n_chars"), target: str = "quality", fit_rows: int = FIT_ROWS, pool_rows: int = POOL_ROWS, keep: float = KEEP) -> Model:
-    told = labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull()).groupBy("doc_id").agg(F.max(target).alias("_y"))
-    n, total = told.count(), docs.select("doc_id").count()
-    place = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
-    rate, pool_rate = min(1.0, fit_rows / max(n, 1)), min(1.0, pool_rows / max(total - n, 1))
-    some = docs.where(place < max(rate, pool_rate)).select("doc_id", F.col("text").alias("_text"), *meta)
-    sample = some.join(told.where(place < max(rate, pool_rate)), "doc_id", "left").where(((place < rate) & F.col("_y").isNotNull()) | ((place < pool_rate) & F.col("_y").isNull()))
-    rows = sample.toArrow().sort_by("doc_id")
-    rows = rows.set_column(1, "_text", rows.column(1).cast(pa.large_string()))
-    y = rows.column("_y")
-    part = lambda t: (t.column("_text").combine_chunks(), [t.column(c).combine_chunks() for c in meta])
-    known = rows.filter(y.is_valid())
-    return co_train([*part(known), known.column("_y").to_numpy()], part(rows.filter(y.is_null())), keep=keep)
+        for known_, which, (more, ridge) in zip((x, m), (0, 1), zip(taught, (1e-3, 1e-2), strict=True), strict=True):
+            ws.append(logistic(np.vstack((known_, more[which])), np.append(y, more[2]), np.append(weight, np.full(len(more[2]), 0.3)), ridge))
+        model = Model(mean, scale, *ws, None, 0.0)
+        z = _views(docs, model, meta, f"views{r}")
+        if r < rounds:
+            taught = _pseudo_labels(docs, z, told, meta, give * (r + 1), share, joined)
+    quarter = written(z.where(held).join(told, "doc_id").select("z1", "z2", F.col("_y").alias("y")), "quarter")
+    model.calibrate = _calibrated(quarter)
+    e, f, g = model.calibrate[2]
+    p = 1 / (1 + F.exp(-(F.col("z1") * e + F.col("z2") * f + F.lit(g))))
+    low = quarter.where("y = 1").agg(F.percentile_approx(p, 1 - keep, 100_000)).first()[0]
+    model.threshold = 0.0 if low is None else min(0.5, float(low))
+    return model, z
+
+
+def _pseudo_labels(docs: DataFrame, z: DataFrame, told: DataFrame, meta: tuple[str, ...], n: int, share: float, joined) -> list:
+    """For each view the features and labels of the other's most confident unlabelled documents: at most n."""
+    rows = z.join(told.select("doc_id"), "doc_id", "left_anti").groupBy("row").agg(F.first("z1").alias("z1"), F.first("z2").alias("z2"))
+    rows, sure = written(rows, "unlabelled"), float(np.log(9))
+    out = []
+    for view in ("z2", "z1"):  # the view that teaches
+        low = rows.where(F.col(view) < -sure).orderBy(view, "row").limit(max(1, int(n * (1 - share)))).select("row", F.lit(0).cast("long").alias("_y"))
+        high = rows.where(F.col(view) > sure).orderBy(F.desc(view), "row").limit(max(1, int(n * share))).select("row", F.lit(1).cast("long").alias("_y"))
+        out.append(low.unionByName(high).toPandas())
+    chosen = {int(k) for t in out for k in t.row}
+    if not chosen:
+        empty = _matrices(_features(docs.where("false").select(_row(), F.lit(0).cast("long").alias("_y"), "text", *meta), len(meta)))
+        return [(joined(*empty[:2]), empty[2], np.empty(0))] * 2
+    picked = F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in sorted(chosen)], "row long"))  # at most 2 n rows
+    t = _features(docs.withColumn("row", _row()).join(picked, "row").select("row", F.lit(0).cast("long").alias("_y"), "text", *meta), len(meta))
+    dense, hashed, m = _matrices(t)
+    x, at = joined(dense, hashed), {k: i for i, k in enumerate(t.column("row").to_pylist())}
+    return [(x[i], m[i], table._y.to_numpy(float)) for table in out for i in [[at[int(k)] for k in table.row]]]
+
+
+def fit(docs: DataFrame, labels: DataFrame, **options) -> Model:
+    return fitted(docs, labels, **options)[0]
 
 
 def score(docs: DataFrame, model: Model, *, meta=("source", "lang", "n_chars"), carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -212,5 +283,11 @@ def score(docs: DataFrame, model: Model, *, meta=("source", "lang", "n_chars"),
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = score(docs, fit(docs, table(spark, sf_dir, "labels")))
-    return found.select("doc_id", F.col("_p").alias("score"), F.col("_p_text").alias("score_text"), F.col("_p_meta").alias("score_meta"), F.col("_rejected").alias("rejected"))
+    model, z = fitted(docs, table(spark, sf_dir, "labels"))
+    if z is None:
+        half = F.lit(0.5)
+        return docs.select("doc_id", half.alias("score"), half.alias("score_text"), half.alias("score_meta"), F.lit(False).alias("rejected"))
+    p = lambda x: 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), x))))
+    (a, b), (c, d), (e, f, g) = model.calibrate
+    both = p(F.col("z1") * e + F.col("z2") * f + F.lit(g))
+    return z.select("doc_id", both.alias("score"), p(F.col("z1") * a + F.lit(b)).alias("score_text"), p(F.col("z2") * c + F.lit(d)).alias("score_meta"), (both < model.threshold).alias("rejected"))

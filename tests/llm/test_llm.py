@@ -365,11 +365,46 @@ def test_mixing(spark, docs):
 
 
 def test_quality(spark):
-    d, y = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
-    got = quality.score(d, quality.fit(d, y)).join(y, "doc_id").collect()
+    """On rows of the quarter that no classifier was fitted on."""
+    d, y = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    y = y.groupBy("doc_id").agg(F.max("quality").alias("quality")).where("quality is not null")
+    got = quality.op8_quality(spark, "/root/testdata/sf0.1").join(y, "doc_id").where(F.crc32(F.col("doc_id").cast("string")) % 4 == 3).collect()
     good, bad = [r for r in got if r.quality == 1], [r for r in got if r.quality == 0]
-    assert sum(r._rejected for r in good) <= 0.02 * len(good) and sum(r._rejected for r in bad) >= 0.8 * len(bad)
-    assert quality.score(d, quality.fit(d, y.where("false"))).where("_rejected").count() == 0
+    assert len(good) > 100 and len(bad) > 20
+    assert sum(r.rejected for r in good) <= 0.01 * len(good) and sum(r.rejected for r in bad) >= 0.8 * len(bad)
+    assert sum(r.score > 0.5 for r in good) >= 0.95 * len(good)
+
+
+def test_quality_odd_inputs(spark):
+    """Few labels, one kind of label, nulls, repeated rows, long texts, an empty table, clashing columns."""
+    rng = random.Random(4)
+    say = lambda n, bad: " ".join(rng.choice(["###", "!!", "$$", "%%"] if bad else ["tea", "house", "river", "walk"]) for _ in range(n))
+    texts = [(i, None if i == 1 else "" if i == 2 else say(30_000 if i == 3 else 40, i % 3 == 0), None if i == 5 else "en", f"s{i % 3}", None if i == 6 else i) for i in range(40)]
+    docs = spark.createDataFrame([*texts, texts[9], texts[9]], SCHEMA).withColumn("score", F.lit("x")).withColumn("row", F.lit(1)).withColumn("_y", F.lit(7))
+    labels = spark.createDataFrame([(i, int(i % 3 != 0), 0) for i in range(6, 18)] + [(7, None, None), (None, 1, 1), (9, 0, 0)], "doc_id long, quality long, toxic long")
+    model, z = quality.fitted(docs, labels)
+    got = quality.score(docs, model, carry=("doc_id", "score", "row")).collect()
+    assert len(got) == 42 and all(0 <= r._p <= 1 for r in got)
+    seen = {r.doc_id: r._p for r in got}
+    assert len({r._p for r in got if r.doc_id == 9}) == 1
+    assert np.mean([seen[i] for i in range(18, 40) if i % 3]) > np.mean([seen[i] for i in range(18, 40) if not i % 3]) + 0.2
+    again = {r.doc_id: r._p for r in quality.score(docs.repartition(3), quality.fit(docs.repartition(3), labels)).collect()}
+    assert again == pytest.approx(seen)
+    for few in (labels.where("quality = 1"), labels.where("false")):
+        flat = quality.score(docs, quality.fit(docs, few)).collect()
+        assert {r._p for r in flat} == {0.5} and not any(r._rejected for r in flat)
+    assert quality.score(docs.where("false"), model).count() == 0 == quality.score(docs.where("false"), quality.fit(docs.where("false"), labels)).count()
+
+
+def test_quality_calibration_is_the_penalised_optimum(spark):
+    rng = np.random.default_rng(2)
+    z, y = rng.normal(size=(300, 2)) * 2, rng.integers(0, 2, 300)
+    rows = spark.createDataFrame([(float(a), float(b), int(k)) for (a, b), k in zip(z, y)], "z1 double, z2 double, y long")
+    found = quality._calibrated(rows)
+    for x, w, prior in ((z[:, :1], found[0], [1, 0]), (z[:, 1:], found[1], [1, 0]), (z, found[2], [0.5, 0.5, 0])):
+        x = np.hstack((x, np.ones((300, 1))))
+        p = 1 / (1 + np.exp(-x @ np.array(w)))
+        assert np.abs(x.T @ (p - y) + np.array(w) - prior).max() < 1e-6
 
 
 def test_pipeline(spark):
