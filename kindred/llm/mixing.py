@@ -1,16 +1,24 @@
 """Mixing sources to target weights by entropy balancing.
 
-Each document d of source s gets the rate r(d) that is closest in relative entropy (weighted
-by tokens) to 1 under the constraints sum(size * r) = target(s).  The convex dual
-    sum_d size(d) * exp(lambda_s(d)) - sum_s lambda_s * target(s)
-is solved by Newton steps whose gradient and (diagonal) Hessian are distributed sums; rates
-are the exponential tilts exp(lambda_s).  Rates are then rounded into whole copies: inside a
-bounded chunk of a source documents are taken largest first, each rounded up or down so that
-the running sum stays next to the running target.
+Each document d of source s gets a rate r(d) between 0 and `most` that is closest to 1 in (bounded)
+relative entropy under the token constraints sum(size * r) = target(s).  With the documents' weights
+size / ln(1 + size) in the entropy, the dual
+    sum_d weight(d) * most * ln(1 + exp(lambda_s * ln(1 + size(d))) / (most - 1)) - sum_s lambda_s * target(s)
+is convex, and its rates are exponential tilts of the documents' lengths, bounded by `most`:
+    r(d) = most / (1 + (most - 1) * exp(-lambda_s * ln(1 + size(d)))).
+Newton steps, held inside a bracket, solve for lambda; their gradient and Hessian are distributed
+sums over a table of (source, size, number of documents).
+
+Rates are rounded into whole copies so that a source's taken words follow its target.  Documents of
+more than a GIANT-th of their source's words are few by definition (at most GIANT): they are rounded
+first, one after the other, each up or down so that the running sum stays next to the running target.
+What they leave over or take too much is shared by the other documents, whose rates are scaled.  These
+are dealt into chunks and rounded likewise, the largest first.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order;
-a source without words gets target 0; documents of size 0 take 0; repeated rows count each;
-an empty table gives an empty result.  Copies never exceed `most`.
+a source without words gets target 0; documents of size 0 take 0; repeated rows count each, and
+the copies of rows of equal id and size may change places; an empty table gives an empty result.
+Copies never exceed `most`.
 """
 
 from __future__ import annotations
@@ -20,16 +28,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .common import table, written
+from .common import shuffle_parts, table, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_COPIES = 3
-#: Documents of a source that are rounded together; a source of more has several chunks.
+#: Documents of a source that are rounded together, about; a source of more has several chunks.
 CHUNK = 2_000
+#: A document with more than this share of its source's words is rounded before all others.
+GIANT = 1_000
+#: lambda is looked for between these bounds.
+BRACKET = 64.0
 
 
 def word_counts(texts: pa.Array) -> np.ndarray:
@@ -55,102 +67,146 @@ def sized(docs: DataFrame, carry: list[str], text_col: str = "text") -> DataFram
     return rows.mapInArrow(count, schema)
 
 
+def _ranked(totals: DataFrame) -> DataFrame:
+    """totals with `place`, the sources' number in the order of their names, null last; no task sees all sources."""
+    order = [F.col("source").isNull(), F.col("source")]
+    sorted_ = totals.repartitionByRange(shuffle_parts(totals.sparkSession), *order).sortWithinPartitions(*order)
+    rows = written(sorted_.withColumn("_at", F.monotonically_increasing_id()), "sources")
+    rows = rows.withColumn("_p", F.shiftright("_at", 33))
+    first, n = [], 0
+    for p, many in sorted((r["_p"], r["n"]) for r in rows.groupBy("_p").agg(F.count("*").alias("n")).collect()):  # a row per partition
+        first.append((p, n))
+        n += many
+    starts = F.broadcast(totals.sparkSession.createDataFrame(first, "_p long, _first long"))  # a row per partition
+    return rows.join(starts, "_p").withColumn("place", F.col("_first") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_p", "_at", "_first")
+
+
 def targets(totals: DataFrame, weights=WEIGHTS, most: float = MOST_COPIES) -> DataFrame:
     """(source, source_size, n_docs, target): shares by weight, filled up like water to `most` times a size.
 
-    totals has a row per source.  Sources are few beside documents, so the two orders (by name,
-    by how soon a source is full) are windows over the source table.
+    The level is found by rounds over the table of sources: sources that are full at the level give
+    their rest to the others, which raises it, until no other one is full.
     """
-    by_name = Window.orderBy(F.col("source").isNull(), F.col("source"))
-    k = (F.row_number().over(by_name) - 1) % len(weights)
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (k + 1).cast("int"))
-    t = totals.withColumn("weight", weight).withColumn("room", F.col("source_size") * float(most)).withColumn("full_at", F.col("room") / F.col("weight"))
-    soonest = Window.orderBy("full_at", F.col("source").isNull(), F.col("source"))
-    before = soonest.rowsBetween(Window.unboundedPreceding, -1)
-    rest = soonest.rowsBetween(0, Window.unboundedFollowing)
-    total = F.sum("source_size").over(Window.partitionBy())
-    t = t.withColumn("level", (total - F.coalesce(F.sum("room").over(before), F.lit(0.0))) / F.sum("weight").over(rest))
-    roomy = F.col("full_at") > F.col("level")
-    # the level at the first source that does not fill up holds for all after it
-    t = t.withColumn("level", F.min_by(F.when(roomy, F.col("level")), F.when(roomy, F.col("full_at"))).over(Window.partitionBy()))
-    target = F.when(F.col("level").isNull() | (F.col("full_at") <= F.col("level")), F.col("room")).otherwise(F.col("level") * F.col("weight"))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    t = written(_ranked(totals).withColumn("weight", weight).withColumn("room", F.col("source_size") * float(most)).drop("place"), "weights")
+    level, before = 0.0, -1
+    while True:
+        full = F.col("room") <= F.col("weight") * level
+        r = t.agg(
+            F.coalesce(F.sum("source_size"), F.lit(0)).alias("total"), F.count_if(full).alias("n"),
+            F.coalesce(F.sum(F.when(full, F.col("room"))), F.lit(0.0)).alias("held"), F.sum(F.when(~full, F.col("weight"))).alias("open"),
+        ).first()
+        if r.n == before or r.open is None:
+            break
+        before, level = r.n, (float(r.total) - r.held) / r.open
+    target = F.when(F.lit(r.open is None) | (F.col("room") <= F.col("weight") * level), F.col("room")).otherwise(F.col("weight") * level)
     return t.select("source", "source_size", "n_docs", target.alias("target"))
 
 
-def balance(cells: DataFrame, tolerance: float = 1e-10, rounds: int = 60) -> DataFrame:
-    """Newton on the dual.  cells: (source, source_size, n_docs, target); adds `rate` = exp(lambda).
+def rate_of(lam: F.Column, size: F.Column, most: float) -> F.Column:
+    return most / (1 + (most - 1) * F.exp(-lam * F.log1p(size.cast("double"))))
 
-    With one token constraint per source the Hessian is diagonal: a step is
-    lambda += min(1, target / moment - 1), computed where the rows are; the driver sees only
-    the largest relative gap.
-    """
-    state = cells.withColumn("lam", F.lit(0.0))
-    moment = F.col("source_size") * F.exp("lam")
-    some = (F.col("source_size") > 0) & (F.col("target") > 0)
-    for r in range(rounds):
-        step = F.when(some, F.least(F.lit(1.0), F.greatest(F.lit(-2.0), F.col("target") / moment - 1))).otherwise(0.0)
-        state = state.withColumn("lam", F.col("lam") + step)
-        if r % 6 == 5:
-            state = written(state, "balance")
-            gap = state.agg(F.max(F.when(some, F.abs(moment / F.col("target") - 1)))).first()[0]
-            if gap is None or gap < tolerance:
-                break
-    return state.withColumn("rate", F.when(some, F.exp("lam")).otherwise(0.0)).drop("lam")
-
-
-def round_copies(size: np.ndarray, rate: float, order: np.ndarray, most: int = MOST_COPIES) -> np.ndarray:
-    """Whole copies so that sum(size * copies) follows rate * sum(size).
-
-    Each document gets the floor or the ceiling of the rate, the largest first.  Where one huge
-    document keeps the sum away from its target, the other choice for it is tried too, and
-    copies of the others (0 to `most`) make up for it.
+
+def balance(cells: DataFrame, wanted: DataFrame, most: float = MOST_COPIES, tolerance: float = 1e-9, rounds: int = 60) -> DataFrame:
+    """wanted (source, source_size, n_docs, target) with `lam`; cells: (source, size, n).
+
+    lam is null where the target is `most` times the size (every rate is `most`) or there is nothing to take.
     """
-    copies, gap = _rounded(size, rate, order, most, None)
-    if len(order) and gap > 0.01 * rate * float(size.sum()):
-        other, less = _rounded(size, rate, order, most, copies[order[0]])
-        copies = other if less < gap else copies
-    return copies
+    some = (F.col("target") > 0) & (F.col("target") < F.col("source_size") * float(most) * (1 - 1e-12))
+    state = wanted.withColumn("lam", F.when(some, F.lit(0.0))).withColumn("low", F.lit(-BRACKET)).withColumn("high", F.lit(BRACKET))
+    state = written(state, "balance")
+    gap = state.where(F.col("lam").isNotNull()).isEmpty()
+    for _ in range(0 if gap else rounds):
+        r, x = rate_of(F.col("lam"), F.col("size"), most), F.log1p(F.col("size").cast("double"))
+        moments = cells.join(state.where(F.col("lam").isNotNull()).select(F.col("source").alias("_s"), "lam"), F.col("source").eqNullSafe(F.col("_s")))
+        moments = moments.groupBy(F.col("_s").alias("source")).agg(F.sum(F.col("n") * F.col("size") * r).alias("got"), F.sum(F.col("n") * F.col("size") * x * r * (most - r) / most).alias("slope"))
+        found = state.join(moments.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
+        over = F.col("got") > F.col("target")
+        found = found.withColumn("high", F.when(over, F.col("lam")).otherwise(F.col("high"))).withColumn("low", F.when(over, F.col("low")).otherwise(F.coalesce("lam", "low")))
+        newton = F.col("lam") - F.try_divide(F.col("got") - F.col("target"), F.col("slope"))
+        inside = newton.isNotNull() & (newton > F.col("low")) & (newton < F.col("high"))
+        found = found.withColumn("off", F.abs(F.try_divide(F.col("got"), F.col("target")) - 1)).withColumn("lam", F.when(F.col("off") <= tolerance, F.col("lam")).otherwise(F.when(inside, newton).otherwise((F.col("low") + F.col("high")) / 2)))
+        state = written(found.select(*state.columns, "off"), "balance")
+        worst = state.agg(F.max("off")).first()[0]  # all that the driver sees
+        state = state.drop("off")
+        if worst is None or worst <= tolerance:
+            break
+    return state.drop("low", "high")
+
+
+def follow(size: np.ndarray, rate: np.ndarray, order: np.ndarray, most: int, lead: float = 0.0) -> np.ndarray:
+    """Whole copies, floor or ceiling of the rate, taken in order so that the running sum follows that of size * rate, less `lead`."""
+    down, up = np.floor(rate + 1e-9).astype(np.int64), np.minimum(np.ceil(rate - 1e-9), most).astype(np.int64)
+    out = np.zeros(len(size), np.int64)
+    for i in order.tolist():
+        low, high = lead + size[i] * (down[i] - rate[i]), lead + size[i] * (up[i] - rate[i])
+        out[i], lead = (up[i], high) if abs(high) < abs(low) else (down[i], low)
+    return out
 
 
-def _rounded(size: np.ndarray, rate: float, order: np.ndarray, most: int, but: int | None) -> tuple[np.ndarray, float]:
-    down, up = int(np.floor(rate + 1e-9)), int(np.ceil(rate - 1e-9))
-    out, lead = np.zeros(len(size), np.int64), 0.0
-    for k, i in enumerate(order.tolist()):
-        n = size[i]
-        low, high = lead + n * (down - rate), lead + n * (up - rate)
-        take_up = abs(high) < abs(low)
-        if k == 0 and but is not None:
-            take_up = but != up
-        out[i], lead = (up, high) if take_up else (down, low)
-    for i in order[1 if but is not None else 0 :].tolist():
+def _evened(size: np.ndarray, copies: np.ndarray, target: float, order: np.ndarray, most: int) -> np.ndarray:
+    """copies, changed by whole documents while that brings the sum nearer to the target."""
+    lead = float((size * copies).sum()) - target
+    for i in order.tolist():
         n = size[i]
-        while n and out[i] < most and abs(lead + n) < abs(lead):
-            out[i], lead = out[i] + 1, lead + n
-        while n and out[i] > 0 and abs(lead - n) < abs(lead):
-            out[i], lead = out[i] - 1, lead - n
-    return out, abs(lead)
+        while n and copies[i] < most and abs(lead + n) < abs(lead):
+            copies[i], lead = copies[i] + 1, lead + n
+        while n and copies[i] > 0 and abs(lead - n) < abs(lead):
+            copies[i], lead = copies[i] - 1, lead - n
+    return copies
 
 
-def mix_copies(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights=WEIGHTS, most: int = MOST_COPIES, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, source, *carry, size, source_size, target, rate, copies) per document."""
-    keep = [F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), *[F.col(c) for c in carry]]
-    rows = written(sized(docs.select(*keep, F.col(text_col).alias("_t")), ["doc_id", "source", *carry], "_t"), "sizes")
+def _order(pdf: pd.DataFrame) -> np.ndarray:
+    return pdf.assign(_n=-pdf["size"]).reset_index(drop=True).sort_values(["_n", "doc_id"], kind="stable", na_position="last").index.to_numpy()
+
+
+def mixed(rows: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
+    """rows (doc_id, source, size, ...), a stored table, with source_size, target, rate and copies."""
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    rates = balance(written(targets(totals, weights, most), "targets"))
-    same = F.col("source").eqNullSafe(F.col("_s"))
-    rates = rates.withColumnRenamed("source", "_s")
-    tail = [(F.xxhash64("doc_id") % F.greatest(F.lit(1), F.ceil(F.col("n_docs") / CHUNK))).alias("chunk")]
-    named = rows.join(rates, same).select("doc_id", "source", *carry, "size", "source_size", "target", "rate", *tail)
-    schema = named.drop("chunk").schema.add("copies", "long")
+    cells = written(rows.where(F.col("size") > 0).groupBy("source", "size").agg(F.count("*").alias("n")), "cells")
+    solved = balance(cells, targets(totals, weights, most), most).withColumnRenamed("source", "_s")
+    # rounded, since sums of another order differ in the last digits: reruns agree
+    rate = F.when(F.col("lam").isNotNull(), F.round(rate_of(F.col("lam"), F.col("size"), most), 9)).when(F.col("target") > 0, F.lit(float(most))).otherwise(F.lit(0.0))
+    chunk = F.pmod(F.xxhash64("doc_id", "size"), F.greatest(F.lit(1).cast("long"), F.ceil(F.col("n_docs") / CHUNK)))
+    giant = F.col("size") * GIANT > F.col("source_size")
+    named = rows.join(solved, F.col("source").eqNullSafe(F.col("_s"))).select(*rows.columns, "source_size", "target", rate.alias("rate"), F.when(giant, F.lit(-1)).otherwise(chunk).alias("_chunk"))
+    schema = named.drop("_chunk").schema.add("copies", "long")
+
+    def first(pdf: pd.DataFrame) -> pd.DataFrame:
+        order, n, due = _order(pdf), pdf["size"].to_numpy(), pdf["rate"].to_numpy()
+        copies = _evened(n, follow(n, due, order, most), float((n * due).sum()), order, most)
+        return pdf.drop(columns="_chunk").assign(copies=copies)
+
+    giants = written(named.where(F.col("_chunk") == -1).groupBy("source").applyInPandas(first, schema), "giants")
+    # what the giants took, and what is left for the others: copies of the giants that the others cannot make up for change
+    size, r = F.col("size").cast("double"), F.col("rate")
+    got = giants.groupBy(F.col("source").alias("_g")).agg(F.sum(size * F.col("copies")).alias("taken"))
+    small = named.where(F.col("_chunk") >= 0)
+    rest = small.groupBy(F.col("source").alias("_r")).agg(F.sum(size * r).alias("due"), F.sum(size * (most - r)).alias("more"))
+    shift = totals.select("source").join(solved.select("_s", "target"), F.col("source").eqNullSafe(F.col("_s"))).join(got, F.col("source").eqNullSafe(F.col("_g")), "left").join(rest, F.col("source").eqNullSafe(F.col("_r")), "left")
+    need = F.col("target") - F.coalesce("taken", F.lit(0.0)) - F.col("due")  # words the others take besides their due
+    # below: all rates times (1 + part); above: all rates go the same part of their way to `most`
+    part = F.when(need <= 0, F.try_divide(need, F.col("due"))).otherwise(F.least(F.lit(1.0), F.coalesce(F.try_divide(need, F.col("more")), F.lit(0.0))))
+    shift = shift.select("_s", F.round(F.greatest(F.lit(-1.0), F.coalesce(part, F.lit(0.0))), 9).alias("part"))
+    even = small.join(shift, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    even = even.withColumn("_due", F.when(F.col("part") < 0, r * (1 + F.col("part"))).otherwise(r + (most - r) * F.col("part"))).drop("part")
+
+    def chunks(pdf: pd.DataFrame) -> pd.DataFrame:
+        order, n, due = _order(pdf), pdf["size"].to_numpy(), pdf["_due"].to_numpy()
+        # chunks end up to half a document off; each aims at another place in that span, so that their errors don't add up
+        aim = (float(pdf["_chunk"].iloc[0]) * 0.6180339887498949 % 1 - 0.5) * float(n[n > 0].min(initial=n.max(initial=0)))
+        copies = _evened(n, follow(n, due, order, most, -aim), float((n * due).sum()) + aim, order, most)
+        return pdf.drop(columns=["_chunk", "_due"]).assign(copies=copies)
+
+    return giants.unionByName(even.groupBy("source", "_chunk").applyInPandas(chunks, schema))
 
-    def rounded(pdf: pd.DataFrame) -> pd.DataFrame:
-        order = pdf.assign(_n=-pdf["size"]).reset_index(drop=True).sort_values(["_n", "doc_id"], kind="stable").index.to_numpy()
-        copies = round_copies(pdf["size"].to_numpy(), float(pdf["rate"].iloc[0]), order, most)
-        return pdf.drop(columns="chunk").assign(copies=copies)
 
-    return named.groupBy("source", "chunk").applyInPandas(rounded, schema)
+def mix_copies(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights=WEIGHTS, most: int = MOST_COPIES, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, *carry, size, source_size, target, rate, copies) per document; carry: other names than these."""
+    keep = [F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), *[F.col(c) for c in carry]]
+    return mixed(written(sized(docs.select(*keep, F.col(text_col).alias("_t")), ["doc_id", "source", *carry], "_t"), "sizes"), weights, most)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix_copies(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    found = mix_copies(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))

@@ -2,6 +2,7 @@ import base64
 import collections
 import functools
 import hashlib
+import math
 import random
 
 import brute
@@ -338,14 +339,8 @@ def test_byte_ranges_are_joined():
     assert warc.ranges([(0, 10), (10, 10), (100, 5), (105, 5)], gap=20, most=1000) == [(0, 20), (100, 110)]
 
 
-def test_mixing(spark, docs):
-    got = mixing.mix_copies(docs).collect()
-    assert len(got) == 61
-    size = {}
-    for r in got:
-        assert r.size == len(brute.spaced(dict(pairs())[r.doc_id])) and 0 <= r.copies <= 3
-        size[r.source] = size.get(r.source, 0) + r.size
-    names = sorted((s for s in size if s is not None)) + [None]
+def _targets(size):
+    names = sorted(s for s in size if s is not None) + [s for s in size if s is None]
     weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
     target, open_ = {}, set(names)
     while open_:
@@ -354,16 +349,65 @@ def test_mixing(spark, docs):
         full = {s for s in open_ if weight[s] * level > 3 * size[s]}
         target |= {s: 3 * size[s] for s in full} if full else {s: weight[s] * level for s in open_}
         open_ = open_ - full if full else set()
+    return target
+
+
+def test_mixing(spark, docs):
+    got = mixing.mix_copies(docs).collect()
+    assert len(got) == 61
+    size = collections.Counter()
+    for r in got:
+        assert r.size == len(brute.spaced(dict(pairs())[r.doc_id])) and 0 <= r.copies <= 3
+        size[r.source] += r.size
+    target = _targets(size)
     for r in got:
         assert r.source_size == size[r.source] and abs(r.target - target[r.source]) < 1e-6 * max(1, r.target)
     for s in size:
+        assert abs(sum(r.size * r.rate for r in got if r.source == s) - target[s]) < 1e-6 * target[s]
+        # rates are tilts of the length: the odds of 3 grow by one power of it
+        tilts = {round(math.log(2 * r.rate / (3 - r.rate)) / math.log1p(r.size), 6) for r in got if r.source == s and r.size and r.rate < 3}
+        assert len(tilts) <= 1
         taken = sum(r.size * r.copies for r in got if r.source == s)
         huge = max(r.size for r in got if r.source == s)  # a source of one huge document cannot come nearer
         assert abs(taken - target[s]) <= 0.02 * target[s] + (huge / 2 if huge > 1000 else 20)
+    assert any(len({round(r.rate, 6) for r in got if r.source == s and r.size}) > 5 for s in size)
     assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, mixing.mix_copies(docs.repartition(3)).collect()), key=repr)
     assert mixing.mix_copies(docs.where("false")).count() == 0
 
 
+def test_mixing_targets_of_many_sources(spark):
+    rng = random.Random(2)
+    size = {(None if k == 7 else f"s{k:03}é" if k % 2 else f"S{k}"): 0 if k == 9 else int(10 ** rng.uniform(0, 5)) for k in range(200)}
+    rows = spark.createDataFrame([(s, n, 1) for s, n in size.items()], "source string, source_size long, n_docs long").repartition(4)
+    want = _targets(size)
+    got = {r.source: r.target for r in mixing.targets(rows).collect()}
+    assert got == pytest.approx(want) and sum(got.values()) == pytest.approx(sum(size.values()))
+
+
+def test_mixing_follows_targets_beside_huge_documents(spark, monkeypatch):
+    """Huge texts, many chunks, repeated rows, text ids: the taken words stay next to the target."""
+    monkeypatch.setattr(mixing, "CHUNK", 40)
+    rows = [("a", 20_000)] * 50 + [("a", 20)] * 1000 + [("b", 400_000)] + [("b", 300)] * 2000 + [("c", n) for n in range(1, 900)] + [(None, 5)] * 300 + [("d", 0)] * 3 + [("b", 0)]
+    df = spark.createDataFrame([(f"x{k % 3000}", s, n) for k, (s, n) in enumerate(rows)], "doc_id string, source string, size long")
+    got = mixing.mixed(mixing.written(df, "test-mix")).collect()
+    assert len(got) == len(rows)
+    size = collections.Counter()
+    for s, n in rows:
+        size[s] += n
+    target = _targets(size)
+    for s in size:
+        mine = [r for r in got if r.source == s]
+        assert all(0 <= r.copies <= 3 and r.target == pytest.approx(target[s]) for r in mine)
+        assert abs(sum(r.size * r.copies for r in mine) - target[s]) <= max(0.002 * target[s], 10)
+
+
+def test_op10_rows(spark, tmp_path, docs):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = mixing.op10_mixing(spark, str(tmp_path)).collect()
+    copies = {r.doc_id: r for r in mixing.mix_copies(docs).collect()}
+    assert {r.doc_id: (r.size, r.source_size, r.target, r.taken) for r in got} == {i: (r.size, r.source_size, r.target, r.size * r.copies) for i, r in copies.items()}
+
+
 def test_quality(spark):
     """On rows of the quarter that no classifier was fitted on."""
     d, y = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
