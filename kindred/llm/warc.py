@@ -9,9 +9,14 @@ Equal payloads of at least `least` bytes are stored once, in the record of the l
 others become revisit records without a payload.  Files get a new name in every attempt and
 count only if the index names them, so a lost executor leaves at worst an unused file.
 
-Defined results: a null payload is empty; a null url or id is an empty header value; rows with
-the same id and payload are each a record (the largest id is chosen, and of rows that share it
-every one is a response); an empty table gives an empty index.  Ids are taken as long.
+Rows of one payload meet by its digest; the rows of a frequent payload are dealt to many tasks.
+
+Defined results: a null payload is empty; a null url is an empty header value; a row without id
+revisits the response of its payload, and is a response where no row of that payload has an id;
+rows with the same id and payload are each a record (the largest id is chosen, and of rows that share
+it every one is a response); an empty table gives an empty index; columns besides id, url and payload
+are not read.  Ids are taken as long.  A record's id is a UUID made of page id and digest (a revisit's
+also of its place), its date is `date`, the same for all records.
 """
 
 from __future__ import annotations
@@ -26,11 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, table
+from .common import salted_join, scratch, table
 
 INDEX = "file string, offset long, length long, page_id long, url string, digest string, record_type string, refers_to long"
 #: Ranges of one file that are this near are read together, up to so many bytes at a time.
 GAP, MOST = 64 << 10, 8 << 20
+#: Date of records for which none is told.
+DATE = "1970-01-01T00:00:00Z"
 
 
 def open_fs(path: str):
@@ -44,21 +51,26 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id, url: str | None, payload: bytes, digest: str, refers_to) -> bytes:
+#: Names of records are made below this one.
+NAMES = uuid.uuid5(uuid.NAMESPACE_URL, "urn:kindred:warc")
+
+
+def record(page_id, url: str | None, payload: bytes, digest: str, refers_to, place: str = "", date: str = DATE) -> bytes:
     """One gzip member."""
-    name = lambda i: f"<urn:page:{i}>"
+    name = lambda *of: f"<urn:uuid:{uuid.uuid5(NAMES, '/'.join(map(str, of)))}>"
     revisit = refers_to is not None
     body = b"" if revisit else payload
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: {name('' if page_id is None else page_id)}",
+        f"WARC-Record-ID: {name(page_id, digest, place) if revisit else name(page_id, digest)}",
+        f"WARC-Date: {date}",
         f"WARC-Target-URI: {' '.join((url or '').split())}",
         f"WARC-Payload-Digest: sha1:{digest}",
         f"X-Payload-Length: {len(payload)}",
     ]
     if revisit:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {name(refers_to)}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {name(refers_to, digest)}", f"X-Refers-To-Page: {refers_to}"]
     head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(body)}", "", ""]
     z = zlib.compressobj(1, zlib.DEFLATED, 31)
     return z.compress("\r\n".join(head).encode() + body + b"\r\n\r\n") + z.flush()
@@ -75,14 +87,14 @@ def parse(member: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[: int(fields["Content-Length"])]
 
 
-def write_archive(pages: DataFrame, folder: str, *, least: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
+def write_archive(pages: DataFrame, folder: str, *, least: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = DATE) -> DataFrame:
     """Write all rows as WARC files below folder; returns the index, itself stored there."""
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     keyed = rows.withColumn("key", F.unhex(F.sha1("payload")))
     heads = keyed.where(F.octet_length("payload") >= least).groupBy("key").agg(F.max("page_id").alias("head"))
-    # small rows: the join brings (key, head) to the payloads' side; a hot key is split by AQE's skew join
-    dealt = keyed.join(heads, "key", "left").select("page_id", "url", "payload", F.when(F.col("head") != F.col("page_id"), F.col("head")).alias("refers_to"))
+    dealt = salted_join(keyed, heads, "key", "page_id", "left")
+    dealt = dealt.select("page_id", "url", "payload", F.when(~F.col("head").eqNullSafe(F.col("page_id")), F.col("head")).alias("refers_to"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, at, name = None, 0, f"{folder}/{uuid.uuid4().hex}.warc.gz"
@@ -91,7 +103,7 @@ def write_archive(pages: DataFrame, folder: str, *, least: int = 0, id_col: str
                 cols: list[list] = [[] for _ in range(8)]
                 for page_id, url, body, refers_to in zip(*(c.to_pylist() for c in b.columns), strict=True):
                     digest = base32_sha1(body)
-                    member = record(page_id, url, body, digest, refers_to)
+                    member = record(page_id, url, body, digest, refers_to, f"{name}:{at}", date)
                     if out is None:
                         fs, path = open_fs(name)
                         fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
@@ -139,7 +151,7 @@ def read_records(index: DataFrame) -> DataFrame:
                         head, body = parse(block[off - a : off - a + n])
                         if head["WARC-Payload-Digest"] != f"sha1:{digest}" or kind == "response" and base32_sha1(body) != digest:
                             raise ValueError(f"{name} at {off}: the digest is not the index's")
-                        to = head.get("WARC-Refers-To", "")[len("<urn:page:") : -1]
+                        to = head.get("X-Refers-To-Page")
                         for c, v in zip(rows, (page_id, head["WARC-Target-URI"], head["WARC-Type"], body if kind == "response" else None, digest, int(head["X-Payload-Length"]), int(to) if to else None), strict=True):
                             c.append(v)
                         k += 1
