@@ -2,10 +2,12 @@
 
 Normalised content and the tokenizer's version are digested; the digests are joined to a
 stored table of counts; one text of each digest without a count is encoded and appended to
-the store.  The normalisation is the tokenizer's own: it reads U+2581 as a space.
+the store.  The normalisation is the tokenizer's own: it reads U+2581 as a space.  The rows of a
+frequent digest are dealt to many tasks where counts join them.
 
-Defined results: null counts as the empty text (0 tokens, 0 bytes); repeated rows each get a
-row; an empty table gives an empty result; only the id and text columns are read.
+Defined results: null counts as the empty text (0 tokens, 0 bytes); repeated rows and rows without id
+each get a row; an empty table gives an empty result; only the id and text columns are read.  A store
+may be appended to by several runs at once: equal digests have equal counts.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .common import scratch, table
+from .common import salted_join, shared_dir, table
 
 MODEL = "piece_bpe_32k.model"
 _loaded: dict = {}
@@ -121,7 +123,7 @@ def token_counts(
     misses.mapInArrow(encode, schema).write.mode("append").parquet(cache_path)
     counts = spark.read.schema(schema).parquet(cache_path).where(F.col("version") == version)
     counts = counts.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    return told.drop("content").join(counts, "digest", "left").select("doc_id", "n_bytes", "n_tokens")
+    return salted_join(told.drop("content"), counts, "digest", "doc_id", "left").select("doc_id", "n_bytes", "n_tokens")
 
 
 def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
@@ -132,5 +134,7 @@ def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = token_counts(table(spark, sf_dir, "documents"), scratch(spark, "token-cache"))
+    """The application keeps a store for each data folder: a second call encodes only what the first has not seen."""
+    store = f"token-counts-{spark.sparkContext.applicationId}-{hashlib.md5(sf_dir.encode()).hexdigest()[:12]}"
+    counts = token_counts(table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/{store}")
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
