@@ -13,7 +13,7 @@ Document counts, lengths and term frequencies are global, which makes scores of
 comparable: the shards' k best merge into the k best.
 
 Queries are a table; they are broadcast in blocks of about `block_terms` terms, and each block
-meets every shard.  Scores are rounded to 6 decimals, ties go to the smaller id.
+meets every shard; its result is written and the broadcast released before the next.  Scores are rounded to 6 decimals, ties go to the smaller id.
 
 score = sum over the query's distinct terms of
         qtf * ln(1 + (N - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len / avglen))
@@ -29,11 +29,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .common import table
+from .common import table, written
 
 K1, BETA, BLOCK = 1.2, 0.75, 32
 #: Documents of a shard, and terms of the queries in one broadcast block (16 bytes each).
@@ -180,7 +181,10 @@ def search(docs: DataFrame, queries: DataFrame, *, k: int = 10, shard: int = SHA
     told = _terms_of(queries.select(F.col("query_id").cast("long"), "text").where(F.col("query_id").isNotNull()))
     out = None
     for block in _blocks(told, block_terms):
-        found = _one_block(rows, block, k, shard)
+        lazy, shared = _one_block(rows, block, k, shard)
+        found = written(lazy, "search")
+        for x in shared:
+            x.unpersist()
         out = found if out is None else out.unionByName(found)
     if out is None:
         return spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
@@ -202,7 +206,7 @@ def _blocks(told: DataFrame, most: int) -> Iterator[np.ndarray]:
         yield np.concatenate(held)
 
 
-def _one_block(rows: DataFrame, block: np.ndarray, k: int, shard: int) -> DataFrame:
+def _one_block(rows: DataFrame, block: np.ndarray, k: int, shard: int) -> tuple[DataFrame, list[Broadcast]]:
     spark = rows.sparkSession
     wanted, place = np.unique(np.ascontiguousarray(block[:, 1]).view(np.uint64), return_inverse=True)
     shared = spark.sparkContext.broadcast(wanted)
@@ -245,7 +249,7 @@ def _one_block(rows: DataFrame, block: np.ndarray, k: int, shard: int) -> DataFr
         )
 
     shards = max(1, -(-int(n) // shard))
-    return rows.repartition(shards, F.xxhash64("doc_id", F.lit(3))).mapInArrow(run, "query_id long, doc_id long, score double")
+    return rows.repartition(shards, F.xxhash64("doc_id", F.lit(3))).mapInArrow(run, "query_id long, doc_id long, score double"), [shared, part]
 
 
 def op2_search(spark: SparkSession, sf_dir: str) -> DataFrame:
