@@ -8,11 +8,13 @@ the document's ends; the remaining candidates are verified word by word, and fou
 once more byte by byte, over item-sized windows.
 
 The benchmark is read in blocks of at most `block_words` words; each block is broadcast and
-joined with all documents, so what is broadcast has that bound whatever the benchmark's size.
+joined with all documents, its result is written, and the broadcast is released before the next
+block is read, so that driver and executors hold one block whatever the benchmark's size.
 
-Defined results: a null text or item has no words; an item without words matches nothing;
-repeated items each count; repeated rows each get a row; empty tables give empty results
-(an empty benchmark: no hits).
+Defined results: a null text or item has no words; an item without words matches nothing; a null
+item id is the empty text; items that repeat an id count as one; repeated rows and rows of any id
+each get a row; empty tables give empty results (an empty benchmark: no hits); carried columns may
+have any name but doc_id, text, n_words, hit_starts, hit_lengths and items.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -132,6 +135,7 @@ def _count_words(docs: DataFrame, known: np.ndarray) -> np.ndarray:
     if len(known):
         for r in docs.select("text").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toLocalIterator():
             out[r.k] = r.n
+    shared.unpersist()
     return out
 
 
@@ -152,9 +156,9 @@ def contamination(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, bl
     """Per document: doc_id, *carry, n_words, hits (runs as start, length), item_ids found."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), *carry, F.col(text_col).alias("text"))
-    items = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").alias("text"))
+    items = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").alias("text"))
 
-    def one(rows: DataFrame, ids: list[str], texts: list[str]) -> DataFrame:
+    def one(rows: DataFrame, ids: list[str], texts: list[str]) -> tuple[DataFrame, Broadcast]:
         schema = rows.drop("text").schema.add("n_words", "long").add("hit_starts", T.ArrayType(T.LongType())).add("hit_lengths", T.ArrayType(T.LongType())).add("items", T.ArrayType(T.StringType()))
         known = np.unique(word_hashes(*lowered(pa.array(texts, pa.string())))[0])
         counts = _count_words(rows, known)
@@ -178,21 +182,23 @@ def contamination(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, bl
                     for d in range(j - i):
                         a, z = cut[d], cut[d + 1]
                         starts.append((head[a:z] - at[d]).tolist()), lengths.append(size[a:z].tolist())
-                        found.append(sorted({index.ids[x] for x in item[a:z].tolist() if index.ids[x] is not None} ) if z > a else [])
+                        found.append(sorted({index.ids[x] for x in item[a:z].tolist()}) if z > a else [])
                 new = [pa.array(np.concatenate(n_words) if n_words else [], pa.int64()), pa.array(starts, pa.list_(pa.int64())), pa.array(lengths, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], *new], schema.names)
 
-        return rows.mapInArrow(search, schema)
+        return rows.mapInArrow(search, schema), shared
 
     told = blocks(items, block_words)
     head, more = next(told), next(told, None)
     if more is None:
-        return one(rows, *head)
+        return one(rows, *head)[0]
     # several blocks: every row has a key of its own, written once, by which its results of all blocks meet again
     keyed = written(rows.withColumn("_row", F.monotonically_increasing_id()), "decontam")
     joined = None
     for block in chain((head, more), told):
-        part = one(keyed.select("_row", "text"), *block)
+        lazy, shared = one(keyed.select("_row", "text"), *block)
+        part = written(lazy, "decontam-block")
+        shared.unpersist()
         joined = part if joined is None else joined.unionByName(part)
     flat = lambda c: F.flatten(F.collect_list(c)).alias(c)
     found = joined.groupBy("_row").agg(F.first("n_words").alias("n_words"), flat("hit_starts"), flat("hit_lengths"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))

@@ -155,6 +155,22 @@ def test_token_counts(spark, docs):
     assert n == len({(t or "").replace("▁", " ") for t in want.values()})
     token_counts.token_counts(both, cache).collect()
     assert spark.read.parquet(cache).count() == n  # nothing is encoded twice
+    assert token_counts.token_counts(both.where("false"), scratch(spark, "cache")).count() == 0
+
+
+def test_op6_rows(spark, tmp_path, docs):
+    """The registered query, whose second call finds all counts in the store; one text on most rows."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=token_counts.tokenizer_path())
+    more = spark.createDataFrame([(200 + k, "the hot text") for k in range(2000)] + [(None, "no id"), (7, "word " * 6000)], "doc_id long, text string")
+    both = docs.select("doc_id", "text", "digest").unionByName(more, allowMissingColumns=True)
+    both.write.parquet(f"{tmp_path}/documents.parquet")
+    want = sorted(((r.doc_id, len((r.text or "").encode()), len(sp.encode(r.text or ""))) for r in both.collect()), key=repr)
+    for _ in range(2):
+        got = token_counts.op6_token_counts(spark, str(tmp_path)).collect()
+        assert sorted((tuple(r)[:3] for r in got), key=repr) == want and all(r.over_limit == (r.n_tokens > 4096) for r in got)
+        assert any(r.over_limit for r in got)
 
 
 def test_substrings(spark, docs):
@@ -199,9 +215,9 @@ def test_components(spark):
 
 
 def test_decontamination(spark, docs):
-    items = [("q1", "ab cd ef"), ("q2", None), ("q3", ""), ("q4", dict(pairs())[3]), ("q5", "aa " * 12), ("q5b", "aa " * 12), ("q6", "ab")]
+    items = [("q1", "ab cd ef"), ("q2", None), ("q3", ""), ("q4", dict(pairs())[3]), ("q5", "aa " * 12), ("q5b", "aa " * 12), ("q6", "ab"), (None, "cd")]
     bench = spark.createDataFrame(items, "item_id string, text string")
-    want = brute.contamination(pairs(), [i for i in items])
+    want = brute.contamination(pairs(), [(i or "", t) for i, t in items])
     for block in (1_000_000, 20):  # one block, and many
         got = decontam.digest_columns(decontam.contamination(docs, bench, block_words=block)).collect()
         assert {r.doc_id: tuple(r)[1:] for r in got} == want
@@ -317,24 +333,33 @@ def test_pii_masks(spark, docs):
 
 
 def test_warc(spark):
-    pages = [(1, "http://a", "x" * 500), (2, "http://b", "x" * 500), (3, None, None), (4, "u", ""), (5, "http://c\r\nX: y", "é" * 9), (6, "d", "x" * 500), (6, "d", "other")]
+    pages = [(1, "http://a", "x" * 500), (2, "http://b", "x" * 500), (3, None, None), (4, "u", ""), (5, "http://c\r\nX: y", "é" * 9), (6, "d", "x" * 500), (6, "d", "other"), (None, "n", "x" * 500), (None, "n", "alone"), (8, "long", "long é " * 300_000)] + [(100 + k, "hot", "hot") for k in range(3000)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("digest", F.lit(1))
     for least in (0, 100):
         folder = scratch(spark, "warc")
         index = warc.write_archive(df, folder, least=least)
         got = {(r.page_id, r.digest): r for r in warc.read_records(index).collect()}
-        assert len(got) == 7
+        assert len(got) == len(pages)
         for i, _, html in pages:
             raw = (html or "").encode()
             r = got[i, base64.b32encode(hashlib.sha1(raw).digest()).decode()]
-            last = max(p for p, _, h in pages if (h or "") == (html or ""))
-            revisit = i != last and len(raw) >= least
+            last = max((p for p, _, h in pages if (h or "") == (html or "") and p is not None), default=None)
+            revisit = last is not None and i != last and len(raw) >= least
             assert (r.payload_bytes, r.record_type, r.refers_to) == (len(raw), "revisit" if revisit else "response", last if revisit else None)
             assert revisit or bytes(r.payload) == raw
         assert warc.read_records(index.where("page_id = 5")).count() == 1
     assert warc.read_records(warc.write_archive(df.where("false"), scratch(spark, "warc"))).count() == 0
 
 
+def test_warc_records_are_valid():
+    """Ids are told apart by payload, a revisit names its response's id, every record has a date."""
+    one = dict(warc.parse(warc.record(1, "u", b"a", warc.base32_sha1(b"a"), None))[0])
+    two = dict(warc.parse(warc.record(1, "u", b"b", warc.base32_sha1(b"b"), None))[0])
+    again = dict(warc.parse(warc.record(3, "u", b"a", warc.base32_sha1(b"a"), 1, "f:0"))[0])
+    assert len({x["WARC-Record-ID"] for x in (one, two, again)}) == 3 and again["WARC-Refers-To"] == one["WARC-Record-ID"]
+    assert all(x["WARC-Date"].endswith("Z") and x["WARC-Record-ID"].startswith("<urn:uuid:") for x in (one, two, again))
+
+
 def test_byte_ranges_are_joined():
     assert warc.ranges([(0, 10), (10, 10), (100, 5), (105, 5)], gap=20, most=1000) == [(0, 20), (100, 110)]
 
