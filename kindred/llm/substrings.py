@@ -20,10 +20,11 @@ anchors are equal, which leaves a fortieth of all suffixes.
 Nothing is kept of a document but its text in one shuffle by id, which all three steps share.
 Anchors of one partition that have equal contexts are combined before they are shuffled.
 
-Defined results: null is empty; texts shorter than `size` keep all bytes; ids are expected to be
-unique (rows that share an id are told apart by nothing, so equal texts of one id both stay or
-go by the same spans); rows without id are compared with nothing and stay whole; an empty table
-gives an empty result.
+Defined results: null is empty; texts shorter than `size` keep all bytes; rows that share an id and
+have different texts are documents of their own, one after the other in the order of a hash of the
+text (more than 32,768 of one id raise); rows that repeat id and text are one document, whose result
+each of them gets; rows without id are compared with nothing and stay whole; an empty table gives an
+empty result; columns besides id and text are not read.  Texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -79,12 +80,17 @@ def anchors(data: np.ndarray, offsets: np.ndarray, size: int, gram: int):
     return np.searchsorted(offsets, begin, "right") - 1, begin, at, last, B.mix(raw[at]), context
 
 
-def pack(begin, x, last):
-    return (begin << 16) | ((x - begin) << 8) | (last - begin)
+#: Bits of a packed place below the number of the text among those of its id: 31 for the begin, 16 for two short lengths.
+PLACE = 47
+INSIDE = (1 << PLACE) - 1
+
+
+def pack(sub, begin, x, last):
+    return (sub.astype(np.int64) << PLACE) | (begin << 16) | ((x - begin) << 8) | (last - begin)
 
 
 def unpack(at: np.ndarray):
-    begin = at >> 16
+    begin = (at & INSIDE) >> 16
     return begin, begin + ((at >> 8) & 255), begin + (at & 255)
 
 
@@ -96,13 +102,15 @@ def _anchor_rows(size: int, gram: int):
         for b in batches:
             if b.column(0).null_count:
                 b = b.filter(b.column(0).is_valid())
-            ids = b.column(0).to_numpy()
+            ids, sub = b.column(0).to_numpy(), b.column(2).to_numpy()
+            if int(sub.max(initial=0)) >> (63 - PLACE):
+                raise ValueError("too many different texts of one id")
             data, offsets = B.buffers(b.column(1))
             for i, j in B.slices(offsets, 1 << 20):
                 off = offsets[i : j + 1] - offsets[i]
                 row, begin, x, last, h, c = anchors(data[offsets[i] : offsets[j]], off, size, gram)
                 doc, base = ids[i + row], off[row]
-                at = pack(begin - base, x - base, last - base)
+                at = pack(sub[i + row], begin - base, x - base, last - base)
                 # equal anchors of a slice: the first goes on, the others are repeats already (context 0, own key)
                 order = np.lexsort((at, doc, c, h))
                 h, c, doc, at = h[order], c[order], doc[order], at[order]
@@ -161,22 +169,26 @@ def _found(doc, key, a, b) -> pa.RecordBatch:
 def _removed(doc: np.ndarray, at: np.ndarray, size: int) -> Iterator[pa.RecordBatch]:
     """Whole anchors as removed runs, runs of a document that touch made one."""
     begin, _, last = unpack(at)
-    order = np.lexsort((begin, doc))
-    doc, begin, end = doc[order], begin[order], last[order] + size
+    high = at & ~INSIDE  # texts of one id stay apart
+    order = np.lexsort((begin, high, doc))
+    doc, begin, end = doc[order], (high | begin)[order], (high | (last + size))[order]
     if len(doc):
         yield _found(*_merged(doc, begin, end))
 
 
 def _merged(doc, begin, end):
-    """Unions of runs sorted by (doc, begin), as columns doc, 0, begin, end."""
-    big = int(end.max()) + 1
-    reach = np.maximum.accumulate(end + B.run_ids(np.diff(np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1], [True]))))) * big)
-    rank = B.run_ids(np.diff(np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1], [True])))))
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (begin[1:] + rank[1:] * big > reach[:-1])
+    """Unions of runs sorted by (doc, begin), as columns doc, 0, begin, end; high bits of both ends tell texts of one id apart."""
+    text = begin >> PLACE
+    first = np.concatenate(([True], (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])))
+    rank = np.cumsum(first) - 1  # of the text
+    low, high = begin & INSIDE, end & INSIDE
+    big = int(high.max()) + 1
+    reach = np.maximum.accumulate(high + rank * big)
+    new = first.copy()
+    new[1:] |= low[1:] + rank[1:] * big > reach[:-1]
     at = np.flatnonzero(new)
     stop = np.append(at[1:], len(doc)) - 1
-    return doc[at], np.zeros(len(at), np.int64), begin[at], reach[stop] - rank[stop] * big
+    return doc[at], np.zeros(len(at), np.int64), begin[at], (reach[stop] - rank[stop] * big) | (text[at] << PLACE)
 
 
 def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,12 +217,13 @@ CONTEXTS = "key long, doc long, at long, bytes binary"
 def _context_rows(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            b = b.filter(b.column(2).is_valid())
+            b = b.filter(b.column(3).is_valid())
             data, offsets = B.buffers(b.column(1))
-            ids, asked = b.column(0).to_numpy(), b.column(2)
+            ids, sub, asked = b.column(0).to_numpy(), b.column(2).to_numpy(), b.column(3)
             keys, docs, ats, starts, ends = [], [], [], [], []
             for i in range(b.num_rows):
                 rows = np.frombuffer(asked[i].as_buffer(), np.int64).reshape(-1, 2)
+                rows = rows[rows[:, 1] >> PLACE == sub[i]]  # the others are of another text of the id
                 begin, _, last = unpack(rows[:, 1])
                 keys.append(rows[:, 0]), ats.append(rows[:, 1]), docs.append(np.full(len(rows), ids[i]))
                 starts.append(begin + offsets[i]), ends.append(last + size + offsets[i])
@@ -336,7 +349,8 @@ def repeated(key, doc, at, data, offsets, size: int) -> Iterator[pa.RecordBatch]
     edge = np.diff(np.pad(gone.astype(np.int8), ((0, 0), (1, 1))), axis=1)
     row, low = np.nonzero(edge == 1)
     _, high = np.nonzero(edge == -1)
-    a, b = x[row] - (high - 1), x[row] - low + size
+    text = at[row] & ~INSIDE
+    a, b = text | (x[row] - (high - 1)), text | (x[row] - low + size)
     order = np.lexsort((a, doc[row]))
     if len(order):
         yield _found(*_merged(doc[row][order], a[order], b[order]))
@@ -357,11 +371,12 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc, text, removed, removed -> doc, text, removed begins and ends."""
+    """doc, text, sub, removed, removed -> doc, text, removed begins and ends."""
     for b in batches:
         spans = []
-        for one, two in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+        for sub, one, two in zip(*(b.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
             runs = np.frombuffer((one or b"") + (two or b""), np.int64).reshape(-1, 2)
+            runs = runs[runs[:, 0] >> PLACE == sub] & INSIDE
             if len(runs):
                 runs = runs[np.argsort(runs[:, 0], kind="stable")]
                 _, _, a, z = _merged(np.zeros(len(runs), np.int64), runs[:, 0], runs[:, 1])
@@ -376,16 +391,22 @@ def repeated_spans(docs: DataFrame, *, size: int = SIZE, gram: int = GRAM, id_co
     """(doc_id, text as bytes, removed: byte ranges start..end to leave out) per row."""
     n = shuffle_parts(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), text.alias("text")).repartition(n, "doc")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), text.alias("text"))
+    # ids with different texts: their hashes in order, which number the texts; the few are joined on the texts' side
+    said = rows.where(F.col("doc").isNotNull()).select("doc", F.xxhash64("text").alias("h")).repartition(n, "doc")
+    several = said.groupBy("doc").agg(F.array_sort(F.collect_set("h")).alias("hashes")).where(F.size("hashes") > 1).hint("shuffle_hash")
+    place = F.coalesce(F.array_position("hashes", F.xxhash64("text")) - 1, F.lit(0).cast("long")).cast("int")
+    texts = rows.repartition(n, "doc")
+    texts = texts.join(several, "doc", "left").select("doc", "text", F.greatest(place, F.lit(0)).alias("sub"))
     # filters on ids or requests are left to the functions: pushed below it, they would make another shuffle of texts
     found = texts.mapInArrow(_anchor_rows(size, gram), ROWS).repartition(n, "key").mapInArrow(_first_contexts(size), FOUND)
     packed = found.repartition(n, "doc").mapInArrow(_by_document, PACKED)
     asked = packed.where(F.octet_length("wanted") > 0).select("doc", "wanted").hint("shuffle_hash")
-    contexts = texts.join(asked, "doc", "left").select("doc", "text", "wanted").mapInArrow(_context_rows(size), CONTEXTS)
+    contexts = texts.join(asked, "doc", "left").select("doc", "text", "sub", "wanted").mapInArrow(_context_rows(size), CONTEXTS)
     more = contexts.repartition(n, "key").mapInArrow(_resolve(size), FOUND).repartition(n, "doc").mapInArrow(_by_document, PACKED)
     one = packed.select("doc", F.col("removed").alias("one")).hint("shuffle_hash")
     two = more.select("doc", F.col("removed").alias("two")).hint("shuffle_hash")
-    joined = texts.join(one, "doc", "left").join(two, "doc", "left").select("doc", "text", "one", "two")
+    joined = texts.join(one, "doc", "left").join(two, "doc", "left").select("doc", "text", "sub", "one", "two")
     return joined.mapInArrow(_kept, "doc_id long, text binary, removed array<struct<start:long,end:long>>")
 
 

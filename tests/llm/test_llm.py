@@ -184,6 +184,24 @@ def test_substrings(spark, docs):
         assert (len(r.text), sum(e - s for s, e in cut), len(cut), hashlib.sha256(keep + bytes(r.text)[at:]).hexdigest()) == want[i]
 
 
+def test_op5_rows(spark, tmp_path):
+    """The registered query: ids shared by different texts, repeated rows, no id, nulls, very long texts, an empty table."""
+    rng = random.Random(6)
+    say = lambda n: " ".join(rng.choice("alpha beta gamma delta epsilon zeta eta theta iota kappa".split()) for _ in range(n))
+    shared, long = say(60), say(40_000)
+    rows = [(1, shared + say(30)), (1, say(9) + shared), (2, say(50)), (3, shared), (3, shared), (4, None), (5, ""), (None, shared), (None, shared + "x"), (6, long), (7, "x" + long[5000:90_000] + "y"), (8, "ab" * 400), (8, "ab" * 401), (8, say(40))]
+    spark.createDataFrame([(i, t, 1, 0) for i, t in rows], "doc_id long, text string, sub int, key int").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((tuple(r) for r in substrings.op5_substrings(spark, str(tmp_path)).collect()), key=repr)
+    hashes = {r.text: r.h for r in spark.createDataFrame([(t,) for t in {t or "" for _, t in rows}], "text string").select("text", F.xxhash64(F.col("text").cast("binary")).alias("h")).collect()}
+    order = sorted({(i, hashes[t or ""], t or "") for i, t in rows if i is not None})
+    told = brute.substrings([(k, t) for k, (_, _, t) in enumerate(order)])
+    at = {(i, t): told[k] for k, (i, _, t) in enumerate(order)}
+    whole = lambda t: (len(t.encode()), 0, 0, hashlib.sha256(t.encode()).hexdigest())
+    assert got == sorted(((i, *(whole(t or "") if i is None else at[i, t or ""])) for i, t in rows), key=repr)
+    spark.read.parquet(f"{tmp_path}/documents.parquet").where("false").write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert substrings.op5_substrings(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_suffix_sort_with_forced_collisions():
     rng = np.random.default_rng(0)
     data = rng.integers(0, 2, 400).astype(np.uint8)
