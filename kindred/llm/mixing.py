@@ -16,7 +16,7 @@ What they leave over or take too much is shared by the other documents, whose ra
 are dealt into chunks and rounded likewise, the largest first.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order;
-a source without words gets target 0; documents of size 0 take 0; repeated rows count each, and
+a source without words gets target 0; documents of size 0 have rate 0; repeated rows count each, and
 the copies of rows of equal id and size may change places; an empty table gives an empty result.
 Copies never exceed `most`.
 """
@@ -166,7 +166,7 @@ def mixed(rows: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES) -> DataFram
     cells = written(rows.where(F.col("size") > 0).groupBy("source", "size").agg(F.count("*").alias("n")), "cells")
     solved = balance(cells, targets(totals, weights, most), most).withColumnRenamed("source", "_s")
     # rounded, since sums of another order differ in the last digits: reruns agree
-    rate = F.when(F.col("lam").isNotNull(), F.round(rate_of(F.col("lam"), F.col("size"), most), 9)).when(F.col("target") > 0, F.lit(float(most))).otherwise(F.lit(0.0))
+    rate = F.when(F.col("size") == 0, F.lit(0.0)).when(F.col("lam").isNotNull(), F.round(rate_of(F.col("lam"), F.col("size"), most), 9)).when(F.col("target") > 0, F.lit(float(most))).otherwise(F.lit(0.0))
     chunk = F.pmod(F.xxhash64("doc_id", "size"), F.greatest(F.lit(1).cast("long"), F.ceil(F.col("n_docs") / CHUNK)))
     giant = F.col("size") * GIANT > F.col("source_size")
     named = rows.join(solved, F.col("source").eqNullSafe(F.col("_s"))).select(*rows.columns, "source_size", "target", rate.alias("rate"), F.when(giant, F.lit(-1)).otherwise(chunk).alias("_chunk"))
