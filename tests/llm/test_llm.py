@@ -402,6 +402,7 @@ def test_mixing(spark, docs):
     for r in got:
         assert r.size == len(brute.spaced(dict(pairs())[r.doc_id])) and 0 <= r.copies <= 3
         size[r.source] += r.size
+        assert r.size or not r.copies
     target = _targets(size)
     for r in got:
         assert r.source_size == size[r.source] and abs(r.target - target[r.source]) < 1e-6 * max(1, r.target)
@@ -510,3 +511,50 @@ def test_pipeline(spark):
     assert {i for i, _ in told[3]} == {i for i, x in brute.contamination(told[2], items).items() if not x[4]}
     assert not any(brute.base_spans(t or "") for _, t in told[4])
     assert {i for i, _ in told[5]} <= {i for i, _ in told[4]}
+
+
+def test_decontamination_rows_with_many_blocks(spark):
+    rows = [(1, "ab cd ef gh"), (1, "ab cd ef gh"), (None, "ab cd ef gh"), (None, "ij kl mn op"), (None, "no hit at all"), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([("q1", "ab cd ef"), ("q2", "kl mn"), ("q3", "zz zz zz")], "item_id string, text string")
+    one, many = (decontam.contamination(docs, bench, block_words=n) for n in (1_000_000, 3))
+    assert one.columns == many.columns
+    plain = lambda df: sorted((repr(tuple(r)) for r in decontam.digest_columns(df).collect()))
+    assert len(plain(many)) == len(rows) and plain(many) == plain(one)
+
+
+def test_pipeline_keeps_texts_that_share_an_id(spark):
+    import corpus_pipeline as P
+
+    say = lambda k: " ".join(f"{k}{i}" for i in range(40))
+    rows = [(1, say("a")), (1, say("b")), (None, say("c")), (None, say("c")), (5, say("c")), (6, say("c")), (None, say("d")), (None, say("d")), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = P.neardup_stage(spark, docs, "")
+    assert sorted((repr((r.doc_id, r.text)) for r in got.collect())) == sorted(map(repr, [(1, say("a")), (1, say("b")), (5, say("c")), (None, say("d")), (None, None)]))
+    two = spark.createDataFrame([(1, "one"), (1, "two two two two two " * 9)], "doc_id long, text string").selectExpr("*", "'en' lang", "'s' source", "1L n_chars")
+    sizes = {r.text: r["size"] for r in P.mixing_stage(spark, two, "").collect()}
+    assert len(sizes) == len(set(sizes.values())) == 2  # a row of its own each, not the larger of both
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    """Every stage: nulls in all columns, empty and long texts, repeated rows, shared ids, an empty table."""
+    import corpus_pipeline as P
+
+    rng = random.Random(1)
+    say = lambda n: " ".join(rng.choice("tea house river walk stone light paper green".split()) + str(rng.randint(0, 99)) for _ in range(n))
+    rows = [(i, say(60), "en", "s0", 300) for i in range(30)] + [(None, None, None, None, None), (None, "", None, None, 0), (3, say(50), None, "s1", 9), (3, say(50), None, "s1", 9), (40, say(30_000), "en", None, 1)]
+    rows += [rows[0]] * 2
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("size", F.lit("x")).withColumn("copies", F.lit(1)).withColumn("_item", F.lit(2))
+    spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(12)], "doc_id long, quality long, toxic long").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([("q", rows[5][1]), (None, None)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    seen = {}
+    for name, stage in P.STAGES:
+        seen[name] = [tuple(r)[:5] for r in stage(spark, docs, str(tmp_path)).collect()]
+        assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0
+    plain = collections.Counter(rows)
+    assert not collections.Counter(seen["quality classifier"]) - plain
+    assert collections.Counter(seen["MinHash near-dedup"]) == collections.Counter(set(rows))
+    assert collections.Counter(seen["benchmark decontamination"]) == plain - collections.Counter([rows[5]])
+    assert len(seen["PII"]) == len(rows)
+    taken = collections.Counter(seen["mixing sources to target weights"])
+    assert not taken - plain and all(taken[r] in (0, plain[r]) for r in rows) and not any(taken[r] for r in rows if not r[1])
