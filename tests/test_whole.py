@@ -7,7 +7,6 @@ import duckdb
 import numpy as np
 import pytest
 
-from kindred.llm import decontam
 from kindred.operators import evaluate, graph
 from kindred.plans import catalogue
 
@@ -93,29 +92,6 @@ def test_bootstrap_draws_as_many_values_as_there_are(spark):
     assert evaluate.bootstrap(few.where("x < 0"), "x", 20, "id").count() == 0
 
 
-def test_decontamination_rows_with_many_blocks(spark):
-    rows = [(1, "ab cd ef gh"), (1, "ab cd ef gh"), (None, "ab cd ef gh"), (None, "ij kl mn op"), (None, "no hit at all"), (2, None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    bench = spark.createDataFrame([("q1", "ab cd ef"), ("q2", "kl mn"), ("q3", "zz zz zz")], "item_id string, text string")
-    one, many = (decontam.contamination(docs, bench, block_words=n) for n in (1_000_000, 3))
-    assert one.columns == many.columns
-    plain = lambda df: sorted((repr(tuple(r)) for r in decontam.digest_columns(df).collect()))
-    assert len(plain(many)) == len(rows) and plain(many) == plain(one)
-
-
-def test_pipeline_keeps_texts_that_share_an_id(spark):
-    import corpus_pipeline as P
-
-    say = lambda k: " ".join(f"{k}{i}" for i in range(40))
-    rows = [(1, say("a")), (1, say("b")), (None, say("c")), (None, say("c")), (5, say("c")), (6, say("c")), (None, say("d")), (None, say("d")), (None, None)]
-    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    got = P.neardup_stage(spark, docs, DATA)
-    assert sorted((repr((r.doc_id, r.text)) for r in got.collect())) == sorted(map(repr, [(1, say("a")), (1, say("b")), (5, say("c")), (None, say("d")), (None, None)]))
-    two = spark.createDataFrame([(1, "one"), (1, "two two two two two " * 9)], "doc_id long, text string").selectExpr("*", "'en' lang", "'s' source", "1L n_chars")
-    sizes = {r.text: r["size"] for r in P.mixing_stage(spark, two, DATA).collect()}
-    assert len(sizes) == len(set(sizes.values())) == 2  # a row of its own each, not the larger of both
-
-
 def test_junk_filter_has_the_look_ahead_pattern(spark, tmp_path):
     spark.createDataFrame([(1, "Money Trees x Blinding Lights\nmore"), (2, "Pola (The Geek x VRV Remix)"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {r.doc_id: r.junk for r in catalogue.QUERIES["junk_filter"](spark, str(tmp_path)).collect()} == {1: True, 2: False, 3: False}
