@@ -37,16 +37,14 @@ BUCKETS, META = 1 << 11, 1 << 9
 CLASSES = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "lower": b"abcdefghijklmnopqrstuvwxyz", "digit": b"0123456789", "space": b" \t", "line": b"\n", "stop": b".,;:'\"-()", "loud": b"!?", "mark": b"#$%&*|<>{}[]=+_~^@/\\"}
 
 
-def text_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(dense[n, d], row, bucket, share): statistics of each text, and the shares of its hashed words."""
+def text_features(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first, last, dense[n, d], row, bucket, share) for slices of texts: statistics, and the shares of hashed words."""
     data, offsets = B.buffers(texts)
-    n = len(offsets) - 1
     kinds = np.zeros(256, np.uint8)
     for k, chars in enumerate(CLASSES.values(), 1):
         kinds[list(chars)] = k
-    dense = np.zeros((n, len(CLASSES) + 9))
-    rows, buckets, shares = [], [], []
     for i, j in B.slices(offsets):
+        dense = np.zeros((j - i, len(CLASSES) + 9))
         part, off = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         size = np.diff(off).astype(float)
         per = np.maximum(size, 1)
@@ -66,14 +64,11 @@ def text_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray,
         decorated = np.bincount(word_owner, kinds[part[end - 1]] >= 7, minlength=j - i) / many if len(end) else np.zeros(j - i)
         single = np.bincount(word_owner, (end - start) == 1, minlength=j - i) / many
         shouted = np.bincount(word_owner, (kinds[part[start]] == 1) & (kinds[part[np.minimum(start + 1, len(part) - 1)]] == 1), minlength=j - i) / many if len(start) else np.zeros(j - i)
-        dense[i:j, : len(CLASSES)] = counts[:, 1:] / per[:, None]
-        dense[i:j, len(CLASSES) :] = np.stack((counts[:, 0] / per, np.log1p(size) / 10, distinct / many, length / 10, np.sqrt(np.maximum(square - length**2, 0)) / 10, decorated, single, shouted, np.log1p(counts[:, 5]) / 5), axis=1)
+        dense[:, : len(CLASSES)] = counts[:, 1:] / per[:, None]
+        dense[:, len(CLASSES) :] = np.stack((counts[:, 0] / per, np.log1p(size) / 10, distinct / many, length / 10, np.sqrt(np.maximum(square - length**2, 0)) / 10, decorated, single, shouted, np.log1p(counts[:, 5]) / 5), axis=1)
         key = word_owner * BUCKETS + (h & np.uint64(BUCKETS - 1)).astype(np.int64)
         got, times = np.unique(key, return_counts=True)
-        rows.append(got // BUCKETS + i), buckets.append(got % BUCKETS)
-        shares.append(times / many[got // BUCKETS])
-    cat = lambda x, t: np.concatenate(x) if x else np.empty(0, t)
-    return dense, cat(rows, np.int64), cat(buckets, np.int64), cat(shares, float)
+        yield i, j, dense, got // BUCKETS, got % BUCKETS, times / many[got // BUCKETS]
 
 
 def meta_features(columns: list[pa.Array]) -> np.ndarray:
@@ -111,10 +106,10 @@ class Model:
 
     def views(self, texts: pa.Array, columns: list[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
         """Log odds of both views."""
-        dense, row, bucket, share = text_features(texts)
-        d = dense.shape[1]
-        one = ((dense - self.mean) / self.scale).clip(-6, 6) @ self.text[:d] + self.text[-1]
-        one += np.bincount(row, np.sqrt(share) * self.text[d:-1][bucket], minlength=len(one))
+        d, one = len(self.mean), np.zeros(len(texts))
+        for i, j, dense, row, bucket, share in text_features(texts):
+            one[i:j] = ((dense - self.mean) / self.scale).clip(-6, 6) @ self.text[:d] + self.text[-1]
+            one[i:j] += np.bincount(row, np.sqrt(share) * self.text[d:-1][bucket], minlength=j - i)
         return one, self.meta[meta_features(columns)].sum(axis=1) + self.meta[-1]
 
     def score(self, texts: pa.Array, columns: list[pa.Array]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,12 +129,12 @@ def _features(rows: DataFrame, meta: int) -> pa.Table:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            dense, row, bucket, share = text_features(b.column(2))
             m = meta_features(b.columns[3 : 3 + meta])
-            cut = np.searchsorted(row, np.arange(b.num_rows + 1))
-            packed = lambda x, t: pa.array([x[i].astype(t).tobytes() for i in range(b.num_rows)], pa.binary())
-            parts = lambda x, t: pa.array([x[i:j].astype(t).tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), packed(dense, np.float64), parts(bucket, np.int16), parts(share, np.float32), packed(m, np.int32)], ["row", "y", "dense", "buckets", "shares", "meta"])
+            for i, j, dense, row, bucket, share in text_features(b.column(2)):
+                cut = np.searchsorted(row, np.arange(j - i + 1))
+                packed = lambda x, t: pa.array([r.astype(t).tobytes() for r in x], pa.binary())
+                parts = lambda x, t, cut=cut: pa.array([x[p:q].astype(t).tobytes() for p, q in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), packed(dense, np.float64), parts(bucket, np.int16), parts(share, np.float32), packed(m[i:j], np.int32)], ["row", "y", "dense", "buckets", "shares", "meta"])
 
     once = rows.mapInArrow(run, schema).groupBy("row").agg(*[F.first(c).alias(c) for c in ("y", "dense", "buckets", "shares", "meta")])
     return once.toArrow().sort_by("row")
@@ -268,14 +263,16 @@ def fit(docs: DataFrame, labels: DataFrame, **options) -> Model:
 def score(docs: DataFrame, model: Model, *, meta=("source", "lang", "n_chars"), carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """*carry, _p_text, _p_meta, _p (0 to 1, of good quality), _rejected."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    inputs = [F.col("text").alias("_view_text"), *[F.col(c).alias(f"_view_{c}") for c in meta]]
-    rows = docs.select(*carry, *inputs)
+    # columns that are carried anyway are not sent twice
+    wanted = {c: c if c in carry else f"_view_{c}" for c in ("text", *meta)}
+    rows = docs.select(*carry, *[F.col(c).alias(name) for c, name in wanted.items() if c not in carry])
     schema = docs.select(*carry).schema.add("_p_text", "double").add("_p_meta", "double").add("_p", "double").add("_rejected", "boolean")
     k = len(carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            one, two, both = shared.value.score(b.column(k), b.columns[k + 1 :])
+            text, *columns = (b.column(b.schema.get_field_index(name)) for name in wanted.values())
+            one, two, both = shared.value.score(text, columns)
             yield pa.RecordBatch.from_arrays([*b.columns[:k], pa.array(one), pa.array(two), pa.array(both), pa.array(both < shared.value.threshold)], schema.names)
 
     return rows.mapInArrow(run, schema)
