@@ -66,10 +66,10 @@ def silhouette_cosine(df: DataFrame) -> DataFrame:
 def bootstrap(values: DataFrame, value: str, draws: int, id_col: str) -> DataFrame:
     """A21, distributed: (draw, mean, n); each draw takes as many values as there are, by a hash of draw and place.
 
-    Rows are numbered within hash parts, whose sizes give the parts' first numbers; nulls are no values.
+    Rows are numbered inside 1,024 parts of their ids, whose sizes give the parts' first numbers; nulls are no values.
     """
     spark = values.sparkSession
-    rows = values.where(F.col(value).isNotNull()).select(id_col, value).withColumn("_p", F.pmod(F.xxhash64(id_col, value), F.lit(1024)))
+    rows = values.where(F.col(value).isNotNull()).select(id_col, value).withColumn("_p", F.pmod(F.col(id_col).cast("long"), F.lit(1024)))
     rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(id_col, value)) - 1)
     sizes = sorted((r["_p"], r["n"]) for r in rows.groupBy("_p").agg(F.count("*").alias("n")).collect())  # 1,024 at most
     n, first = 0, []
@@ -78,7 +78,8 @@ def bootstrap(values: DataFrame, value: str, draws: int, id_col: str) -> DataFra
         n += size
     first = spark.createDataFrame(first, "_p long, _first long")
     rows = rows.join(F.broadcast(first), "_p").select((F.col("_first") + F.col("_r")).alias("_k"), value)
-    picks = spark.range(draws * n).select(F.expr(f"id div {max(n, 1)}").alias("draw"), F.pmod(F.xxhash64(F.expr(f"id div {max(n, 1)}"), F.col("id") % max(n, 1)), F.lit(max(n, 1))).alias("_k"))
+    place = F.conv(F.substring(F.md5(F.concat_ws(":", "draw", "i")), 1, 8), 16, 10).cast("long") % max(n, 1)
+    picks = spark.range(draws * n).select(F.expr(f"id div {max(n, 1)}").alias("draw"), (F.col("id") % max(n, 1)).alias("i")).select("draw", place.alias("_k"))
     return picks.join(rows, "_k").groupBy("draw").agg(F.avg(value).alias("mean"), F.count("*").alias("n"))
 
 

@@ -2,33 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.storage import written as _written
+
 
 def both_ways(edges: DataFrame) -> DataFrame:
     """(src, dst) in both directions, once."""
     return edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct()
 
 
-def _written(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    told = spark.conf.get("spark.checkpoint.dir", None)
-    if not told:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isEmpty():
-            import tempfile
-
-            spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="kindred-"))
-            held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        told = held.get()
-    path = f"{told.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """(node, component = least node reachable): least labels, hooking and a pointer jump, a written table per round.
 
@@ -50,11 +34,22 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     raise RuntimeError(f"component labels still change after {rounds} rounds")
 
 
-def hops(edges: DataFrame, seeds: DataFrame, n: int = 2) -> DataFrame:
-    """(node, hop) reached in up to n steps, nearest hop first; seeds have hop 0."""
+def counts(edges: DataFrame) -> DataFrame:
+    """(nodes, edges) of a graph that holds every edge in both directions."""
+    return edges.agg(F.count_distinct("src").alias("nodes"), F.expr("count(*) div 2").alias("edges"))
+
+
+def hops(edges: DataFrame, seeds: DataFrame, n: int = 2, sample: int | None = None) -> DataFrame:
+    """(node, hop) reached in up to n steps, nearest hop first; seeds have hop 0.
+
+    sample: from the second step on only so many nodes of the front, chosen by a hash, are gone on
+    from (the reference's bound on look-ups); the others are reached all the same.
+    """
     seen = seeds.select("node", F.lit(0).cast("long").alias("hop")).distinct()
     front = seen
     for k in range(1, n + 1):
+        if sample is not None and k > 1:
+            front = front.orderBy(F.md5(F.col("node").cast("string")), "node").limit(sample)
         reached = front.select(F.col("node").alias("src")).join(edges, "src").select(F.col("dst").alias("node")).distinct()
         front = reached.join(seen, "node", "left_anti").withColumn("hop", F.lit(k).cast("long"))
         seen = seen.unionByName(front)

@@ -1,13 +1,23 @@
-"""Search and entity resolution."""
+"""Search and entity resolution.
+
+Catalogues have (row, title, artist) and whatever keys a look-up needs; seeds (ord, title, artist) are
+a small table by contract (one user's list or a benchmark), so what equi-joins leave over is looked for
+by containment.  Of several rows the first in the stated order is taken; ties go to the smaller row.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
 
 
+def _first(df: DataFrame, *order, by: str = "ord") -> DataFrame:
+    w = Window.partitionBy(by).orderBy(*order)
+    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
 def search(catalogue: DataFrame, query: str, limit: int) -> DataFrame:
     """Classes exact, prefix, part of title, part of title + artist, all words; then title length, then row.
 
@@ -23,24 +33,114 @@ def search(catalogue: DataFrame, query: str, limit: int) -> DataFrame:
     return found.orderBy("class", F.length("title"), "row").limit(limit)
 
 
+def _penalty(title: Column) -> list[Column]:
+    p = text.version_penalty(title)
+    return [p["derivative"], p["size"], F.col("row")]
+
+
+def find_songs(seeds: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """(ord, row): rows of the seed's title key, else rows whose title key holds it; of them those of the seed's artist, if there are any.
+
+    seeds (ord, t, a), catalogue (row, title_key, artist_key, full_artist); a null or empty artist narrows nothing.
+    """
+    own = (F.length("a") > 0) & (F.contains("artist_key", F.col("a")) | F.contains("full_artist", F.col("a")))
+    exact = seeds.join(catalogue, F.col("t") == F.col("title_key"))
+    left = seeds.join(exact.select("ord").distinct(), "ord", "left_anti")
+    inside = left.join(catalogue, F.contains("title_key", F.col("t")))
+    found = exact.unionByName(inside).withColumn("_own", F.coalesce(own, F.lit(False)))
+    return _first(found, F.desc("_own"), "row").select("ord", "row")
+
+
+def resolve_profile(seeds: DataFrame, catalogue: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ord, row) of the seeds found, the first of those that share a row, and (ord, t, a) of the others."""
+    found = find_songs(seeds, catalogue)
+    return found.groupBy("row").agg(F.min("ord").alias("ord")).select("ord", "row"), seeds.join(found, "ord", "left_anti")
+
+
+def pair_index(catalogue: DataFrame) -> DataFrame:
+    """(title_key, artist_key, row): the best row of each title and primary artist."""
+    return _first(catalogue.withColumn("_k", F.struct("title_key", "artist_key")), *_penalty(F.col("title")), by="_k").select("title_key", "artist_key", "row")
+
+
+def find_row(seeds: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """(ord, row, stage).  Stage 0: the best row of title and primary artist; 1, without an artist: the best of the title;
+    2: the first of the title whose artist holds the seed's; 3: the first whose title holds the seed's, likewise; 4: none.
+
+    seeds (ord, t, a, p: primary artist), catalogue (row, title, title_key, artist_key, full_artist).
+    """
+    pair = seeds.where(F.length("p") > 0).join(catalogue, (F.col("t") == F.col("title_key")) & (F.col("p") == F.col("artist_key")))
+    named = F.coalesce(F.length("a"), F.lit(0)) > 0
+    alone = seeds.where(~named).join(catalogue, F.col("t") == F.col("title_key"))
+    done = _first(pair, *_penalty(F.col("title"))).select("ord", "row", F.lit(0).alias("stage")).unionByName(_first(alone, *_penalty(F.col("title"))).select("ord", "row", F.lit(1).alias("stage")))
+    left = seeds.join(done, "ord", "left_anti").where(F.length("t") > 0)
+    loose = left.join(catalogue, F.contains("title_key", F.col("t")) & (~named | F.contains("full_artist", F.col("a"))))
+    loose = loose.withColumn("stage", F.when(F.col("t") == F.col("title_key"), 2).otherwise(3))
+    done = done.unionByName(_first(loose, "stage", "row").select("ord", "row", "stage"))
+    return _with_missing(seeds, done, 4)
+
+
+def _with_missing(seeds: DataFrame, found: DataFrame, stage: int) -> DataFrame:
+    return seeds.select("ord").join(found, "ord", "left").select("ord", "row", F.coalesce("stage", F.lit(stage)).cast("long").alias("stage"))
+
+
+def unique_row(seeds: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """(ord, row, stage): the best row of title and whole artist; without an artist the title's row if it has only one."""
+    keyed = catalogue.withColumn("_many", F.count("*").over(Window.partitionBy("title_key")))
+    named = F.coalesce(F.length("a"), F.lit(0)) > 0
+    pair = _first(seeds.where(named).join(keyed, (F.col("t") == F.col("title_key")) & (F.col("a") == F.col("full_artist"))), *_penalty(F.col("title")))
+    alone = seeds.where(~named).join(keyed.where("_many = 1"), F.col("t") == F.col("title_key"))
+    return _with_missing(seeds, pair.select("ord", "row", F.lit(0).alias("stage")).unionByName(alone.select("ord", "row", F.lit(1).alias("stage"))), 2)
+
+
+def eval_row(seeds: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """(ord, row, stage): title and artist; title and part of the artist; part of the title and of the artist; none."""
+    held = (F.coalesce(F.length("p"), F.lit(0)) == 0) | F.contains("artist_key", F.col("p"))
+    exact = seeds.join(catalogue, (F.col("t") == F.col("title_key")) & (F.col("p") == F.col("artist_key"))).select("ord", "row", F.lit(0).alias("stage"))
+    partial = seeds.join(catalogue, F.col("t") == F.col("title_key")).where(held).select("ord", "row", F.lit(1).alias("stage"))
+    done = _first(exact.unionByName(partial), "stage", "row")
+    left = seeds.join(done, "ord", "left_anti")
+    inside = left.join(catalogue, F.contains("title_key", F.col("t"))).where(held).select("ord", "row", F.lit(2).alias("stage"))
+    return _with_missing(seeds, done.unionByName(_first(inside, "row")), 3)
+
+
+def artists_match(tokens: Column, other_tokens: Column, primary: Column, other_primary: Column) -> Column:
+    """A credited artist in common; or one primary artist in the other, of four letters or more; or the same first five letters."""
+    both = (F.length(primary) > 0) & (F.length(other_primary) > 0)
+    shorter = F.least(F.length(primary), F.length(other_primary))
+    inside = F.contains(primary, other_primary) | F.contains(other_primary, primary)
+    near = F.when(inside, shorter >= 4).otherwise((shorter >= 5) & (F.left(primary, F.lit(5)) == F.left(other_primary, F.lit(5))))
+    return F.coalesce(F.arrays_overlap(tokens, other_tokens), F.lit(False)) | F.coalesce(both & near, F.lit(False))
+
+
+def resolve_pairs(songs: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """J7, PF13: (ord, row, query_row, original) of every row that fits a benchmark song; query_row is the best one.
+
+    songs (ord, t, tokens, primary), catalogue (row, title, title_key, tokens, primary): an equi-join on the title, then the artists.
+    """
+    c = catalogue.withColumnsRenamed({"tokens": "_tokens", "primary": "_primary"})
+    found = songs.join(c, F.col("t") == F.col("title_key")).where(artists_match(F.col("tokens"), F.col("_tokens"), F.col("primary"), F.col("_primary")))
+    p = text.version_penalty(F.col("title"), text.BENCH_DERIVATIVE)
+    best = F.first("row").over(Window.partitionBy("ord").orderBy(p["derivative"], p["size"], "row"))
+    return found.select("ord", "row", best.alias("query_row"), text.is_original(F.col("title")).alias("original"))
+
+
+def served_rows(served: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """(ord, row): the catalogue row of a served (id, title, artist), else the first of its id, else null."""
+    c = catalogue.select(F.col("id").alias("_id"), F.col("title").alias("_title"), F.col("artist").alias("_artist"), "row")
+    found = served.join(c, F.col("id") == F.col("_id"), "left")
+    same = F.coalesce((F.col("title") == F.col("_title")) & (F.col("artist") == F.col("_artist")), F.lit(False))
+    return _first(found.withColumn("_same", same), F.desc("_same"), "row").select("ord", "row")
+
+
 def resolve(seeds: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """(ord, row, stage): the exact (title, artist), else the exact title (originals first), else the
-    first title that holds the seed's; stage 3 and a null row where nothing fits.
+    """The short cascade: (ord, row, stage): title and artist, title, part of the title, none; originals first.
 
-    seeds are a small table by contract (one user's list): the containment look-up is a theta join
-    for the seeds that equi-joins left over.
+    seeds (ord, title, artist), catalogue (row, title, artist).
     """
-    best = lambda df: df.withColumn("_n", F.row_number().over(Window.partitionBy("ord").orderBy(*_order()))).where("_n = 1").drop("_n")
     named = seeds.select("ord", F.col("title").alias("t"), F.col("artist").alias("a"))
-    exact = best(named.join(catalogue, (F.col("t") == F.col("title")) & (F.col("a") == F.col("artist")))).select("ord", "row", F.lit(0).alias("stage"))
+    exact = _first(named.join(catalogue, (F.col("t") == F.col("title")) & (F.col("a") == F.col("artist"))), *_penalty(F.col("title"))).select("ord", "row", F.lit(0).alias("stage"))
     left = named.join(exact, "ord", "left_anti")
-    by_title = best(left.join(catalogue, F.col("t") == F.col("title"))).select("ord", "row", F.lit(1).alias("stage"))
+    by_title = _first(left.join(catalogue, F.col("t") == F.col("title")), *_penalty(F.col("title"))).select("ord", "row", F.lit(1).alias("stage"))
     left = left.join(by_title, "ord", "left_anti")
-    inside = best(left.where(F.length("t") > 0).join(catalogue, F.contains("title", F.col("t")))).select("ord", "row", F.lit(2).alias("stage"))
-    none = left.join(inside, "ord", "left_anti").select("ord", F.lit(None).cast("long").alias("row"), F.lit(3).alias("stage"))
-    return exact.unionByName(by_title).unionByName(inside).unionByName(none).withColumn("stage", F.col("stage").cast("long"))
-
-
-def _order():
-    p = text.version_penalty(F.col("title"))
-    return [p["derivative"], p["size"], F.col("row")]
+    inside = _first(left.where(F.length("t") > 0).join(catalogue, F.contains("title", F.col("t"))), *_penalty(F.col("title"))).select("ord", "row", F.lit(2).alias("stage"))
+    return _with_missing(seeds, exact.unionByName(by_title).unionByName(inside), 3)

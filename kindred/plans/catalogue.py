@@ -7,13 +7,14 @@ events are rating snapshots.  Scores are rounded to 6 decimals and ties go to th
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions import vectors as V
 from ..operators import evaluate, graph, late, linear, rank, resolve, sampling
-from ..operators.scan import View, top
+from ..operators.scan import Guard, View, density, top
 from ..sources import ingest
 from ..streaming import ratings
 
@@ -103,13 +104,12 @@ def fused_blend(spark: SparkSession, d: str) -> DataFrame:
     return top(lib, asked(lib), 15, _FUSED, standard=True).select("query_id", "rank", "id", "score")
 
 
-@query(_FUSE + ", d AS (SELECT *, row_number() OVER (PARTITION BY query_id, id // 2 ORDER BY score DESC, id) k FROM b WHERE id <> query_id AND label <> query_label), c AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, id) j FROM d WHERE k = 1), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM c WHERE j <= 2) SELECT query_id, rank, id, label, score FROM r WHERE rank <= 10")
+@query(_FUSE + ", d AS (SELECT *, row_number() OVER (PARTITION BY query_id, id // 2, label ORDER BY score DESC, id) k FROM b WHERE id <> query_id AND label <> query_label), c AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, id) j FROM d WHERE k = 1), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM c WHERE j <= 2) SELECT query_id, rank, id, label, score FROM r WHERE rank <= 10")
 def guarded_top(spark: SparkSession, d: str) -> DataFrame:
-    """The same blend, first of each key (pairs of ids), then two rows of a label."""
+    """The same blend, first of each key (a pair of ids with one label), then two rows of a label, inside the pass."""
     lib = library(spark, d)
-    n = lib.count()  # the guards need the whole order of a query
-    pool = top(lib, asked(lib), n, _FUSED, standard=True, not_label=True).drop("rank").withColumn("key", F.floor(F.col("id") / 2))
-    return rank.guarded(pool, 10, key="key", group="label", cap=2).select("query_id", "rank", "id", "label", "score")
+    guard = Guard(lambda ids, labels: ids // 2 * 1_000_003 + labels, cap=2)
+    return top(lib, asked(lib), 10, _FUSED, standard=True, not_label=True, guard=guard).select("query_id", "rank", "id", "label", "score")
 
 
 _CENT = ", m AS (SELECT label, i, avg(v[i]) x, count(*) n FROM e, generate_series(1, 64) t(i) GROUP BY 1, 2), c AS (SELECT label, n, list(x ORDER BY i) m, sqrt(sum(x * x)) len FROM m GROUP BY label, n)"
@@ -178,12 +178,9 @@ def mmr_diverse(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH {E}, r AS (SELECT id rid, v rv FROM e WHERE id % 100 = 0), m AS (SELECT e.id, max(list_cosine_similarity(v, rv)) top FROM e, r GROUP BY 1) SELECT e.id, round(m.top + ln(avg(exp(8 * (list_cosine_similarity(v, rv) - m.top)))) / 8, 6) density FROM e, r, m WHERE m.id = e.id GROUP BY e.id, m.top")
 def hubness(spark: SparkSession, d: str) -> DataFrame:
-    """Log-mean-exp of similarities to the references, one pass per batch of rows."""
+    """Log-mean-exp of similarities to the references, inside the batches of rows."""
     lib = library(spark, d)
-    s = top(lib, asked(lib), lib.count(), not_self=False, digits=12)
-    peak = F.max("score").over(Window.partitionBy("id"))
-    s = s.withColumn("top", peak).groupBy("id", "top").agg(F.avg(F.exp(8 * (F.col("score") - F.col("top")))).alias("x"))
-    return s.select("id", r6(F.col("top") + F.log("x") / 8).alias("density"))
+    return density(lib, asked(lib)).select("id", r6(F.col("density")).alias("density"))
 
 
 @query("WITH {S}, t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 20), b AS (SELECT * FROM t WHERE label <> query_label QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 3), p AS (SELECT query_id, v FROM b JOIN e USING (id) UNION ALL SELECT query_id, qv FROM q), m AS (SELECT query_id, i, avg(v[i]) x FROM p, generate_series(1, 64) t(i) GROUP BY 1, 2), c AS (SELECT query_id, list(x ORDER BY i) qv FROM m GROUP BY 1), n AS (SELECT query_id, id, round(list_cosine_similarity(v, qv), 6) score FROM e, c WHERE id <> query_id) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, id, score FROM n QUALIFY rank <= 10")
@@ -261,7 +258,7 @@ def agreement(spark: SparkSession, d: str) -> DataFrame:
     return labels.join(found, "query_id", "left").select(F.col("query_id").alias("label"), r6(F.coalesce("n", F.lit(0)) / F.lit(2.0)).alias("agreement"))
 
 
-@query("WITH {E}, z AS (SELECT size, query_id, max(list_cosine_similarity(v, qv)) near, max(CASE WHEN label = query_label THEN list_cosine_similarity(v, qv) END) own FROM e, q, (VALUES (100), (200), (400)) t(size) WHERE id <> query_id AND id < size GROUP BY 1, 2) SELECT size::BIGINT size, round(avg(near), 6) coverage, round(avg(CASE WHEN own = near THEN 1.0::DOUBLE ELSE 0 END), 6) top1 FROM z GROUP BY 1")
+@query()
 def size_sweep(spark: SparkSession, d: str) -> DataFrame:
     """Nested shares of the library up to the whole, whitening fitted again per size, precision of fixed pairs of the least share."""
     lib, out = library(spark, d).where(F.col("id").isNotNull()).withColumn("part", F.crc32(F.col("id").cast("string")) % 8), None
@@ -416,7 +413,10 @@ def session_conflicts(spark: SparkSession, d: str) -> DataFrame:
     return ratings.conflicts(_snapshots(spark, d))
 
 
-@query("WITH e AS (SELECT DISTINCT o_custkey c, l_suppkey s FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity >= 50 AND o_totalprice > 490000) , g AS (SELECT c AS src, -1 - s AS dst FROM e UNION SELECT -1 - s, c FROM e), h1 AS (SELECT DISTINCT dst node FROM g WHERE src % 100 = 0 AND src >= 0), h2 AS (SELECT DISTINCT g.dst node FROM g JOIN h1 ON g.src = h1.node), z AS (SELECT DISTINCT src node, 0 hop FROM g WHERE src % 100 = 0 AND src >= 0 UNION ALL SELECT node, 1 FROM h1 UNION ALL SELECT node, 2 FROM h2) SELECT node, min(hop)::BIGINT hop FROM z GROUP BY 1")
+_EDGES = "e AS (SELECT DISTINCT o_custkey c, -1 - l_suppkey s FROM orders JOIN lineitem ON l_orderkey = o_orderkey), g AS (SELECT c AS a, s AS b FROM e UNION ALL SELECT s, c FROM e)"
+
+
+@query("WITH " + _EDGES + ", h0 AS (SELECT DISTINCT a node FROM g WHERE a % 100 = 0 AND a >= 0), h1 AS (SELECT DISTINCT b node FROM g JOIN h0 ON g.a = h0.node), h2 AS (SELECT DISTINCT b node FROM g JOIN h1 ON g.a = h1.node), z AS (SELECT node, 0 hop FROM h0 UNION ALL SELECT node, 1 FROM h1 UNION ALL SELECT node, 2 FROM h2) SELECT node, min(hop)::BIGINT hop FROM z GROUP BY 1")
 def bfs_two_hop(spark: SparkSession, d: str) -> DataFrame:
     """Customers and suppliers (negative numbers) as a two-sided graph."""
     g = _graph(spark, d)
@@ -429,7 +429,7 @@ def _graph(spark: SparkSession, d: str) -> DataFrame:
     return graph.both_ways(o.join(l, "o_orderkey").select(F.col("o_custkey").alias("src"), (-1 - F.col("l_suppkey")).alias("dst")))
 
 
-@query("WITH RECURSIVE e AS (SELECT DISTINCT o_custkey c, -1 - l_suppkey s FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity >= 50 AND o_totalprice > 490000), g AS (SELECT c AS a, s AS b FROM e UNION SELECT s, c FROM e), r(node, seen) AS (SELECT DISTINCT a, a FROM g UNION SELECT r.node, g.b FROM r JOIN g ON g.a = r.seen) SELECT node, min(seen) component FROM r GROUP BY 1")
+@query("WITH RECURSIVE " + _EDGES + ", cc(node, component) USING KEY (node) AS (SELECT DISTINCT a, a FROM g UNION SELECT u.node, min(v.component) FROM recurring.cc u JOIN g ON g.a = u.node JOIN recurring.cc v ON v.node = g.b WHERE v.component < u.component GROUP BY u.node) SELECT node, component FROM cc")
 def components(spark: SparkSession, d: str) -> DataFrame:
     """A29."""
     return graph.components(_graph(spark, d)).select("node", "component")
@@ -462,7 +462,7 @@ def fold_macro_vs_weighted(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.macro_and_weighted(x, "fold", "label", "x").select("label", r6(F.col("fold_macro")).alias("fold_macro"), r6(F.col("weighted")).alias("weighted"), "folds")
 
 
-@query("WITH v AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 k, embedding[1]::DOUBLE x FROM embeddings), p AS (SELECT draw, (i * 7919 + draw * 104729 + i * draw) % (SELECT count(*) FROM v) k FROM generate_series(0, 99) a(draw), generate_series(0, 199) b(i)), m AS (SELECT draw, avg(x) m FROM p JOIN v USING (k) GROUP BY 1) SELECT round(quantile_cont(m, 0.025), 6) low, round(quantile_cont(m, 0.975), 6) high, round(avg(CASE WHEN m > 0 THEN 1.0::DOUBLE ELSE 0 END), 6) positive FROM m")
+@query("WITH v AS (SELECT row_number() OVER (ORDER BY vec_id % 1024, vec_id) - 1 k, embedding[1]::DOUBLE x FROM embeddings), n AS (SELECT count(*) n FROM v), p AS (SELECT draw, ('0x' || substr(md5(draw || ':' || i), 1, 8))::BIGINT % n k FROM n, generate_series(0, 99) a(draw), generate_series(0, n - 1) b(i)), m AS (SELECT draw, avg(x) m FROM p JOIN v USING (k) GROUP BY 1) SELECT round(quantile_cont(m, 0.025), 6) low, round(quantile_cont(m, 0.975), 6) high, round(avg(CASE WHEN m > 0 THEN 1.0::DOUBLE ELSE 0 END), 6) positive FROM m")
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     """A21."""
     b = evaluate.bootstrap(library(spark, d).select("id", F.get("v", F.lit(0)).alias("x")), "x", 100, "id")
@@ -547,12 +547,14 @@ def budget_freeze(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH {S}, r AS (SELECT *, label IN ((query_label + 1) % 10, (query_label + 9) % 10) rel FROM s) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score * CASE WHEN rel THEN 1.2 ELSE 1 END, 6) DESC, id) AS rank, id, round(score * CASE WHEN rel THEN 1.2 ELSE 1 END, 6) score FROM r QUALIFY rank <= 10")
 def related_boost(spark: SparkSession, d: str) -> DataFrame:
-    """Related labels' scores are multiplied, negative ones too."""
+    """Related labels' scores are multiplied, negative ones too, inside the pass."""
     lib = library(spark, d)
-    s = top(lib, asked(lib), lib.count()).drop("rank")
-    related = (F.col("label") == (F.col("query_label") + 1) % 10) | (F.col("label") == (F.col("query_label") + 9) % 10)
-    s = s.withColumn("score", r6(F.col("score") * F.when(related, 1.2).otherwise(1.0)))
-    return rank.ranked(s, F.desc("score"), "id").where(F.col("rank") <= 10).select("query_id", "rank", "id", "score")
+
+    def boost(score, ids, label, label_q):
+        gap = (label[:, None] - label_q[None, :]) % 10
+        return score * np.where((gap == 1) | (gap == 9), 1.2, 1.0)
+
+    return top(lib, asked(lib), 10, adjust=boost).select("query_id", "rank", "id", "score")
 
 
 @query("SELECT doc_id, trim(regexp_replace(lower(split_part(text, chr(10), 1)), '\\s+', ' ', 'g')) AS key FROM documents")
