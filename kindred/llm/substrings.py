@@ -97,7 +97,24 @@ def unpack(at: np.ndarray):
 ROWS = "key long, context long, doc long, at long"
 
 
-def _anchor_rows(size: int, gram: int):
+#: Bytes of texts whose anchors are looked for at a time.
+STRETCH = 1 << 19
+
+
+def _stretches(offsets: np.ndarray, size: int, stretch: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(first text, first byte, offsets from there) of bounded bytes: several whole texts, or a stretch of a long one.
+
+    The stretches of a text overlap by size - 1 bytes, so that every string is in one of them.
+    """
+    for i, j in B.slices(offsets, stretch):
+        if j > i + 1 or offsets[j] - offsets[i] <= 2 * stretch:
+            yield i, int(offsets[i]), offsets[i : j + 1] - offsets[i]
+        else:
+            for a in range(int(offsets[i]), int(offsets[j]) - size + 1, stretch):
+                yield i, a, np.array([0, min(stretch + size - 1, int(offsets[j]) - a)])
+
+
+def _anchor_rows(size: int, gram: int, stretch: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.column(0).null_count:
@@ -106,10 +123,9 @@ def _anchor_rows(size: int, gram: int):
             if int(sub.max(initial=0)) >> (63 - PLACE):
                 raise ValueError("too many different texts of one id")
             data, offsets = B.buffers(b.column(1))
-            for i, j in B.slices(offsets, 1 << 20):
-                off = offsets[i : j + 1] - offsets[i]
-                row, begin, x, last, h, c = anchors(data[offsets[i] : offsets[j]], off, size, gram)
-                doc, base = ids[i + row], off[row]
+            for i, a, off in _stretches(offsets, size, stretch):
+                row, begin, x, last, h, c = anchors(data[a : a + off[-1]], off, size, gram)
+                doc, base = ids[i + row], offsets[i + row] - a
                 at = pack(sub[i + row], begin - base, x - base, last - base)
                 # equal anchors of a slice: the first goes on, the others are repeats already (context 0, own key)
                 order = np.lexsort((at, doc, c, h))
@@ -231,8 +247,8 @@ def _context_rows(size: int):
                 continue
             start, end = np.concatenate(starts), np.concatenate(ends)
             keys, docs, ats = np.concatenate(keys), np.concatenate(docs), np.concatenate(ats)
-            for s in range(0, len(start), 1 << 16):
-                p, q = start[s : s + (1 << 16)], end[s : s + (1 << 16)]
+            for s in range(0, len(start), 1 << 14):
+                p, q = start[s : s + (1 << 14)], end[s : s + (1 << 14)]
                 off = np.concatenate(([0], np.cumsum(q - p))).astype(np.int64)
                 raw = data[B.ranges(p, q - p)]
                 held = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(p), [None, pa.py_buffer(off), pa.py_buffer(raw)]).cast(pa.binary())
@@ -387,7 +403,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spans, kind)], ["doc_id", "text", "removed"])
 
 
-def repeated_spans(docs: DataFrame, *, size: int = SIZE, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, *, size: int = SIZE, gram: int = GRAM, stretch: int = STRETCH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text as bytes, removed: byte ranges start..end to leave out) per row."""
     n = shuffle_parts(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
@@ -399,7 +415,7 @@ def repeated_spans(docs: DataFrame, *, size: int = SIZE, gram: int = GRAM, id_co
     texts = rows.repartition(n, "doc")
     texts = texts.join(several, "doc", "left").select("doc", "text", F.greatest(place, F.lit(0)).alias("sub"))
     # filters on ids or requests are left to the functions: pushed below it, they would make another shuffle of texts
-    found = texts.mapInArrow(_anchor_rows(size, gram), ROWS).repartition(n, "key").mapInArrow(_first_contexts(size), FOUND)
+    found = texts.mapInArrow(_anchor_rows(size, gram, stretch), ROWS).repartition(n, "key").mapInArrow(_first_contexts(size), FOUND)
     packed = found.repartition(n, "doc").mapInArrow(_by_document, PACKED)
     asked = packed.where(F.octet_length("wanted") > 0).select("doc", "wanted").hint("shuffle_hash")
     contexts = texts.join(asked, "doc", "left").select("doc", "text", "sub", "wanted").mapInArrow(_context_rows(size), CONTEXTS)
@@ -411,6 +427,10 @@ def repeated_spans(docs: DataFrame, *, size: int = SIZE, gram: int = GRAM, id_co
 
 
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest_columns(repeated_spans(table(spark, sf_dir, "documents")))
+
+
+def digest_columns(found: DataFrame) -> DataFrame:
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, gone, spans, sha = [], [], [], []
@@ -424,4 +444,4 @@ def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
                 gone.append(sum(s["end"] - s["start"] for s in cut))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())], [x.split()[0] for x in RESULT.split(", ")])
 
-    return repeated_spans(table(spark, sf_dir, "documents")).mapInArrow(digest, RESULT)
+    return found.mapInArrow(digest, RESULT)

@@ -185,7 +185,7 @@ def test_substrings(spark, docs):
 
 
 def test_op5_rows(spark, tmp_path):
-    """The registered query: ids shared by different texts, repeated rows, no id, nulls, very long texts, an empty table."""
+    """The registered query, and the operator with long texts in many stretches: ids shared by different texts, repeated rows, no id, nulls, very long texts, an empty table."""
     rng = random.Random(6)
     say = lambda n: " ".join(rng.choice("alpha beta gamma delta epsilon zeta eta theta iota kappa".split()) for _ in range(n))
     shared, long = say(60), say(40_000)
@@ -198,7 +198,10 @@ def test_op5_rows(spark, tmp_path):
     at = {(i, t): told[k] for k, (i, _, t) in enumerate(order)}
     whole = lambda t: (len(t.encode()), 0, 0, hashlib.sha256(t.encode()).hexdigest())
     assert got == sorted(((i, *(whole(t or "") if i is None else at[i, t or ""])) for i, t in rows), key=repr)
-    spark.read.parquet(f"{tmp_path}/documents.parquet").where("false").write.parquet(f"{tmp_path}/none/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    many = substrings.digest_columns(substrings.repeated_spans(docs, stretch=300))
+    assert sorted((tuple(r) for r in many.collect()), key=repr) == got
+    docs.where("false").write.parquet(f"{tmp_path}/none/documents.parquet")
     assert substrings.op5_substrings(spark, f"{tmp_path}/none").count() == 0
 
 
