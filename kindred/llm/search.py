@@ -206,6 +206,18 @@ def _blocks(told: DataFrame, most: int) -> Iterator[np.ndarray]:
         yield np.concatenate(held)
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together to PIECE rows or more; the last one may be smaller."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= PIECE:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _one_block(rows: DataFrame, block: np.ndarray, k: int, shard: int) -> tuple[DataFrame, list[Broadcast]]:
     spark = rows.sparkSession
     wanted, place = np.unique(np.ascontiguousarray(block[:, 1]).view(np.uint64), return_inverse=True)
@@ -234,7 +246,7 @@ def _one_block(rows: DataFrame, block: np.ndarray, k: int, shard: int) -> tuple[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries, at, terms, factors = part.value
         best = [(np.empty(0, np.int64), np.empty(0))] * len(queries)
-        for b in batches:
+        for b in _pieces(batches):
             step = -(-b.num_rows // max(1, -(-b.num_rows // PIECE)))
             for i in range(0, b.num_rows, max(1, step)):  # one piece's index at a time, alike in size
                 piece = b.slice(i, step)
