@@ -67,3 +67,68 @@ def diverse_top(scored: DataFrame, by: str, pos: str, n: int, gap: int) -> DataF
         return pd.DataFrame({by: pdf[by].iloc[0], pos: chosen, "rank": np.arange(1, len(chosen) + 1)})
 
     return scored.groupBy(by).applyInPandas(pick, f"{by} long, {pos} long, rank long")
+
+
+def frozen(v: Column, b: int) -> Column:
+    """Exactly b entries at even places, for any number of entries; null for none."""
+    return F.when(F.size(v) > 0, budget(v, b))
+
+
+def ranked_prefix(v: Column, b: int) -> Column:
+    """The first b entries; fewer are spread and repeated."""
+    return F.when(F.size(v) >= b, F.slice(v, 1, b)).otherwise(frozen(v, b))
+
+
+def section_maxsim(repeated: Column, salient: Column, other_repeated: Column, other_salient: Column, b: int) -> Column:
+    """Mean of both kinds of sections' MaxSim at the budget."""
+    one = lambda x, y: maxsim(ranked_prefix(x, b), ranked_prefix(y, b))
+    return 0.5 * (one(repeated, other_repeated) + one(salient, other_salient))
+
+
+def hybrid(whole: Column, uniform: Column, sections: Column) -> Column:
+    """The frozen weights."""
+    return 0.50 * whole + 0.25 * uniform + 0.25 * sections
+
+
+def padded(samples: Column, size: int, policy: str) -> Column:
+    """A short array repeated or followed by zeros up to size; `reject` raises where the row is read; empty ones raise always."""
+    n = F.size(samples)
+    if policy == "repeat":
+        short = F.slice(F.flatten(F.array_repeat(samples, F.ceil(F.lit(size) / n).cast("int"))), 1, size)
+    elif policy == "zero":
+        short = F.concat(samples, F.array_repeat(F.lit(0.0), F.lit(size) - n))
+    elif policy == "reject":
+        short = F.raise_error(F.lit("an array is shorter than a window")).cast("array<double>")
+    else:
+        raise ValueError(f"unknown policy {policy}")
+    return F.when(n == 0, F.raise_error(F.lit("an array is empty")).cast("array<double>")).when(n < size, short).otherwise(samples)
+
+
+def window_values(samples: Column, size: int, hop: int, policy: str = "repeat") -> Column:
+    """V28, ST2: array of (start, v): windows of a whole array, the last one aligned to its end."""
+    whole = padded(samples, size, policy)
+    return F.transform(window_starts(F.size(whole), size, hop), lambda a: F.struct(a.alias("start"), F.slice(whole, (a + 1).cast("int"), F.lit(size)).alias("v")))
+
+
+def signal_features(samples: pd.Series, rate: float) -> pd.DataFrame:
+    """V29, on arrays of samples: RMS, zero crossings, crest, centroid and seven band energies, by numpy's FFT."""
+    out = []
+    edges = np.array([20, 60, 250, 500, 2000, 4000, 6000, 20000.0])
+    for s in samples:
+        x = np.asarray(s, float)
+        if not len(x):
+            out.append((None,) * 5)
+            continue
+        rms = float(np.sqrt((x * x).mean()))
+        power = np.abs(np.fft.rfft(x)) ** 2
+        freq = np.fft.rfftfreq(len(x), 1 / rate)
+        total = power.sum() + 1e-12
+        bands = [float(power[(freq >= a) & (freq < b)].sum() / total) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        out.append((rms, float((np.signbit(x[1:]) != np.signbit(x[:-1])).mean()) if len(x) > 1 else 0.0, float(np.abs(x).max() / (rms + 1e-12)), float((freq * power).sum() / total), bands))
+    return pd.DataFrame(out, columns=["rms", "zero_crossings", "crest", "centroid", "bands"])
+
+
+def fit_frames(v: Column, size: int) -> Column:
+    """The middle `size` entries of a longer array; a shorter one is followed by zeros."""
+    n = F.size(v)
+    return F.when(n >= size, F.slice(v, (F.floor((n - size) / 2) + 1).cast("int"), F.lit(size))).otherwise(F.concat(v, F.array_repeat(F.lit(0.0), F.lit(size) - n)))

@@ -93,3 +93,54 @@ def mmr(pool: DataFrame, vectors: DataFrame, n: int, diversity: float = 0.15) ->
 
     rows = pool.select("query_id", "id", "score").join(vectors.select("id", "v"), "id")
     return rows.groupBy("query_id").applyInPandas(pick, "query_id long, id long, score double, rank long")
+
+
+def genre_similarity(pool: DataFrame, vectors: DataFrame, centres: DataFrame) -> DataFrame:
+    """Pool with `genre`: cosine of centre to centre, where a row without one stands for itself; 0 without either.
+
+    pool (query_id, query_label, id, label, ...), vectors (id, v), centres (label, v).  Centres and vectors
+    are joined to the bounded pool, not to the library.
+    """
+    c = centres.select("label", F.col("v").alias("_c"))
+    rows = pool.join(c, "label", "left").join(vectors.select("id", F.col("v").alias("_v")), "id", "left")
+    rows = rows.join(c.select(F.col("label").alias("query_label"), F.col("_c").alias("_qc")), "query_label", "left")
+    rows = rows.join(vectors.select(F.col("id").alias("query_id"), F.col("v").alias("_qv")), "query_id", "left")
+    a, b = F.coalesce("_c", "_v"), F.coalesce("_qc", "_qv")
+    return rows.withColumn("genre", F.coalesce(V.cosine(a, b), F.lit(0.0))).drop("_c", "_v", "_qc", "_qv")
+
+
+def blended(score, other, gamma: float, by: str = "query_id"):
+    """Both brought to 0..1 inside a query and mixed."""
+    return (1 - gamma) * V.minmax(score, by) + gamma * other
+
+
+def sonic_tail(pool: DataFrame, vectors: DataFrame, centres: DataFrame, n: int, *, gamma: float = 0.25, diversity: float = 0.15, head: int = 20) -> DataFrame:
+    """MMR over a pool that has one row per label, then the head by the blend with the genre, tail frozen.
+
+    pool (query_id, query_label, id, label, score, rank), already cut to its cap; -> query_id, id, score, rank.
+    """
+    chosen = mmr(pool, vectors, n, diversity).withColumnRenamed("rank", "old")
+    genre = genre_similarity(pool, vectors, centres)
+    blend = F.round(blended(F.col("score"), V.minmax(F.col("genre"), "query_id"), gamma), 6)
+    rows = chosen.join(genre.withColumn("blend", blend).select("query_id", "id", "blend"), ["query_id", "id"]).withColumnRenamed("old", "rank")
+    return _resorted(rows, "blend", F.col("rank") <= head).select("query_id", "id", "score", F.col("new_rank").alias("rank"))
+
+
+def related_blend(pool: DataFrame, related: DataFrame, gamma: float = 0.2) -> DataFrame:
+    """Pool with `blend`: (1 - gamma) * score in 0..1 + gamma if the row's label is related; queries without relations keep the first part.
+
+    related (query_label, label).
+    """
+    known = related.select("query_label").distinct().withColumn("_some", F.lit(True))
+    rows = pool.join(related.select("query_label", "label", F.lit(1.0).alias("_rel")), ["query_label", "label"], "left").join(known, "query_label", "left")
+    base = V.minmax(F.col("score"), "query_id")
+    return rows.withColumn("blend", F.when(F.col("_some").isNull(), base).otherwise((1 - gamma) * base + gamma * F.coalesce("_rel", F.lit(0.0)))).drop("_rel", "_some")
+
+
+def keyed_union(parts: list[DataFrame], key: str) -> DataFrame:
+    """U4: tables one after the other, the first row of each key."""
+    rows = None
+    for k, p in enumerate(parts):
+        p = p.withColumn("_part", F.lit(k)).withColumn("_at", F.monotonically_increasing_id())
+        rows = p if rows is None else rows.unionByName(p)
+    return first_of(rows.withColumn("_all", F.lit(0)), key, "_part", "_at", by="_all").drop("_part", "_at", "_all") if rows is not None else rows
