@@ -8,6 +8,8 @@ a slice always holds whole texts.
 
 from __future__ import annotations
 
+import ctypes
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -89,6 +91,21 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
+_trimmed = [0.0]
+
+
+def trim() -> None:
+    """Gives freed memory back to the system, now and then: Python workers outlive the stages that filled them."""
+    now = time.monotonic()
+    if now - _trimmed[0] > 0.3:
+        _trimmed[0] = now
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+
 def slices(offsets: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Row ranges of about `most` bytes, at least one row each."""
     n, i = len(offsets) - 1, 0
@@ -96,6 +113,7 @@ def slices(offsets: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, int]
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
         yield i, min(j, n)
         i = j
+    trim()
 
 
 def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -157,6 +157,7 @@ def groups_of(batches: Iterator[pa.RecordBatch], column: int = 0, most: int = 1
                 held, n = t.slice(last).to_batches(), t.num_rows - last
     if held:
         yield pa.Table.from_batches(held)
+    B.trim()
 
 
 def _forest(near, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

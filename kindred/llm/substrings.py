@@ -140,6 +140,7 @@ def _anchor_rows(size: int, gram: int, stretch: int):
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
+    B.trim()
     held = [b for b in batches if b.num_rows]
     return pa.Table.from_batches(held) if held else None
 
