@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .common import shuffle_parts, table
+from .common import shuffle_parts, table, written
 
 SIZE, GRAM = 100, 24
 _ODD = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -409,9 +409,10 @@ def repeated_spans(docs: DataFrame, *, size: int = SIZE, gram: int = GRAM, stret
     n = shuffle_parts(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), text.alias("text"))
-    # ids with different texts: their hashes in order, which number the texts; the few are joined on the texts' side
-    said = rows.where(F.col("doc").isNotNull()).select("doc", F.xxhash64("text").alias("h")).repartition(n, "doc")
-    several = said.groupBy("doc").agg(F.array_sort(F.collect_set("h")).alias("hashes")).where(F.size("hashes") > 1).hint("shuffle_hash")
+    # ids with different texts: their hashes in order, which number the texts; a table of its own, empty where ids are unique
+    said = rows.where(F.col("doc").isNotNull()).select("doc", F.xxhash64("text").alias("h"))
+    several = said.groupBy("doc").agg(F.array_sort(F.collect_set("h")).alias("hashes")).where(F.size("hashes") > 1)
+    several = written(several, "several")
     place = F.coalesce(F.array_position("hashes", F.xxhash64("text")) - 1, F.lit(0).cast("long")).cast("int")
     texts = rows.repartition(n, "doc")
     texts = texts.join(several, "doc", "left").select("doc", "text", F.greatest(place, F.lit(0)).alias("sub"))
