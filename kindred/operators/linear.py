@@ -69,3 +69,20 @@ def whitened(library: DataFrame, d: int, fit: DataFrame | None = None) -> DataFr
             yield pa.RecordBatch.from_arrays([*b.columns[:at], v, *b.columns[at + 1 :]], b.schema.names)
 
     return library.mapInArrow(apply, library.schema)
+
+
+def projected(library: DataFrame, d: int, k: int = 2) -> DataFrame:
+    """(id, c0, c1, ...): the rows on their first k principal components; of each the largest weight is positive."""
+    mean, cov, _ = covariance(library, d)
+    axes = np.linalg.eigh(cov)[1][:, ::-1][:, :k]
+    axes = axes * np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(k)])
+    shared = library.sparkSession.sparkContext.broadcast((mean, axes))
+    names = ["id", *(f"c{i}" for i in range(k))]
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, a = shared.value
+        for b in batches:
+            x = (matrix(b.column(1)) - m) @ a if b.num_rows else np.zeros((0, k))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x[:, i]) for i in range(k))], names)
+
+    return library.select("id", "v").mapInArrow(apply, ", ".join(["id long", *(f"{n} double" for n in names[1:])]))

@@ -26,7 +26,7 @@ BLOCK = 2048
 class View:
     """A score of (query, row): a vector column, its slice, a kind and a weight in the blend."""
 
-    kind: str = "cosine"  # cosine | euclid (1 / (1 + distance)) | prior (a number of the row)
+    kind: str = "cosine"  # cosine | dot | euclid (1 / (1 + distance)) | prior (a number of the row)
     start: int = 0
     stop: int | None = None
     weight: float = 1.0
@@ -67,6 +67,8 @@ def scores(view: View, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
     if view.kind == "prior":
         return np.repeat(rows[:, :1], len(query), axis=1)
     a, b = rows[:, view.start : view.stop], query[:, view.start : view.stop]
+    if view.kind == "dot":
+        return a @ b.T
     if view.kind == "cosine":
         return (a @ b.T) / np.maximum(np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :], 1e-300)
     gap = np.empty((len(a), len(b)))

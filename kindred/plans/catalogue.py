@@ -570,4 +570,4 @@ def grouping_sets(spark: SparkSession, d: str) -> DataFrame:
     return l.rollup("flag", "status").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"))
 
 
-from . import songs  # noqa: E402, F401  registers its queries
+from . import reports, songs  # noqa: E402, F401  they register their queries
