@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import written
+
 
 def first_hit(ranked: DataFrame) -> DataFrame:
     """Rank of the first relevant row per query, 0 if none; ranked has (query_id, rank, relevant)."""
@@ -48,19 +52,42 @@ def macro_and_weighted(df: DataFrame, fold: str, by: str, value: str) -> DataFra
 def silhouette_cosine(df: DataFrame) -> DataFrame:
     """A18, exact and linear: for unit vectors the mean distance to a cluster is 1 - v . (its sum) / size.
 
-    df (id, label, v unit) -> (id, label, silhouette); clusters are few (a row each is joined to every row's label set).
+    df (id, label, v unit) -> (id, label, silhouette).  Clusters are broadcast in blocks of a fixed number; every row
+    meets a block as one matrix product, and its parts of all blocks meet by id.
     """
-    from ..functions.vectors import dot
+    from .scan import cluster_blocks, matrix
 
     sums = df.select("label", F.posexplode("v").alias("pos", "x")).groupBy("label", "pos").agg(F.sum("x").alias("x"))
     sums = sums.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("s"))
-    sizes = df.groupBy("label").agg(F.count("*").alias("n"))
-    every = sums.join(sizes, "label").agg(F.collect_list(F.struct("label", "s", "n")).alias("all"))  # a row per cluster
-    d = df.join(F.broadcast(every)).select("id", F.col("label").alias("own"), F.inline("all"), "v")
-    near = dot(F.col("v"), F.col("s"))
-    d = d.withColumn("gap", F.when(F.col("own") == F.col("label"), (F.col("n") - near) / F.greatest(F.col("n") - 1, F.lit(1))).otherwise(1 - near / F.col("n")))
-    per = d.groupBy("id", "own").agg(F.max(F.when(F.col("own") == F.col("label"), F.col("gap"))).alias("a"), F.min(F.when(F.col("own") != F.col("label"), F.col("gap"))).alias("b"), F.max(F.when(F.col("own") == F.col("label"), F.col("n"))).alias("n"))
-    return per.select("id", F.col("own").alias("label"), F.when((F.col("n") <= 1) | F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b")).alias("silhouette"))
+    clusters = written(sums.join(df.groupBy("label").agg(F.count("*").alias("n")), "label"), "clusters")
+    rows, parts = df.select("id", "label", "v"), []
+    for block in cluster_blocks(clusters):
+        shared = df.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches, shared=shared):
+            labels, sizes, vectors = shared.value
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                near, own = matrix(b.column(2)) @ vectors.T, b.column(1).to_numpy()[:, None] == labels[None, :]
+                inside = np.where(own, (sizes - near) / np.maximum(sizes - 1, 1), np.nan)
+                other = np.where(own, np.inf, 1 - near / sizes)
+                has = own.any(axis=1)
+                a = pa.array(np.where(has, np.nansum(inside, axis=1), 0.0), mask=~has)
+                n = pa.array(np.where(own, sizes, 0).sum(axis=1), mask=~has)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), a, pa.array(other.min(axis=1)), n], ["id", "own", "a", "b", "n"])
+
+        part = written(rows.mapInArrow(run, "id long, own long, a double, b double, n long"), "silhouette")
+        shared.unpersist()
+        parts.append(part)
+    if not parts:
+        return rows.select("id", "label", F.lit(0.0).alias("silhouette"))
+    per = parts[0]
+    for p in parts[1:]:
+        per = per.unionByName(p)
+    per = per.groupBy("id", "own").agg(F.max("a").alias("a"), F.min("b").alias("b"), F.max("n").alias("n"))
+    none = (F.col("n") <= 1) | (F.col("b") == float("inf"))
+    return per.select("id", F.col("own").alias("label"), F.when(none, 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b")).alias("silhouette"))
 
 
 def bootstrap(values: DataFrame, value: str, draws: int, id_col: str) -> DataFrame:

@@ -88,6 +88,18 @@ def _query_blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray,
         yield _arrays(held)
 
 
+def cluster_blocks(clusters: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(labels, sizes, sums) of clusters (label, n, s), a block of rows at a time."""
+    held = []
+    for r in clusters.select("label", "n", "s").orderBy("label").toLocalIterator():
+        held.append(r)
+        if len(held) == BLOCK:
+            yield np.array([x.label for x in held]), np.array([x.n for x in held]), np.array([x.s for x in held], float)
+            held = []
+    if held:
+        yield np.array([x.label for x in held]), np.array([x.n for x in held]), np.array([x.s for x in held], float)
+
+
 def _arrays(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array([r.query_id for r in rows]), np.array([-1 if r.label is None else r.label for r in rows]), np.array([r.v for r in rows], float)
 

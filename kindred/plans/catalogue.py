@@ -169,9 +169,13 @@ def whitened_knn(spark: SparkSession, d: str) -> DataFrame:
     return top(white, asked(white), 10, digits=5).select("query_id", "rank", "id", "score")
 
 
-@query()
+#: Greedy choice as a recursion over lists: places chosen so far, and each row's largest similarity to them.
+_GREEDY = "u AS (SELECT id, list_transform(v, lambda x: x / (sqrt(list_dot_product(v, v)) + 1e-9)) v FROM e), l AS (SELECT query_id, list(p.id ORDER BY n) ids, list(score ORDER BY n) sc, list(u.v ORDER BY n) vs FROM p JOIN u ON u.id = p.id GROUP BY 1), k AS (SELECT *, list_transform(sc, lambda x: (x - list_min(sc)) / (list_max(sc) - list_min(sc) + 1e-9)) rel FROM l), r AS (SELECT query_id, []::BIGINT[] c, list_transform(ids, lambda x: NULL::DOUBLE) near FROM k UNION ALL SELECT query_id, list_append(c, i::BIGINT), list_transform(range(1, len(vs) + 1), lambda j: greatest(coalesce(near[j], -1e9), list_dot_product(vs[j], vs[i]))) FROM (SELECT query_id, c, near, vs, list_position(g, list_max(g)) i FROM (SELECT r.query_id, c, near, vs, list_transform(range(1, len(vs) + 1), lambda j: CASE WHEN list_contains(c, j) THEN -1e9 ELSE 0.85 * rel[j] - 0.15 * coalesce(near[j], 0) END) g FROM r JOIN k ON k.query_id = r.query_id WHERE len(c) < least(15, len(vs))) x) y), z AS (SELECT r.query_id, ids[c[t]] id, sc[c[t]] score, t AS rank FROM r JOIN k ON k.query_id = r.query_id, generate_series(1, 15) x(t) WHERE len(c) = least(15, len(ids)) AND t <= len(c))"
+
+
+@query("WITH RECURSIVE {S}, p AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) n FROM s QUALIFY n <= 200), " + _GREEDY + " SELECT query_id, id, score, rank FROM z")
 def mmr_diverse(spark: SparkSession, d: str) -> DataFrame:
-    """Greedy, no SQL; held against a plain loop in the tests."""
+    """Greedy; the SQL recurses over lists."""
     lib = library(spark, d)
     return rank.mmr(top(lib, asked(lib), 200), lib, 15)
 
@@ -334,10 +338,15 @@ def salient_sections(spark: SparkSession, d: str) -> DataFrame:
     return late.salient_scores(w.join(g, "id"), "id", "i", "x", "g").select("id", "i", r6(F.col("score")).alias("score"))
 
 
-@query()
+#: Greedy windows as a recursion over lists: the best one two apart from all chosen, else the best that is left.
+_STEPS = ", o AS (SELECT id, list(i ORDER BY score DESC, i) o FROM sc GROUP BY id), r AS (SELECT id, o, []::BIGINT[] c FROM o UNION ALL SELECT id, o, list_append(c, coalesce(list_filter(o, lambda x: list_bool_and(list_transform(c || [x - 1000], lambda y: abs(x - y) >= 2)))[1], list_filter(o, lambda x: NOT list_contains(c, x))[1])) FROM r WHERE len(c) < least(3, len(o))) SELECT id, c[k] AS i, k AS rank FROM r, generate_series(1, 3) t(k) WHERE len(c) = least(3, len(o)) AND k <= len(c)"
+
+
+@query("WITH RECURSIVE {E}, " + _WIN + ", sc AS (SELECT a.id, a.i, round(max(list_dot_product(a.x, b.x)), 9) score FROM w a JOIN w b ON a.id = b.id AND abs(a.i - b.i) >= 2 GROUP BY 1, 2)" + _STEPS)
 def diverse_sections(spark: SparkSession, d: str) -> DataFrame:
-    """T4: greedy, no SQL; held against a plain loop in the tests."""
-    return late.diverse_top(late.repeated_scores(_windows(library(spark, d)), "id", "i", "x", 2), "id", "i", 3, 2)
+    """The three windows that repeat most, two apart; the SQL recurses over lists."""
+    scored = late.repeated_scores(_windows(library(spark, d)), "id", "i", "x", 2)
+    return late.diverse_top(scored.withColumn("score", F.round("score", 9)), "id", "i", 3, 2)
 
 
 @query("WITH {E}, " + _WIN + ", c AS (SELECT id, i, x, i * 4 + 4.0::DOUBLE mid FROM w), h AS (SELECT id, x, coalesce((lead(mid) OVER k + mid) / 2, i * 4 + 8) - coalesce((lag(mid) OVER k + mid) / 2, i * 4) wt FROM c WINDOW k AS (PARTITION BY id ORDER BY i)) SELECT id, k - 1 AS pos, round(sum(wt * x[k]) / sum(wt), 6) x FROM h, generate_series(1, 8) t(k) GROUP BY 1, 2")
@@ -357,11 +366,10 @@ def windows_tail(spark: SparkSession, d: str) -> DataFrame:
 _SAFE = [p for p in text.JUNK_TITLE if "(?!" not in p]
 
 
-@query("SELECT doc_id, regexp_matches(lower(split_part(text, chr(10), 1)), '(?i)" + "|".join([*_SAFE, r"\bthe\b.*\bof\b"]).replace("'", "''") + "') AS junk FROM documents")
+@query("SELECT doc_id, coalesce(regexp_matches(lower(text), '(?i)" + "|".join([*_SAFE, r"\bthe\b.*\bof\b"]).replace("'", "''") + "'), false) AS junk FROM documents")
 def junk_filter(spark: SparkSession, d: str) -> DataFrame:
-    """PF7, UD3 on first lines, which have no artist; the SQL lacks the patterns with a look-ahead."""
-    line = F.lower(F.substring_index("text", "\n", 1))
-    return read(spark, d, "documents").select("doc_id", text.is_junk(line, F.lit(None).cast("string"), (r"\bthe\b.*\bof\b",)).alias("junk"))
+    """PF7, UD3 on whole texts, which have no artist, with one more pattern; the SQL lacks the pattern with a look-ahead."""
+    return read(spark, d, "documents").select("doc_id", text.is_junk(F.lower("text"), F.lit(None).cast("string"), (r"\bthe\b.*\bof\b",)).alias("junk"))
 
 
 @query("WITH k AS (SELECT p_partkey id, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') || '|' || regexp_replace(lower(p_brand), '[^a-z0-9]', '', 'g') AS key FROM part) SELECT key, min(id) id, count(*) n FROM k GROUP BY key")
@@ -557,10 +565,10 @@ def related_boost(spark: SparkSession, d: str) -> DataFrame:
     return top(lib, asked(lib), 10, adjust=boost).select("query_id", "rank", "id", "score")
 
 
-@query("SELECT doc_id, trim(regexp_replace(lower(split_part(text, chr(10), 1)), '\\s+', ' ', 'g')) AS key FROM documents")
+@query("SELECT doc_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS key FROM documents")
 def squeeze_key(spark: SparkSession, d: str) -> DataFrame:
-    """F1."""
-    return read(spark, d, "documents").select("doc_id", text.squeeze(F.substring_index("text", "\n", 1)).alias("key"))
+    """F1 on whole texts."""
+    return read(spark, d, "documents").select("doc_id", text.squeeze(F.col("text")).alias("key"))
 
 
 @query("WITH s AS (SELECT l_returnflag f, l_linestatus t, l_quantity q FROM lineitem) SELECT f AS flag, t AS status, count(*) n, sum(q) quantity FROM s GROUP BY GROUPING SETS ((f, t), (f), ())")

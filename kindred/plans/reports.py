@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import evaluate, graph, late, linear, rank, sampling
-from ..operators.scan import View, density, top
+from ..operators.scan import Guard, View, density, top
 from ..sources import ingest, store
 from ..sources.storage import scratch, written
 from ..streaming import ratings
-from .catalogue import _CENT, _WIN, FEATURES, S, _dual, _jaccard, _relevant, _windows, asked, features, library, query, r6, read
+from .catalogue import _CENT, _FUSE, _FUSED, _GREEDY, _STEPS, _WIN, FEATURES, S, _dual, _jaccard, _relevant, _windows, asked, features, library, query, r6, read
 
 # --- scores ---------------------------------------------------------------------------------
 
@@ -90,11 +90,10 @@ def ranked_prefixes(spark: SparkSession, d: str) -> DataFrame:
     return n.groupBy("user_id").agg(ordered.alias("v")).select("user_id", F.posexplode(late.ranked_prefix(F.col("v"), 6)).alias("pos", "x")).select("user_id", F.col("pos").cast("long").alias("pos"), r6(F.col("x")).alias("x"))
 
 
-_STEPS = "WITH RECURSIVE {body}, o AS (SELECT id, list(i ORDER BY score DESC, i) o FROM sc GROUP BY id), r AS (SELECT id, o, []::BIGINT[] c FROM o UNION ALL SELECT id, o, list_append(c, coalesce(list_filter(o, lambda x: list_bool_and(list_transform(c || [x - 1000], lambda y: abs(x - y) >= 2)))[1], list_filter(o, lambda x: NOT list_contains(c, x))[1])) FROM r WHERE len(c) < least(3, len(o))) SELECT id, c[k] AS i, k AS rank FROM r, generate_series(1, 3) t(k) WHERE len(c) = least(3, len(o)) AND k <= len(c)"
 _SALIENT = "m AS (SELECT id, k, avg(x[k]) y FROM w, generate_series(1, 8) t(k) GROUP BY 1, 2), g AS (SELECT id, list(y ORDER BY k) g FROM m GROUP BY 1), ca AS (SELECT id, i, 1 - list_dot_product(x, g) f, 1 - list_dot_product(x, lag(x) OVER k) a, 1 - list_dot_product(x, lead(x) OVER k) b FROM w JOIN g USING (id) WINDOW k AS (PARTITION BY id ORDER BY i)), sc AS (SELECT id, i, round(f + 0.5 * greatest(coalesce(a, 0), coalesce(b, 0)), 9) score FROM ca)"
 
 
-@query(_STEPS.replace("{body}", "{E}, " + _WIN + ", " + _SALIENT))
+@query("WITH RECURSIVE {E}, " + _WIN + ", " + _SALIENT + _STEPS)
 def salient_top(spark: SparkSession, d: str) -> DataFrame:
     """The three most salient windows, two apart."""
     w = _windows(library(spark, d)).select("id", "i", "x")
@@ -119,12 +118,9 @@ def projection(spark: SparkSession, d: str) -> DataFrame:
     return linear.projected(library(spark, d).select("id", "v"), 64)
 
 
-@query()
+@query("WITH RECURSIVE " + _FUSE.removeprefix("WITH ") + _CENT + ", d AS (SELECT * FROM b WHERE id <> query_id QUALIFY row_number() OVER (PARTITION BY query_id, label, id // 5 ORDER BY score DESC, id) = 1), p AS (SELECT query_id, query_label, id, label, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) n FROM d QUALIFY n <= 1250), " + _GREEDY + ", h AS (SELECT p.*, list_cosine_similarity(x.m, y.m) genre FROM p JOIN c x ON x.label = p.query_label JOIN c y ON y.label = p.label), f AS (SELECT query_id, id, round(0.75 * (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w + 1e-9) + 0.25 * (genre - min(genre) OVER w) / (max(genre) OVER w - min(genre) OVER w + 1e-9), 6) blend FROM h WINDOW w AS (PARTITION BY query_id)) SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN z.rank <= 20 THEN 0 ELSE 1 END, CASE WHEN z.rank <= 20 THEN blend END DESC NULLS LAST, z.rank) AS rank FROM z JOIN f USING (query_id, id)")
 def sonic_tail(spark: SparkSession, d: str) -> DataFrame:
-    """Blend, one row per label and pair of ids, greedy diversity, head by the genre; held against a plain loop in the tests."""
-    from ..operators.scan import Guard
-    from .catalogue import _FUSED
-
+    """Blend, one row per key of a label, pool cap, greedy diversity, head by the genre."""
     lib = library(spark, d)
     pool = top(lib, asked(lib), 1250, _FUSED, standard=True, guard=Guard(lambda ids, labels: labels * 1_000_003 + ids // 5))
     return rank.sonic_tail(pool, lib, rank.centroids(lib), 15)

@@ -300,3 +300,42 @@ def output_fields(spark: SparkSession, d: str) -> DataFrame:
     """quoted links and four decimals."""
     return songs(spark, d).select("row", F.round(F.col("size") / F.lit(7.0), 4).alias("size"), F.concat(F.lit("https://x/search/"), text.url_quoted(F.concat_ws(" ", "title", "artist"))).alias("link"))
 
+
+
+@query()
+def title_variants(spark: SparkSession, d: str) -> DataFrame:
+    """PF10, F7: songs whose title is a variant of a seed's; no SQL (sequence matcher), held against plain code in the tests."""
+    s = songs(spark, d).select("row", text.bench_key(text.ascii_fold("title")).alias("t"))
+    asked = s.where(F.col("row") % 500 == 0).select(F.col("t").alias("seed")).distinct()
+    return s.join(asked, text.same_title(F.col("seed"), F.col("t"))).select("row", "seed")
+
+
+@query("SELECT event_id, ord, title, artist FROM (SELECT event_id, unnest([{'ord': 0, 'title': event_type, 'artist': 'u' || user_id}, {'ord': 1, 'title': 'solo ' || event_id, 'artist': NULL}, {'ord': 2, 'title': 'a b', 'artist': event_type}], recursive := true) FROM events WHERE event_id % 7 = 0)")
+def parsed_seeds(spark: SparkSession, d: str) -> DataFrame:
+    """SC3, UD5: seeds out of texts by the table function, in SQL."""
+    from ..functions.register import register
+
+    register(spark)
+    k = F.col("event_id")
+    t = F.concat(F.col("event_type"), F.lit(" - u"), F.col("user_id").cast("string"), F.lit("; solo "), k.cast("string"), F.lit("\n# no\na b | "), F.col("event_type"))
+    read(spark, d, "events").where(k % 7 == 0).select("event_id", t.alias("said")).createOrReplaceTempView("_texts")
+    return spark.sql("SELECT event_id, s.ord, s.title, s.artist FROM _texts, LATERAL split_seeds(said) s")
+
+
+@query("WITH n AS (SELECT part, count(*) n FROM (SELECT p_partkey % 20 part FROM part) GROUP BY 1) SELECT 'f' || part path, CASE part % 4 WHEN 0 THEN 'fetch' WHEN 1 THEN 'conflict' ELSE 'keep' END state FROM n UNION ALL SELECT 'other', 'extra'")
+def inbox_state(spark: SparkSession, d: str) -> DataFrame:
+    """SK9, SK13: two folders of files compared by the bytes."""
+    from ..sources import store
+
+    p = read(spark, d, "part").select((F.col("p_partkey") % 20).alias("k")).distinct()
+    content = F.concat(F.lit("body "), F.col("k").cast("string"))
+    a, b = scratch(spark, "remote"), scratch(spark, "local")
+    for at, rows in ((a, p.withColumn("c", content)), (b, p.where("k % 4 <> 0").withColumn("c", F.when(F.col("k") % 4 == 1, "other").otherwise(content)))):
+        rows.repartition("k").write.partitionBy("k").text(at)
+
+    def hashes(at: str) -> DataFrame:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(at)
+        return files.select(F.concat(F.lit("f"), F.regexp_extract("path", r"k=(\d+)/", 1)).alias("path"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+
+    extra = spark.createDataFrame([("other", 1, "x")], "path string, size long, sha256 string")
+    return store.inbox_state(hashes(a), hashes(b).unionByName(extra))
