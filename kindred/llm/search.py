@@ -6,8 +6,9 @@ order, the term frequencies of common ones (a twentieth of its documents or more
 and for each block of BLOCK documents and common term the largest weight of the block.  A
 block's bound for a query is the sum of the block's maxima plus the best sum of rare postings
 in it; the bounds of many queries are one matrix product.  The blocks of the highest bounds
-are scored first and give a k-th best score to start from, then every block whose bound
-reaches the k-th best score.  Products are in single precision with a proven margin; documents
+are scored first and give a k-th best score to start from.  Then blocks follow in document order: the
+pivot is the next one whose bound reaches the k-th best score so far, all before it are skipped, and
+what a stretch of blocks finds raises that score for the next.  Products are in single precision with a proven margin; documents
 that may be among the k best are scored again in double precision, so the result is exact.
 Document counts, lengths and term frequencies are global, which makes scores of all shards
 comparable: the shards' k best merge into the k best.
@@ -41,6 +42,8 @@ K1, BETA, BLOCK = 1.2, 0.75, 32
 SHARD, BLOCK_TERMS = 8_000, 2_000_000
 #: Documents indexed, queries looked up and common terms held as columns at a time: bound a task's memory.
 PIECE, GROUP, COLUMNS = 10_000, 256, 1_024
+#: Blocks between two looks at the k-th best scores.
+STRIDE = 32
 #: Relative error of a single-precision sum of COLUMNS products at most, with room; half a unit of the rounding, with room.
 SLACK, HALF = 1e-4, 2e-6
 
@@ -127,24 +130,31 @@ class Index:
             if len(some) >= k:
                 low = (self.dense[some] @ q[i]) * (1 - SLACK) + rare[i, some] - HALF
                 floor[i] = max(0.0, np.partition(low, -k)[-k])
-        live = (bound >= floor[:, None]) & (bound > HALF)
-        found = []
-        for b in np.flatnonzero(live.any(0)):
-            i, here = np.flatnonzero(live[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
-            high = (q[i] @ self.dense[here].T) * (1 + SLACK) + rare[i, here] + HALF
-            x, y = np.nonzero((high >= floor[i, None]) & (high > HALF))
-            found.append((i[x], y + b * BLOCK, high[x, y]))
-        if not found:
-            return
+        for a in range(0, self.blocks, STRIDE):  # pivots, in document order: the blocks that can still reach a query's k-th best score
+            z = min(a + STRIDE, self.blocks)
+            live = (bound[:, a:z] >= floor[:, None]) & (bound[:, a:z] > HALF)
+            found = []
+            for b in np.flatnonzero(live.any(0)) + a:
+                i, here = np.flatnonzero(live[:, b - a]), slice(b * BLOCK, (b + 1) * BLOCK)
+                high = (q[i] @ self.dense[here].T) * (1 + SLACK) + rare[i, here] + HALF
+                x, y = np.nonzero((high >= floor[i, None]) & (high > HALF))
+                found.append((i[x], y + b * BLOCK, high[x, y]))
+            if found:
+                self._taken(asked, rare, found, k, best, floor)
+
+    def _taken(self, asked: list, rare: np.ndarray, found: list, k: int, best: list, floor: np.ndarray) -> None:
+        """Scores what was found exactly, and raises the k-th best scores that later blocks have to reach."""
         who, doc, high = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.argsort(who, kind="stable")
-        doc, high, at = doc[order], high[order], np.searchsorted(who[order], np.arange(n + 1))
+        doc, high, at = doc[order], high[order], np.searchsorted(who[order], np.arange(len(asked) + 1))
         for i in np.flatnonzero(np.diff(at)):
             d, u = doc[at[i] : at[i + 1]], high[at[i] : at[i + 1]]
             low = np.concatenate((u * (1 - 2.1 * SLACK) - 2.1 * HALF, best[i][1]))
             if len(low) >= k:
                 d = d[u >= np.partition(low, -k)[-k]]
             best[i] = self._exact(asked[i], rare[i], d, k, *best[i])
+            if len(best[i][1]) >= k:
+                floor[i] = max(floor[i], best[i][1][k - 1])
 
     def _exact(self, asked: tuple[np.ndarray, np.ndarray], rare: np.ndarray, doc: np.ndarray, k: int, ids: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         c = self.column[asked[0]]
