@@ -171,27 +171,16 @@ def _row() -> F.Column:
 
 def _calibrated(rows: DataFrame, rounds: int = 40) -> list[tuple[float, ...]]:
     """Weights of (z1, 1), (z2, 1) and (z1, z2, 1) by Newton steps whose sums run over all rows (z1, z2, y)."""
-    inputs = [("z1",), ("z2",), ("z1", "z2")]
-    prior = [np.array([1.0, 0.0]), np.array([1.0, 0.0]), np.array([0.5, 0.5, 0.0])]
+    inputs, prior = [(0, 2), (1, 2), (0, 1, 2)], [np.array([1.0, 0.0]), np.array([1.0, 0.0]), np.array([0.5, 0.5, 0.0])]
     best, least, step = [p.copy() for p in prior], [np.inf] * 3, [np.zeros(len(p)) for p in prior]
     for _ in range(rounds):
-        tried, sums = [w - d for w, d in zip(best, step, strict=True)], []
-        for k, (names, w) in enumerate(zip(inputs, tried, strict=True)):
-            x = [*(F.col(n) for n in names), F.lit(1.0)]
-            odds = sum((c * float(v) for c, v in zip(x, w, strict=True)), F.lit(0.0))
-            p = 1 / (1 + F.exp(-odds))
-            terms = {"loss": F.greatest(odds, F.lit(0.0)) + F.log1p(F.exp(-F.abs(odds))) - odds * F.col("y")}
-            terms |= {f"g{i}": (p - F.col("y")) * c for i, c in enumerate(x)}
-            terms |= {f"h{i}_{j}": p * (1 - p) * a * b for i, a in enumerate(x) for j, b in enumerate(x)}
-            sums += [F.coalesce(F.sum(t), F.lit(0.0)).alias(f"{k}_{name}") for name, t in terms.items()]
-        told, moved = rows.agg(*sums).first(), 0.0
-        for k, w in enumerate(tried):
-            d, off = range(len(w)), w - prior[k]
-            loss = told[f"{k}_loss"] + 0.5 * float(off @ off)
+        tried, moved = [w - d for w, d in zip(best, step, strict=True)], 0.0
+        for k, (w, (loss, g, h)) in enumerate(zip(tried, _moments(rows, inputs, tried), strict=True)):
+            off = w - prior[k]
+            loss += 0.5 * float(off @ off)
             if loss <= least[k] + 1e-12:
                 best[k], least[k] = w, loss
-                g = np.array([told[f"{k}_g{i}"] for i in d]) + off
-                step[k] = np.linalg.solve(np.array([[told[f"{k}_h{i}_{j}"] for j in d] for i in d]) + np.eye(len(w)), g)
+                step[k] = np.linalg.solve(h + np.eye(len(w)), g + off)
             else:  # too far: half the step, from where it was best
                 step[k] = step[k] / 2
             moved = max(moved, float(np.abs(step[k]).max()))
@@ -200,6 +189,33 @@ def _calibrated(rows: DataFrame, rounds: int = 40) -> list[tuple[float, ...]]:
     return [tuple(float(v) for v in w) for w in best]
 
 
+def _moments(rows: DataFrame, inputs: list[tuple[int, ...]], weights: list[np.ndarray]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """(loss, gradient, Hessian) of each logistic model over the columns it has of (z1, z2, 1), summed where the rows are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(sum(1 + len(w) + len(w) ** 2 for w in weights))
+        for b in batches:
+            z = np.stack((b.column(0).to_numpy(), b.column(1).to_numpy(), np.ones(b.num_rows)), axis=1)
+            y, parts = b.column(2).to_numpy(), []
+            for at, w in zip(inputs, weights, strict=True):
+                x = z[:, list(at)]
+                odds = x @ w
+                p = 1 / (1 + np.exp(-np.clip(odds, -700, 700)))
+                parts += [[(np.logaddexp(0, odds) - odds * y).sum()], (p - y) @ x, ((x * (p * (1 - p))[:, None]).T @ x).ravel()]
+            total += np.concatenate(parts)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["k", "x"])
+
+    flat = np.zeros(sum(1 + len(w) + len(w) ** 2 for w in weights))
+    for r in rows.select("z1", "z2", "y").mapInArrow(run, "k long, x double").groupBy("k").agg(F.sum("x").alias("x")).collect():  # a few numbers
+        flat[r.k] = r.x
+    out, at = [], 0
+    for w in weights:
+        d = len(w)
+        out.append((float(flat[at]), flat[at + 1 : at + 1 + d], flat[at + 1 + d : at + 1 + d + d * d].reshape(d, d)))
+        at += 1 + d + d * d
+    return out
+
+
 def fitted(docs: DataFrame, labels: DataFrame, *, meta=("source", "lang", "n_chars"), target: str = "quality", fit_rows: int = FIT_ROWS, give: int = GIVE, rounds: int = ROUNDS, keep: float = KEEP) -> tuple[Model, DataFrame | None]:
     """The model, and (doc_id, row, z1, z2) of all documents, None where nothing could be learned."""
     told = labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull()).groupBy("doc_id").agg(F.max(target).cast("long").alias("_y"))
