@@ -17,8 +17,8 @@ anchors are equal, which leaves a fortieth of all suffixes.
      are repeats.
   3. each document's repeats are joined to its text, and what is left is returned.
 
-Nothing is kept of a document but its text in one shuffle by id, which all three steps share.
-Anchors of one partition that have equal contexts are combined before they are shuffled.
+Texts are shuffled once, by id, which the second and third step share; anchors are found where the
+texts are read.  Anchors of one partition that have equal contexts are combined before they are shuffled.
 
 Defined results: null is empty; texts shorter than `size` keep all bytes; rows that share an id and
 have different texts are documents of their own, one after the other in the order of a hash of the
@@ -388,11 +388,14 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc, text, sub, removed, removed -> doc, text, removed begins and ends."""
+    """doc, text, sub, removed as packed numbers, removed as structs -> doc, text, removed begins and ends."""
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     for b in batches:
         spans = []
         for sub, one, two in zip(*(b.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
-            runs = np.frombuffer((one or b"") + (two or b""), np.int64).reshape(-1, 2)
+            runs = np.frombuffer(one or b"", np.int64).reshape(-1, 2)
+            if two:
+                runs = np.concatenate((runs, [(r["a"], r["b"]) for r in two]))
             runs = runs[runs[:, 0] >> PLACE == sub] & INSIDE
             if len(runs):
                 runs = runs[np.argsort(runs[:, 0], kind="stable")]
@@ -400,12 +403,11 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 spans.append([{"start": s, "end": e} for s, e in zip(a.tolist(), z.tolist(), strict=True)])
             else:
                 spans.append([])
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spans, kind)], ["doc_id", "text", "removed"])
 
 
-def repeated_spans(docs: DataFrame, *, size: int = SIZE, gram: int = GRAM, stretch: int = STRETCH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text as bytes, removed: byte ranges start..end to leave out) per row."""
+def _with_runs(docs: DataFrame, size: int, gram: int, stretch: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc, text, sub, one, two): every row with the runs that both steps found.  A stage has one Python pass, so that a core has one worker."""
     n = shuffle_parts(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), text.alias("text"))
@@ -414,27 +416,35 @@ def repeated_spans(docs: DataFrame, *, size: int = SIZE, gram: int = GRAM, stret
     several = said.groupBy("doc").agg(F.array_sort(F.collect_set("h")).alias("hashes")).where(F.size("hashes") > 1)
     several = written(several, "several")
     place = F.coalesce(F.array_position("hashes", F.xxhash64("text")) - 1, F.lit(0).cast("long")).cast("int")
-    texts = rows.repartition(n, "doc")
-    texts = texts.join(several, "doc", "left").select("doc", "text", F.greatest(place, F.lit(0)).alias("sub"))
-    # filters on ids or requests are left to the functions: pushed below it, they would make another shuffle of texts
-    found = texts.mapInArrow(_anchor_rows(size, gram, stretch), ROWS).repartition(n, "key").mapInArrow(_first_contexts(size), FOUND)
-    packed = found.repartition(n, "doc").mapInArrow(_by_document, PACKED)
+    numbered = lambda t: t.join(several, "doc", "left").select("doc", "text", F.greatest(place, F.lit(0)).alias("sub"))
+    # 1. anchors, where the texts are read
+    found = numbered(rows).mapInArrow(_anchor_rows(size, gram, stretch), ROWS).repartition(n, "key").mapInArrow(_first_contexts(size), FOUND)
+    packed = written(found.repartition(n, "doc").mapInArrow(_by_document, PACKED), "anchors")
+    # 2. contexts that are asked for; filters on requests are left to the function: pushed below it, they would make another shuffle of texts
+    texts = numbered(rows.repartition(n, "doc"))
     asked = packed.where(F.octet_length("wanted") > 0).select("doc", "wanted").hint("shuffle_hash")
     contexts = texts.join(asked, "doc", "left").select("doc", "text", "sub", "wanted").mapInArrow(_context_rows(size), CONTEXTS)
-    more = contexts.repartition(n, "key").mapInArrow(_resolve(size), FOUND).repartition(n, "doc").mapInArrow(_by_document, PACKED)
+    more = contexts.repartition(n, "key").mapInArrow(_resolve(size), FOUND).repartition(n, "doc")
+    # 3. the runs of both steps
     one = packed.select("doc", F.col("removed").alias("one")).hint("shuffle_hash")
-    two = more.select("doc", F.col("removed").alias("two")).hint("shuffle_hash")
-    joined = texts.join(one, "doc", "left").join(two, "doc", "left").select("doc", "text", "sub", "one", "two")
-    return joined.mapInArrow(_kept, "doc_id long, text binary, removed array<struct<start:long,end:long>>")
+    two = more.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("two")).hint("shuffle_hash")
+    return texts.join(one, "doc", "left").join(two, "doc", "left").select("doc", "text", "sub", "one", "two")
+
+
+def repeated_spans(docs: DataFrame, *, size: int = SIZE, gram: int = GRAM, stretch: int = STRETCH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text as bytes, removed: byte ranges start..end to leave out) per row."""
+    return _with_runs(docs, size, gram, stretch, id_col, text_col).mapInArrow(_kept, "doc_id long, text binary, removed array<struct<start:long,end:long>>")
 
 
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest_columns(repeated_spans(table(spark, sf_dir, "documents")))
+    return digests(table(spark, sf_dir, "documents"))
 
 
-def digest_columns(found: DataFrame) -> DataFrame:
+def digests(docs: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """The contract's columns of repeated_spans, in its last pass."""
+
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _kept(batches):
             n, gone, spans, sha = [], [], [], []
             for raw, cut in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 h, at = hashlib.sha256(), 0
@@ -446,4 +456,4 @@ def digest_columns(found: DataFrame) -> DataFrame:
                 gone.append(sum(s["end"] - s["start"] for s in cut))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())], [x.split()[0] for x in RESULT.split(", ")])
 
-    return found.mapInArrow(digest, RESULT)
+    return _with_runs(docs, SIZE, GRAM, stretch, "doc_id", "text").mapInArrow(digest, RESULT)

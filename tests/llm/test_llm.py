@@ -199,7 +199,7 @@ def test_op5_rows(spark, tmp_path):
     whole = lambda t: (len(t.encode()), 0, 0, hashlib.sha256(t.encode()).hexdigest())
     assert got == sorted(((i, *(whole(t or "") if i is None else at[i, t or ""])) for i, t in rows), key=repr)
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    many = substrings.digest_columns(substrings.repeated_spans(docs, stretch=300))
+    many = substrings.digests(docs, stretch=300)
     assert sorted((tuple(r) for r in many.collect()), key=repr) == got
     docs.where("false").write.parquet(f"{tmp_path}/none/documents.parquet")
     assert substrings.op5_substrings(spark, f"{tmp_path}/none").count() == 0
