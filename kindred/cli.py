@@ -40,6 +40,7 @@ def parser() -> argparse.ArgumentParser:
 
 
 def main(argv: list[str] | None = None, spark=None) -> int:
+    """UI1."""
     told = parser().parse_args(argv)
     if told.command == "queries":
         from kindred.plans import catalogue

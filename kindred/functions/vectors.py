@@ -15,6 +15,7 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def norm(a: Column) -> Column:
+    """length; the other scalar functions are Spark's own."""
     return F.sqrt(dot(a, a))
 
 

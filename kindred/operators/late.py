@@ -132,3 +132,27 @@ def fit_frames(v: Column, size: int) -> Column:
     """The middle `size` entries of a longer array; a shorter one is followed by zeros."""
     n = F.size(v)
     return F.when(n >= size, F.slice(v, (F.floor((n - size) / 2) + 1).cast("int"), F.lit(size))).otherwise(F.concat(v, F.array_repeat(F.lit(0.0), F.lit(size) - n)))
+
+
+def mel_target(spec: pd.Series, rate: float = 22050.0) -> pd.Series:
+    """Arrays [mels][frames] of log energies -> ten numbers: shares of seven bands, deviation and 10-95 % range of the level, centroid in kHz."""
+    edges = np.array([20, 60, 250, 500, 2000, 4000, 6000, 20000.0])
+    out = []
+    for s in spec:
+        x = np.array([np.asarray(r, float) for r in s])
+        hz = _mel_centres(len(x), rate / 2)
+        energy = np.exp(x)
+        band = np.array([energy[m].mean() if m.any() else 0.0 for m in ((hz >= a) & (hz < b) for a, b in zip(edges[:-1], edges[1:], strict=True))])
+        level = x.mean(axis=0)
+        low, high = np.percentile(level, (10, 95))
+        centroid = (hz[:, None] * energy).sum(axis=0).mean() / (energy.sum(axis=0).mean() + 1e-9)
+        out.append([*(band / (band.sum() + 1e-9)), level.std(), high - low, centroid / 1000])
+    return pd.Series(out)
+
+
+def _mel_centres(n: int, top: float) -> np.ndarray:
+    """n frequencies that are evenly spaced in mels (linear to 1 kHz, then logarithmic: 27 steps for a factor of 6.4)."""
+    step = np.log(6.4) / 27
+    to_mel = lambda f: f * 3 / 200 if f < 1000 else 15 + np.log(f / 1000) / step
+    m = np.linspace(0, to_mel(top), n)
+    return np.where(m < 15, m * 200 / 3, 1000 * np.exp(step * (np.maximum(m, 15) - 15)))

@@ -13,7 +13,7 @@ from .scan import matrix
 
 
 def standardized(df: DataFrame, features: list[str], weights: dict[str, float] | None = None) -> DataFrame:
-    """V1: (x - mean) / population deviation (1 where constant), times the root of the weight; as column v."""
+    """V1, PF1: (x - mean) / population deviation (1 where constant), times the root of the weight; as column v."""
     stats = df.agg(*[F.avg(f).alias(f"m_{f}") for f in features], *[F.stddev_pop(f).alias(f"s_{f}") for f in features])
     w = weights or {}
     scaled = [(F.col(f) - F.col(f"m_{f}")) / F.when(F.col(f"s_{f}") == 0, 1.0).otherwise(F.col(f"s_{f}")) * float(np.sqrt(max(w.get(f, 1.0), 0))) for f in features]

@@ -129,7 +129,7 @@ def top(
     guard: Guard | None = None,
     adjust: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray] | None = None,
 ) -> DataFrame:
-    """library (id, label, v, ...), queries (query_id, label, v) -> query_id, query_label, rank, id, label, score.
+    """J9, V8, V9, V11, T1, T8, PF4, PF5: library (id, label, v, ...), queries (query_id, label, v) -> query_id, query_label, rank, id, label, score.
 
     standard: views are blended as z-scores over the whole library (also over rows that the
     exclusions drop later).  adjust(scores[rows, queries], ids, labels, query labels) changes rounded

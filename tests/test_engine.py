@@ -322,3 +322,59 @@ def test_artists_that_match(spark):
 def test_pool_union_keeps_the_first(spark):
     parts = [spark.createDataFrame([(1, "a"), (2, "a")], "id long, x string"), spark.createDataFrame([(2, "b"), (3, "b")], "id long, x string")]
     assert sorted(tuple(r) for r in rank.keyed_union(parts, "id").collect()) == [(1, "a"), (2, "a"), (3, "b")]
+
+
+def test_answers_of_services(spark, tmp_path):
+    from kindred.sources import services
+
+    def put(folder, **files):
+        (tmp_path / folder).mkdir(exist_ok=True)
+        for name, body in files.items():
+            (tmp_path / folder / f"{name.replace('_', '-')}.json").write_text(body if isinstance(body, str) else json.dumps(body))
+        return str(tmp_path / folder)
+
+    song = {"id": 1, "title": "Lamp", "preview": "", "artist": {"id": 9, "name": "A"}}
+    at = put("cat", a={"data": [song, {"id": None, "title": "x"}]}, b={"data": [song | {"title": "Late"}, {"id": 2, "title": "Quay"}]}, c={"error": {"code": 4, "message": "quota"}}, d="{", artist_7={"data": [{"id": 8, "name": "n"}]})
+    assert sorted(tuple(r) for r in services.catalogue_tracks(spark, at).collect()) == [(1, "Lamp", "A", 9, None), (2, "Quay", "", None, None)]
+    assert sorted((r.path[-6:], r.again) for r in services.refused(spark, at).collect()) == [("c.json", True), ("d.json", False)] or sorted((r.path.rsplit("/", 1)[1], r.again) for r in services.refused(spark, at).collect()) == [("c.json", True), ("d.json", False)]
+    assert [tuple(r) for r in services.related_artists(spark, at).collect()] == [(7, 8)]
+    t = {"id": "x", "name": "S", "uri": "u", "artists": [{"id": "1", "name": "A"}, {"id": "2", "name": None}, {"id": "3", "name": "B"}]}
+    pages = {"0": {"items": [{"track": t}], "next": "http://h/?offset=50"}, "50": {"items": [t, {"id": None}], "next": "http://h/?offset=100"}}
+    (tmp_path / "lib").mkdir()
+    for name, body in pages.items():
+        (tmp_path / "lib" / f"{name}.json").write_text(json.dumps(body))
+    assert [tuple(r) for r in services.library_tracks(spark, str(tmp_path / "lib")).collect()] == [("x", "S", "A, B", "A")]
+    assert [r.next for r in services.open_pages(spark, str(tmp_path / "lib")).collect()] == ["http://h/?offset=100"]
+    at = put("sim", a={"similartracks": {"track": [{"name": "T", "match": "0.5", "artist": {"name": "A"}}, {"name": "U", "match": "?"}, {"name": ""}]}}, b={"error": 6, "message": "none"})
+    assert sorted(tuple(r)[1:] for r in services.similar_tracks(spark, at).collect()) == [("T", "A", 0.5), ("U", "", 0.0)]
+    at = put("truth", t={"rows": [{"title": "T", "artist": "A", "listenbrainz": ["B", "C"], "deezer": []}]})
+    assert sorted((r.source, r.query_id, r.artist) for r in services.truth(spark, f"{at}/t.json").collect()) == [("listenbrainz", 0, "B"), ("listenbrainz", 0, "C")]
+
+
+def test_files_and_figures(spark, tmp_path):
+    import base64
+    import hashlib
+    import wave
+
+    from kindred.sources import services
+
+    x = (np.sin(np.arange(800) / 5) * 30000).astype("<i2")
+    with wave.open(str(tmp_path / "a.wav"), "wb") as w:
+        w.setnchannels(2), w.setsampwidth(2), w.setframerate(8000)
+        w.writeframes(np.stack((x, x), axis=1).tobytes())
+    (tmp_path / "b.wav").write_bytes(b"RIFF")
+    rows = {r.path[-5:]: r for r in services.waveforms(spark, str(tmp_path), 0.05).collect()}
+    assert rows["a.wav"].rate == 8000 and np.allclose(rows["a.wav"].samples, x[:400] / 32768) and rows["b.wav"].samples is None and rows["b.wav"].problem
+    tracks = spark.createDataFrame([(k, f"u{k}") for k in range(1, 251)], "position long, uri string")
+    assert [(r.batch, len(r.uris), r.uris[0]) for r in services.playlist_requests(tracks).orderBy("batch").collect()] == [(0, 100, "u1"), (1, 100, "u101"), (2, 50, "u201")]
+    pts = spark.createDataFrame([(float(k), 2.0 * k, "s") for k in range(100)] + [(None, 1.0, "s")], "x double, y double, s string")
+    got = services.figure_points(pts, "x", "y", "s", 10).collect()
+    assert len(got) == 10 and sum(r.n for r in got) == 100 and all(abs(r.y - 2 * r.x) < 1e-9 for r in got)
+    files = spark.createDataFrame([("a", "hello\n"), ("b", "x"), ("c", "y")], "path string, content string")
+    blob = lambda b: hashlib.sha1(f"blob {len(b)}\0".encode() + b).hexdigest()
+    index = spark.createDataFrame([("a", blob(b"hello\n")), ("b", blob(b"other")), ("d", "0")], "path string, blob string")
+    assert sorted(tuple(r) for r in services.provenance_problems(files, index).collect()) == [("b", "changed"), ("c", "not in the index"), ("d", "missing")]
+    want = base64.urlsafe_b64encode(hashlib.sha256(b"verifier").digest()).rstrip(b"=").decode()
+    assert spark.range(1).select(services.challenge(F.lit("verifier"))).first()[0] == want
+    flat = late.mel_target(pd.Series([np.zeros((32, 9)).tolist()]))[0]
+    assert len(flat) == 10 and abs(sum(flat[:7]) - 1) < 1e-6 and flat[7] == flat[8] == 0
