@@ -65,19 +65,21 @@ def r6(c):
 
 @query("WITH {S}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s WHERE label <> query_label) SELECT query_id, rank, id, score FROM r WHERE rank <= 10")
 def knn_cosine(spark: SparkSession, d: str) -> DataFrame:
+    """J9, V8, T8, PF5: the ten nearest rows of other labels."""
     lib = library(spark, d)
     return top(lib, asked(lib), 10, not_label=True).select("query_id", "rank", "id", "score")
 
 
 @query("WITH {E}, s AS (SELECT query_id, id, round(1 / (1 + list_distance(v, qv)), 6) score FROM e, q WHERE id <> query_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) SELECT query_id, rank, id, score FROM r WHERE rank <= 10")
 def knn_euclid_score(spark: SparkSession, d: str) -> DataFrame:
+    """V2, J9."""
     lib = library(spark, d)
     return top(lib, asked(lib), 10, [View("euclid")]).select("query_id", "rank", "id", "score")
 
 
 @query("WITH {FEAT}, m AS (SELECT " + ", ".join(f"avg({x}) m{x}, stddev_pop({x}) s{x}" for x in FEATURES) + " FROM f), z AS (SELECT id, " + ", ".join(f"({x} - m{x}) / CASE WHEN s{x} = 0 THEN 1 ELSE s{x} END * sqrt({w}) z{x}" for x, w in zip(FEATURES, (1.5, 1, 1, 1, 1.5, 1))) + " FROM f, m), p AS (SELECT " + ", ".join(f"avg(z{x}) p{x}" for x in FEATURES) + " FROM z WHERE id % 100 = 0), s AS (SELECT id, round(1 / (1 + sqrt(" + " + ".join(f"pow(z{x} - p{x}, 2)" for x in FEATURES) + ")), 6) score FROM z, p WHERE id % 100 <> 0) SELECT row_number() OVER (ORDER BY score DESC, id) AS rank, id, score FROM s QUALIFY rank <= 20")
 def content_profile(spark: SparkSession, d: str) -> DataFrame:
-    """V1, V2, V20, PF4: rows nearest to the centroid of a profile, the profile's own rows left out."""
+    """V1, V2, V20, PF1, PF4: rows nearest to the centroid of a profile, the profile's own rows left out."""
     z = linear.standardized(features(spark, d), FEATURES, {"a": 1.5, "g": 1.5})
     mine = F.col("id") % 100 == 0
     centre = z.agg(*[F.avg(F.when(mine, F.get("v", F.lit(k)))).alias(f"p{k}") for k in range(len(FEATURES))])
@@ -89,6 +91,7 @@ def content_profile(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH {FEAT}, u AS (UNPIVOT f ON a, b, c, d, g, h INTO NAME feature VALUE x) SELECT feature, round(min(x), 6) low, round(avg(x), 6) mean, round(max(x), 6) high, round(stddev_samp(x), 6) dev, (SELECT min(id) FROM u w WHERE w.feature = u.feature AND w.x = max(u.x)) top_id FROM u GROUP BY feature")
 def feature_stats(spark: SparkSession, d: str) -> DataFrame:
+    """A1."""
     s = linear.feature_stats(features(spark, d), FEATURES, "id")
     return s.select("feature", *[r6(F.col(c)).alias(c) for c in ("low", "mean", "high", "dev")], "top_id")
 
@@ -117,13 +120,14 @@ _CENT = ", m AS (SELECT label, i, avg(v[i]) x, count(*) n FROM e, generate_serie
 
 @query("WITH {E}" + _CENT + " SELECT label, n, i - 1 AS pos, round(m[i] / len, 6) x FROM c, generate_series(1, 64) t(i) WHERE n >= 3")
 def centroids(spark: SparkSession, d: str) -> DataFrame:
+    """V14."""
     c = rank.centroids(library(spark, d), 3)
     return c.select("label", "n", F.posexplode("v").alias("pos", "x")).select("label", "n", F.col("pos").cast("long").alias("pos"), r6(F.col("x")).alias("x"))
 
 
 @query("WITH {S}" + _CENT + ", p AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 50), g AS (SELECT p.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, p.id) old, list_cosine_similarity(a.m, b.m) genre FROM p JOIN c a ON a.label = p.query_label JOIN c b ON b.label = p.label), h AS (SELECT *, round(0.75 * (score - min(score) OVER k) / (max(score) OVER k - min(score) OVER k + 1e-9) + 0.25 * (genre - min(genre) OVER k) / (max(genre) OVER k - min(genre) OVER k + 1e-9), 6) blend FROM g WINDOW k AS (PARTITION BY query_id)) SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN old <= 20 THEN 0 ELSE 1 END, CASE WHEN old <= 20 THEN blend END DESC NULLS LAST, old) AS rank, blend FROM h")
 def centroid_rerank(spark: SparkSession, d: str) -> DataFrame:
-    """The first 20 re-sorted by a blend with the label centroids' similarity."""
+    """The first 20 re-sorted by a blend with the label centroids' similarity."""
     lib = library(spark, d)
     c = rank.centroids(lib).select("label", "v")
     pool = top(lib, asked(lib), 50)
@@ -297,6 +301,7 @@ def _jaccard(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH " + _TAGS + " SELECT query_id, id, round(jac, 6) jaccard FROM j WHERE jac >= 0.5")
 def tag_jaccard(spark: SparkSession, d: str) -> DataFrame:
+    """J11, F8."""
     return _jaccard(spark, d).where(F.col("jac") >= 0.5).select("query_id", "id", r6(F.col("jac")).alias("jaccard"))
 
 
@@ -541,7 +546,7 @@ def column_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH {E} SELECT id, round(list_dot_product(v, v), 6) norm2, round(v[1] / (sqrt(list_dot_product(v, v)) + 1e-9), 6) first, round(list_max(v), 6) AS most, len(v) n FROM e")
 def vector_functions(spark: SparkSession, d: str) -> DataFrame:
-    """V5, F10."""
+    """V5, F9, F10."""
     v = F.col("v")
     return library(spark, d).select("id", r6(V.dot(v, v)).alias("norm2"), r6(F.get(V.unit(v), F.lit(0))).alias("first"), r6(F.array_max(v)).alias("most"), F.size(v).cast("long").alias("n"))
 
@@ -578,4 +583,4 @@ def grouping_sets(spark: SparkSession, d: str) -> DataFrame:
     return l.rollup("flag", "status").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"))
 
 
-from . import reports, songs  # noqa: E402, F401  they register their queries
+from . import files, reports, songs  # noqa: E402, F401  they register their queries
