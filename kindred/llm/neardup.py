@@ -10,10 +10,12 @@ documents stay connected.  The candidate groups that result are then searched ex
 full sets of the whole texts: pairs of equal or larger similarity than asked are links, and the
 components of the links are returned.
 
-Texts with equal sets are one node from the start.  Keys and candidate groups of more than CELL
-rows are dealt into blocks, and every pair of blocks is a task of its own, so that no task holds
-more than 2 * CELL rows of a group and no pair is lost.  A pair of similarity 0.8 has
-Binomial(80, 0.2) different symbols: more than 31 with a probability of 3e-5.
+Texts with equal sets are one node from the start.  Keys and candidate groups of more than CELL rows
+are dealt into blocks.  Rows are compared inside blocks first, where a few hubs that are in every block
+tie them together; then rows that are not connected yet meet across blocks.  No task holds more than
+about 2 * CELL rows of a group, no pair of different components is left out, and a group that hangs
+together is not sent again for every pair of its blocks.  A pair of similarity 0.8 has Binomial(80, 0.2)
+different symbols: more than 31 with a probability of 3e-5.
 
 Defined results: null or wordless texts have an empty set and are linked with nothing; fewer
 words than a shingle make one shingle of the whole sequence; ids are expected to be unique:
@@ -38,8 +40,8 @@ from .components import components
 
 SYMBOLS, CHUNKS, LIMIT = 80, 16, 31
 WIDTH = SYMBOLS // CHUNKS
-#: Rows of one key or candidate group in a block.
-CELL = 2048
+#: Rows of one key or candidate group in a block, and rows of a large one that are in all its blocks, about.
+CELL, HUBS = 2048, 16
 _rng = np.random.Generator(np.random.PCG64(20))
 FACTORS = _rng.integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -123,16 +125,54 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(node, SYMBOLS)), pa.array(slot)], ["key", "node", "slot"])
 
 
-def in_blocks(rows: DataFrame, group: str, sizes: DataFrame, most: int = CELL) -> DataFrame:
-    """rows with `cell`, an id of (group, pair of blocks); groups above `most` rows have several blocks.
+def blocks_of(rows: DataFrame, group: str, sizes: DataFrame, most: int) -> DataFrame:
+    """rows with `cell`: groups above `most` rows are dealt into blocks, and about HUBS of their rows are in every block.
 
     sizes: (group, n).  Groups of one row are dropped.
     """
     n_blocks = F.ceil(F.col("n") / most).cast("int")
-    dealt = rows.join(sizes.where(F.col("n") > 1).select(group, n_blocks.alias("_k")), group)
-    mine = F.pmod(F.xxhash64("node", F.lit(11)), F.col("_k")).cast("int")
-    with_each = F.transform(F.sequence(F.lit(0), F.col("_k") - 1), lambda o: F.xxhash64(group, F.least(o, mine), F.greatest(o, mine)))
-    return dealt.withColumn("cell", F.explode(F.when(F.col("_k") == 1, F.array(F.xxhash64(group, F.lit(0), F.lit(0)))).otherwise(with_each))).drop("_k")
+    dealt = rows.join(sizes.where(F.col("n") > 1).select(group, "n", n_blocks.alias("_k")), group)
+    mine = F.pmod(F.xxhash64("node", group, F.lit(11)), F.col("_k")).cast("int")
+    hub = (F.col("_k") > 1) & (F.pmod(F.xxhash64("node", F.lit(13)), F.col("n")) < HUBS)
+    blocks = F.when(hub, F.sequence(F.lit(0), F.col("_k") - 1)).otherwise(F.array(mine))
+    return dealt.withColumn("cell", F.explode(F.transform(blocks, lambda o: F.xxhash64(group, o)))).drop("_k", "n")
+
+
+def pairs_of_blocks(rows: DataFrame, group: str, sizes: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """rows of groups above `most` with `cell`, such that rows of one group with different labels meet in a cell.
+
+    labels: (node, component); a node without one is its own.  A group's most frequent label is its main
+    part; the rest, which is small where a group hangs together, is dealt into blocks; every block of the
+    main part and of the rest meets every block of the rest, so the main part's rows are sent once for
+    each block of the rest, and are never compared with each other again.
+    """
+    big = sizes.where(F.col("n") > most).select(group)
+    told = rows.join(big, group).join(labels.select("node", F.col("component").alias("_c")), "node", "left").withColumn("_l", F.coalesce("_c", "node")).drop("_c")
+    per = told.groupBy(group, "_l").agg(F.count("*").alias("_n"))
+    main = per.groupBy(group).agg(F.max_by("_l", F.struct("_n", "_l")).alias("_main"), F.max("_n").alias("_m"), (F.sum("_n") - F.max("_n")).alias("_r"))
+    told = told.join(main.where("_r > 0"), group)
+    first, rest = F.ceil(F.col("_m") / most).cast("int"), F.ceil(F.col("_r") / most).cast("int")
+    inside = F.col("_l") == F.col("_main")
+    mine = F.pmod(F.xxhash64("node", F.lit(11)), F.when(inside, first).otherwise(rest)).cast("int")
+    each = lambda n, f: F.transform(F.sequence(F.lit(0), n - 1), f)
+    with_main = F.when(inside, each(rest, lambda o: F.xxhash64(group, F.lit(1), mine, o))).otherwise(each(first, lambda o: F.xxhash64(group, F.lit(1), o, mine)))
+    with_rest = F.when(inside, F.array().cast("array<bigint>")).otherwise(each(rest, lambda o: F.xxhash64(group, F.lit(2), F.least(o, mine), F.greatest(o, mine))))
+    return told.withColumn("cell", F.explode(F.concat(with_main, with_rest))).drop("_l", "_main", "_m", "_r")
+
+
+def linked(rows: DataFrame, group: str, compare, most: int) -> DataFrame:
+    """Links (a, b) that connect all rows of a group that compare() finds near; no task holds more than about 2 * most rows of a group.
+
+    compare(rows with cell) -> links.  Rows of a large group are compared inside blocks first, to which hubs
+    tie them; then only rows that are not connected yet meet across blocks.
+    """
+    sizes = written(rows.groupBy(group).agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    first = compare(blocks_of(rows, group, sizes, most))
+    if sizes.where(F.col("n") > most).isEmpty():
+        return first
+    first = written(first, "links")
+    second = compare(pairs_of_blocks(rows, group, sizes, components(first), most))
+    return first.unionByName(second)
 
 
 def by_cell(df: DataFrame, parts: int) -> DataFrame:
@@ -291,7 +331,7 @@ def _sieved(texts: DataFrame, groups: DataFrame) -> DataFrame:
     return texts.where(may("node"))
 
 
-def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", cell: int = CELL) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of docs."""
     spark = docs.sparkSession
     parts = shuffle_parts(spark)
@@ -302,17 +342,20 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, id_col
     nodes = written(nodes, "nodes")
     # 1. candidate links: the multi-index join of signatures
     keys = nodes.select("node", "signature").mapInArrow(_keys, "key long, node long, slot int")
-    counts = keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    rows = in_blocks(keys, "key", counts).select("cell", "node", "slot")
-    rows = rows.join(nodes.select("node", "signature"), "node").select("cell", "node", "slot", "signature")
-    maybe = by_cell(rows, parts).mapInArrow(_near_signatures, "a long, b long")
-    groups = components(maybe)
+    signed = nodes.select("node", "signature")
+
+    def near(rows: DataFrame) -> DataFrame:
+        rows = rows.select("cell", "node", "slot").join(signed, "node").select("cell", "node", "slot", "signature")
+        return by_cell(rows, parts).mapInArrow(_near_signatures, "a long, b long")
+
+    groups = components(linked(keys, "key", near, cell))
     # 2. exact links: the candidate groups on their full sets
-    sizes = groups.groupBy("component").agg(F.count("*").alias("n"))
-    cells = in_blocks(groups, "component", sizes).select("node", "cell")
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
-    found = by_cell(_sieved(texts, groups).join(cells, "node").select("cell", "node", "text"), parts).mapInArrow(_confirm(size, percent), "a long, b long")
-    exact = components(found)
+
+    def alike(rows: DataFrame) -> DataFrame:
+        return by_cell(_sieved(texts, groups).join(rows.select("node", "cell"), "node").select("cell", "node", "text"), parts).mapInArrow(_confirm(size, percent), "a long, b long")
+
+    exact = components(linked(groups, "component", alike, cell))
     # 3. every row gets its set's component
     label = nodes.join(exact, "node", "left").select(*same, F.coalesce("component", "node").alias("component_id"))
     out = prof.join(label, same, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -224,12 +224,27 @@ def test_near_duplicates(spark, docs, size):
     assert got == brute.groups(pairs(), size)
 
 
-def test_near_duplicates_in_blocks(spark, docs, monkeypatch):
-    monkeypatch.setattr(neardup.in_blocks, "__defaults__", (3,))  # groups above three rows are dealt into blocks
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs, size=2).collect()}
+@pytest.mark.parametrize("hubs", [16, 0])
+def test_near_duplicates_in_blocks(spark, docs, monkeypatch, hubs):
+    """Groups above three rows are dealt into blocks; without hubs all links between blocks are left to the second round."""
+    monkeypatch.setattr(neardup, "HUBS", hubs)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs, size=2, cell=3).collect()}
     assert got == brute.groups(pairs(), 2)
 
 
+def test_near_duplicates_of_a_chain(spark):
+    """A chain of texts of which only neighbours are links, in many blocks; repeated rows, no ids."""
+    words = [f"w{i}" for i in range(400)]
+    chain = [(k, " ".join(words[4 * k : 4 * k + 60])) for k in range(80)]
+    rows = chain + [chain[5], (None, chain[6][1]), (None, None), (500, "")]
+    random.Random(1).shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for cell in (2048, 7):
+        got = collections.Counter((r.doc_id, r.component_id) for r in neardup.near_duplicates(df, size=2, cell=cell).collect())
+        want = collections.Counter((i, 0) for i, _ in chain) + collections.Counter({(5, 0): 1, (None, 0): 1, (None, None): 1, (500, 500): 1})
+        assert got == want
+
+
 def test_components(spark):
     links = spark.createDataFrame([(5, 4), (4, 3), (9, 8), (3, 2), (7, 7), (None, 1)], "a long, b long")
     assert {r.node: r.component for r in components.components(links).collect()} == {2: 2, 3: 2, 4: 2, 5: 2, 8: 8, 9: 8}
