@@ -390,6 +390,13 @@ def search_ranked(spark: SparkSession, d: str) -> DataFrame:
     return resolve.search(c, "ring", 25).select("class", "row", "title", "artist")
 
 
+@query("WITH c AS (SELECT p_partkey AS row, lower(p_name) title, lower(p_brand) artist FROM part), k AS (SELECT *, CASE WHEN title = 'ring 2' THEN 0 WHEN starts_with(title, 'ring 2') THEN 1 WHEN contains(title, 'ring 2') THEN 2 WHEN contains(title || ' ' || artist, 'ring 2') THEN 3 WHEN contains(title || ' ' || artist, 'ring') AND contains(title || ' ' || artist, '2') THEN 4 END AS class FROM c) SELECT class::BIGINT AS class, row, title, artist FROM (SELECT * FROM k WHERE class IS NOT NULL QUALIFY row_number() OVER (PARTITION BY title, artist ORDER BY class, length(title), row) = 1) ORDER BY class, length(title), row LIMIT 60")
+def search_words(spark: SparkSession, d: str) -> DataFrame:
+    """T7, the class of all words in any order."""
+    c = read(spark, d, "part").select(F.col("p_partkey").alias("row"), F.lower("p_name").alias("title"), F.lower("p_brand").alias("artist"))
+    return resolve.search(c, "ring 2", 60).select("class", "row", "title", "artist")
+
+
 _SEEDS = [(0, "small ring", "brand#2"), (1, "red widget", None), (2, "ring", None), (3, "no such thing", None), (4, "small ring", "nobody")]
 
 
