@@ -133,6 +133,23 @@ def test_langid_takes_words_whole(spark):
     assert langid.predict(docs.where("false"), model).count() == 0
 
 
+def test_op1_rows(spark, tmp_path):
+    """The registered query: every row once, repeats and nulls too, held out by the id alone, good on what it has not seen."""
+    import zlib
+
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    more = spark.createDataFrame([(3, None, "en"), (None, "12 34", None), (None, "", "fr")], "doc_id long, text string, lang string")
+    both = d.union(d.where("doc_id < 5")).union(more).withColumn("score", F.lit("x"))
+    both.write.parquet(f"{tmp_path}/documents.parquet")
+    got = langid.op1_langid(spark, str(tmp_path)).collect()
+    assert collections.Counter(r.doc_id for r in got) == collections.Counter(r.doc_id for r in both.collect())
+    assert all(r.held_out == (zlib.crc32(str("" if r.doc_id is None else r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 for r in got)
+    said = {r.doc_id: r.lang for r in d.collect()}
+    seen = [(said[r.doc_id], r.lang_pred) for r in got if r.held_out and said.get(r.doc_id) and r.lang_pred != "und"]
+    assert len(seen) > 20 and sum(a == b for a, b in seen) >= 0.98 * len(seen)
+    assert {r.lang_pred for r in got if r.doc_id is None} == {"und"}
+
+
 def test_langid_held_out_accuracy(spark):
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = langid.predict(d, langid.fit(d.where(~held_out(F.col("doc_id")))), carry=("doc_id", "lang")).where(held_out(F.col("doc_id"))).collect()
@@ -243,6 +260,7 @@ def test_near_duplicates_of_a_chain(spark):
         got = collections.Counter((r.doc_id, r.component_id) for r in neardup.near_duplicates(df, size=2, cell=cell).collect())
         want = collections.Counter((i, 0) for i, _ in chain) + collections.Counter({(5, 0): 1, (None, 0): 1, (None, None): 1, (500, 500): 1})
         assert got == want
+    assert neardup.near_duplicates(df.where("false")).count() == 0
 
 
 def test_components(spark):
@@ -258,6 +276,7 @@ def test_decontamination(spark, docs):
         got = decontam.digest_columns(decontam.contamination(docs, bench, block_words=block)).collect()
         assert {r.doc_id: tuple(r)[1:] for r in got} == want
     assert decontam.digest_columns(decontam.contamination(docs, bench.where("false"))).where("contaminated").count() == 0
+    assert decontam.contamination(docs.where("false"), bench).count() == 0 == decontam.contamination(docs.where("false"), bench, block_words=5).count()
 
 
 def test_search(spark, docs):
