@@ -1,4 +1,4 @@
-"""Retrieval and clustering metrics."""
+"""Retrieval and clustering metrics, reports and audits."""
 
 from __future__ import annotations
 

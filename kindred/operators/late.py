@@ -1,4 +1,4 @@
-"""Late interaction, pooling and windows of ragged vector sets (V21, V24-V28, T4, SC-free)."""
+"""Late interaction, pooling, windows and signals of ragged arrays (V21-V31, T4, ST2)."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Guards, unions, re-ranking of ranked lists (T1-T7, U1-U4, V14-V17, PF4-PF6)."""
+"""Guards, unions, re-ranking of ranked lists (T1-T6, U1, U2, U4, V13-V17, PF4)."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Splits, batches and quotas by arithmetic order (A30, A31, T11, T12, TR3)."""
+"""Splits, batches, quotas and samples by arithmetic order (A30, A31, T11, T12, TR3)."""
 
 from __future__ import annotations
 

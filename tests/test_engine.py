@@ -378,3 +378,11 @@ def test_files_and_figures(spark, tmp_path):
     assert spark.range(1).select(services.challenge(F.lit("verifier"))).first()[0] == want
     flat = late.mel_target(pd.Series([np.zeros((32, 9)).tolist()]))[0]
     assert len(flat) == 10 and abs(sum(flat[:7]) - 1) < 1e-6 and flat[7] == flat[8] == 0
+
+
+def test_rows_are_numbered_in_order(spark):
+    ids = list(np.random.default_rng(3).permutation(5000))
+    df = spark.createDataFrame([(int(i), "x") for i in ids], "k long, n string").repartition(7)
+    got = {r.k: r.at for r in ingest.numbered(df, "k", "at").collect()}
+    assert got == {k: k for k in range(5000)}
+    assert ingest.numbered(df.where("false"), "k", "at").count() == 0
