@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kindred.llm import bytesops, components, decontam, langid, mixing, neardup, pii, quality, search, substrings, token_counts, warc
-from kindred.llm.common import held_out, scratch
+from kindred.llm.common import held_out, salted_join, scratch
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -263,6 +263,17 @@ def test_near_duplicates_of_a_chain(spark):
     assert neardup.near_duplicates(df.where("false")).count() == 0
 
 
+def test_salted_join_is_a_plain_join(spark):
+    """One key on most rows, null keys, keys without a partner."""
+    rows = [(k, "hot" if k % 4 else None if k % 8 == 0 else f"c{k}") for k in range(4000)]
+    df = spark.createDataFrame(rows, "id long, key string")
+    small = spark.createDataFrame([("hot", 1), ("c4", 2), ("none", 3)], "key string, x int")
+    for how in ("inner", "left"):
+        got, want = (sorted(map(tuple, t.select("id", "key", "x").collect()), key=repr) for t in (salted_join(df, small, "key", "id", how), df.join(small, "key", how)))
+        assert got == want
+    assert salted_join(df.where("false"), small, "key", "id", "left").count() == 0
+
+
 def test_components(spark):
     links = spark.createDataFrame([(5, 4), (4, 3), (9, 8), (3, 2), (7, 7), (None, 1)], "a long, b long")
     assert {r.node: r.component for r in components.components(links).collect()} == {2: 2, 3: 2, 4: 2, 5: 2, 8: 8, 9: 8}
