@@ -241,10 +241,8 @@ def test_near_duplicates(spark, docs, size):
     assert got == brute.groups(pairs(), size)
 
 
-@pytest.mark.parametrize("hubs", [16, 0])
-def test_near_duplicates_in_blocks(spark, docs, monkeypatch, hubs):
-    """Groups above three rows are dealt into blocks; without hubs all links between blocks are left to the second round."""
-    monkeypatch.setattr(neardup, "HUBS", hubs)
+def test_near_duplicates_in_blocks(spark, docs):
+    """Groups above three rows are dealt into blocks."""
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs, size=2, cell=3).collect()}
     assert got == brute.groups(pairs(), 2)
 
