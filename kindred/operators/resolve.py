@@ -1,8 +1,9 @@
 """Search and entity resolution.
 
-Catalogues have (row, title, artist) and whatever keys a look-up needs; seeds (ord, title, artist) are
-a small table by contract (one user's list or a benchmark), so what equi-joins leave over is looked for
-by containment.  Of several rows the first in the stated order is taken; ties go to the smaller row.
+Catalogues have (row, title, artist) and whatever keys a look-up needs, seeds (ord, title, artist).  Look-ups
+by containment compare the distinct keys of both sides: rows with equal keys are one class, whose best row
+answers, and seeds that ask for the same are answered once.  What equi-joins leave over is looked for by
+containment.  Of several rows the first in the stated order is taken; ties go to the smaller row.
 """
 
 from __future__ import annotations
@@ -11,6 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.storage import written
+
+#: Characters of the runs by which parts of titles are looked up.
+GRAM = 3
 
 
 def _first(df: DataFrame, *order, by: str = "ord") -> DataFrame:
@@ -38,6 +43,29 @@ def _penalty(title: Column) -> list[Column]:
     return [p["derivative"], p["size"], F.col("row")]
 
 
+def _grams(c: str) -> Column:
+    return F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (GRAM - 1)), lambda i: F.substring(F.col(c), i, F.lit(GRAM)))))
+
+
+def holders(parts: DataFrame, wholes: DataFrame) -> DataFrame:
+    """(t, title_key): all pairs of a text t of parts and a text title_key of wholes that holds it; both tables have no text twice.
+
+    A part of GRAM characters or more is looked for where its rarest run of GRAM characters is, a shorter one everywhere.
+    """
+    held = F.contains("title_key", F.col("t"))
+    posted = wholes.where(F.length("title_key") >= GRAM).select("title_key", _grams("title_key").alias("_gram"))
+    often = posted.groupBy("_gram").agg(F.count("*").alias("_n"))
+    least = parts.where(F.length("t") >= GRAM).select("t", _grams("t").alias("_gram")).join(often, "_gram", "left")
+    rarest = least.groupBy("t").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_gram")).alias("_g")).where("_g.n > 0").select("t", "_g._gram")
+    short = parts.where(F.length("t") < GRAM).join(wholes, held)
+    return rarest.join(posted, "_gram").where(held).select("t", "title_key").unionByName(short.select("t", "title_key"))
+
+
+def _asked(seeds: DataFrame, *fields: str) -> DataFrame:
+    """What the seeds ask for, once each: _k, a struct of the fields, beside them; nulls are equal in it."""
+    return seeds.select(*fields).distinct().withColumn("_k", F.struct(*fields))
+
+
 def find_songs(seeds: DataFrame, catalogue: DataFrame) -> DataFrame:
     """(ord, row): rows of the seed's title key, else rows whose title key holds it; of them those of the seed's artist, if there are any.
 
@@ -79,6 +107,12 @@ def find_row(seeds: DataFrame, catalogue: DataFrame) -> DataFrame:
     return _with_missing(seeds, done, 4)
 
 
+def _answers(seeds: DataFrame, found: DataFrame, *fields: str) -> DataFrame:
+    """(ord, stage, row): for every seed the least (stage, row) found for what it asks, (_k, stage, row)."""
+    best = found.groupBy("_k").agg(F.min(F.struct("stage", "row")).alias("_b"))
+    return _first(seeds.select("ord", F.struct(*fields).alias("_k")).join(best, "_k"), "_b").select("ord", "_b.stage", "_b.row")
+
+
 def _with_missing(seeds: DataFrame, found: DataFrame, stage: int) -> DataFrame:
     return seeds.select("ord").join(found, "ord", "left").select("ord", "row", F.coalesce("stage", F.lit(stage)).cast("long").alias("stage"))
 
@@ -95,12 +129,12 @@ def unique_row(seeds: DataFrame, catalogue: DataFrame) -> DataFrame:
 def eval_row(seeds: DataFrame, catalogue: DataFrame) -> DataFrame:
     """(ord, row, stage): title and artist; title and part of the artist; part of the title and of the artist; none."""
     held = (F.coalesce(F.length("p"), F.lit(0)) == 0) | F.contains("artist_key", F.col("p"))
-    exact = seeds.join(catalogue, (F.col("t") == F.col("title_key")) & (F.col("p") == F.col("artist_key"))).select("ord", "row", F.lit(0).alias("stage"))
-    partial = seeds.join(catalogue, F.col("t") == F.col("title_key")).where(held).select("ord", "row", F.lit(1).alias("stage"))
-    done = _first(exact.unionByName(partial), "stage", "row")
-    left = seeds.join(done, "ord", "left_anti")
-    inside = left.join(catalogue, F.contains("title_key", F.col("t"))).where(held).select("ord", "row", F.lit(2).alias("stage"))
-    return _with_missing(seeds, done.unionByName(_first(inside, "row")), 3)
+    kinds = written(catalogue.groupBy("title_key", "artist_key").agg(F.min("row").alias("row")), "kinds")
+    asked, same = _asked(seeds, "t", "p"), F.coalesce(F.col("p") == F.col("artist_key"), F.lit(False))
+    done = asked.join(kinds, F.col("t") == F.col("title_key")).where(same | held).select("_k", F.when(same, 0).otherwise(1).alias("stage"), "row")
+    left = asked.join(done, "_k", "left_anti")
+    inside = left.join(holders(left.select("t").distinct(), kinds.select("title_key").distinct()), "t").join(kinds, "title_key").where(held)
+    return _with_missing(seeds, _answers(seeds, done.unionByName(inside.select("_k", F.lit(2).alias("stage"), "row")), "t", "p"), 3)
 
 
 def artists_match(tokens: Column, other_tokens: Column, primary: Column, other_primary: Column) -> Column:
