@@ -96,15 +96,18 @@ def find_row(seeds: DataFrame, catalogue: DataFrame) -> DataFrame:
 
     seeds (ord, t, a, p: primary artist), catalogue (row, title, title_key, artist_key, full_artist).
     """
-    pair = seeds.where(F.length("p") > 0).join(catalogue, (F.col("t") == F.col("title_key")) & (F.col("p") == F.col("artist_key")))
-    named = F.coalesce(F.length("a"), F.lit(0)) > 0
-    alone = seeds.where(~named).join(catalogue, F.col("t") == F.col("title_key"))
-    done = _first(pair, *_penalty(F.col("title"))).select("ord", "row", F.lit(0).alias("stage")).unionByName(_first(alone, *_penalty(F.col("title"))).select("ord", "row", F.lit(1).alias("stage")))
-    left = seeds.join(done, "ord", "left_anti").where(F.length("t") > 0)
-    loose = left.join(catalogue, F.contains("title_key", F.col("t")) & (~named | F.contains("full_artist", F.col("a"))))
-    loose = loose.withColumn("stage", F.when(F.col("t") == F.col("title_key"), 2).otherwise(3))
-    done = done.unionByName(_first(loose, "stage", "row").select("ord", "row", "stage"))
-    return _with_missing(seeds, done, 4)
+    best = F.struct(*(c.alias(n) for c, n in zip(_penalty(F.col("title")), ("derivative", "size", "row"), strict=True)))
+    kinds = written(catalogue.groupBy("title_key", "artist_key", "full_artist").agg(F.min(best).alias("_b"), F.min("row").alias("row")), "kinds")
+    pairs = kinds.groupBy("title_key", "artist_key").agg(F.min("_b").alias("_b"))
+    titles = pairs.groupBy("title_key").agg(F.min("_b").alias("_b"))
+    asked, named = _asked(seeds, "t", "a", "p"), F.coalesce(F.length("a"), F.lit(0)) > 0
+    pair = asked.where(F.length("p") > 0).join(pairs, (F.col("t") == F.col("title_key")) & (F.col("p") == F.col("artist_key")))
+    alone = asked.where(~named).join(titles, F.col("t") == F.col("title_key"))
+    done = pair.select("_k", F.lit(0).alias("stage"), "_b.row").unionByName(alone.select("_k", F.lit(1).alias("stage"), "_b.row"))
+    left = asked.join(done, "_k", "left_anti").where(F.length("t") > 0)
+    loose = left.join(holders(left.select("t").distinct(), titles.select("title_key")), "t").join(kinds, "title_key").where(~named | F.contains("full_artist", F.col("a")))
+    loose = loose.select("_k", F.when(F.col("t") == F.col("title_key"), 2).otherwise(3).alias("stage"), "row")
+    return _with_missing(seeds, _answers(seeds, done.unionByName(loose), "t", "a", "p"), 4)
 
 
 def _answers(seeds: DataFrame, found: DataFrame, *fields: str) -> DataFrame:
