@@ -72,11 +72,15 @@ def find_songs(seeds: DataFrame, catalogue: DataFrame) -> DataFrame:
     seeds (ord, t, a), catalogue (row, title_key, artist_key, full_artist); a null or empty artist narrows nothing.
     """
     own = (F.length("a") > 0) & (F.contains("artist_key", F.col("a")) | F.contains("full_artist", F.col("a")))
-    exact = seeds.join(catalogue, F.col("t") == F.col("title_key"))
-    left = seeds.join(exact.select("ord").distinct(), "ord", "left_anti")
-    inside = left.join(catalogue, F.contains("title_key", F.col("t")))
-    found = exact.unionByName(inside).withColumn("_own", F.coalesce(own, F.lit(False)))
-    return _first(found, F.desc("_own"), "row").select("ord", "row")
+    kinds = written(catalogue.groupBy("title_key", "artist_key", "full_artist").agg(F.min("row").alias("row")), "kinds")
+    titles, asked = kinds.select("title_key").distinct(), _asked(seeds, "t", "a")
+    exact = asked.select("t").distinct().join(titles, F.col("t") == F.col("title_key"))
+    inside = holders(asked.select("t").distinct().join(exact, "t", "left_anti"), titles)
+    found = exact.withColumn("_exact", F.lit(True)).unionByName(inside.withColumn("_exact", F.lit(False)))
+    found = asked.join(found, "t").join(kinds, "title_key")
+    best = found.groupBy("_k", "_exact").agg(F.min(F.struct(~F.coalesce(own, F.lit(False)).alias("other"), "row")).alias("_b"))
+    answers = seeds.select("ord", F.struct("t", "a").alias("_k")).join(best, "_k")
+    return _first(answers, F.desc("_exact"), "_b").select("ord", "_b.row")
 
 
 def resolve_profile(seeds: DataFrame, catalogue: DataFrame) -> tuple[DataFrame, DataFrame]:
