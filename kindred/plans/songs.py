@@ -145,9 +145,15 @@ def junk_variants(spark: SparkSession, d: str) -> DataFrame:
 @query("WITH " + LIB + """, s AS (SELECT title seed FROM lib WHERE "row" % 500 = 0), x AS (SELECT "row", trim(regexp_replace(lower(title), '\\s+', ' ', 'g')) r, trim(regexp_replace(lower(seed), '\\s+', ' ', 'g')) s FROM lib, s) SELECT "row", s seed FROM x WHERE s <> '' AND r <> '' AND (contains(r, s) OR (contains(s, r) AND r <> s)) GROUP BY ALL""")
 def mashups(spark: SparkSession, d: str) -> DataFrame:
     """PF11: songs against a stated set of seeds."""
-    lib = songs(spark, d).select("row", text.ascii_fold("title").alias("r"))
-    s = songs(spark, d).where(F.col("row") % 500 == 0).select(text.ascii_fold("title").alias("s")).distinct()
-    return lib.join(s, text.mashup(F.col("s"), F.col("r"))).select("row", text.collapsed(F.col("s")).alias("seed")).distinct()
+    lib = songs(spark, d).select("row", text.collapsed(text.ascii_fold("title")).alias("r")).distinct()
+    texts = lib.select("r").distinct()
+    s = songs(spark, d).where(F.col("row") % 500 == 0).select(text.collapsed(text.ascii_fold("title")).alias("s")).distinct()
+    # distinct texts are compared, either inside the other
+    named = lambda df, name: df.toDF(name).where(F.length(name) > 0)
+    inside = resolve.holders(named(s, "t"), named(texts, "title_key")).toDF("s", "r")
+    around = resolve.holders(named(texts, "t"), named(s, "title_key")).toDF("r", "s")
+    pairs = inside.unionByName(around).where(text.mashup(F.col("s"), F.col("r"))).distinct()
+    return lib.join(pairs, "r").select("row", F.col("s").alias("seed")).distinct()
 
 
 _SCENE_CASE = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(x, '{w}')" for w in words) + f" THEN '{name}'" for name, words in text.SCENE_WORDS.items()) + " END"
