@@ -134,13 +134,17 @@ def missing_rates(records: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-def graded_metrics(ranked: DataFrame, relevant: DataFrame, recall_cut: int, ndcg_cut: int) -> DataFrame:
-    """(query_id, recall, mrr, ndcg) of ranked (query_id, id, rank) by relevant (query_id, id, grade > 0); queries are relevant's."""
+def graded_metrics(ranked: DataFrame, relevant: DataFrame, recall_cut: int, ndcg_cut: int, total: DataFrame | None = None) -> DataFrame:
+    """(query_id, recall, mrr, ndcg) of ranked (query_id, id, rank) by relevant (query_id, id, grade > 0); queries are relevant's.
+
+    With total (query_id, total: number of relevant rows) relevant may have only what is ranked to the cuts, or best of a query.
+    """
     r = relevant.withColumn("ideal", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("grade"), "id")))
     j = r.join(ranked.select("query_id", "id", "rank"), ["query_id", "id"], "left")
+    j = j.withColumn("total", F.count("*").over(Window.partitionBy("query_id"))) if total is None else j.join(total, "query_id")
     gain = lambda at: F.coalesce(F.sum(F.when(F.col(at) <= ndcg_cut, F.col("grade") / F.log2(F.col(at) + 1.0))), F.lit(0.0))
     return j.groupBy("query_id").agg(
-        (F.count_if(F.col("rank") <= recall_cut) / F.count("*")).alias("recall"), F.coalesce(1.0 / F.min("rank"), F.lit(0.0)).alias("mrr"), (gain("rank") / gain("ideal")).alias("ndcg"),
+        (F.count_if(F.col("rank") <= recall_cut) / F.first("total")).alias("recall"), F.coalesce(1.0 / F.min("rank"), F.lit(0.0)).alias("mrr"), (gain("rank") / gain("ideal")).alias("ndcg"),
     )
 
 
