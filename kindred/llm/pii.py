@@ -5,10 +5,9 @@ patterns miss (spelled-out addresses, phone numbers without a plus sign, keys an
 It is trained by full-batch gradient ascent on a small labelled table and decoded by Viterbi in
 numpy batches over the whole texts.
 
-Its chains are the neighbourhoods of telling words: those with a digit or `@`, and bracketed at / dot
-spellings.  Words further away than CONTEXT from every telling word are O, in the labelled table too, so
-the CRF adds no spans of plain words alone (names, numbers in words).  Chains have any length; those of
-many texts are decoded together, in batches of bounded cells.
+Every word of every text is scored and decoded.  Words that are O on every best path, by a bound over all
+labels around them, cut a text into chains between two O; those chains of many texts have any length and are
+decoded together, in batches of bounded cells, so the labels are those of one Viterbi pass over the text.
 
 Words are runs of bytes that are no ASCII white space.  Spans are in code points, ends exclusive.
 Base spans always stay; a CRF span that touches a base span is left out.
@@ -100,6 +99,11 @@ _TRIM_LEFT, _TRIM_RIGHT = "\"'<[{", "\"'>]},;:.!?#$%&*"
 _RUNS = ((re.compile("[A-Z]+"), "A"), (re.compile("[a-z]+"), "a"), (re.compile("[0-9]+"), "0"), (re.compile("[^\\x00-\\x7F]+"), "u"))
 
 
+# Words that stand beside personal data.
+CUES = frozenset(("token", "key", "secret", "password", "api", "card", "visa", "phone", "tel", "call", "email", "mail", "ip", "at", "dot"))
+_NO_HEX = re.compile("[g-z]")
+
+
 def shape(word: str) -> str:
     """Word shape: runs of capitals, letters, digits and others as A, a, 0, u."""
     for pattern, to in _RUNS:
@@ -113,7 +117,7 @@ def features(word: str) -> list[str]:
     size = "1" if n == 1 else "2" if n == 2 else "3-5" if n < 6 else "6-11" if n < 12 else "12-19" if n < 20 else "20-31" if n < 32 else "32+"
     part = "no" if not digits else "all" if digits == n else "half" if digits * 2 >= n else "some"
     low = word.lower().strip("\"'<>[]{}(),;:.!?=")
-    cue = low if low in {"token", "key", "secret", "password", "api", "card", "visa", "phone", "tel", "call", "email", "mail", "ip", "at", "dot"} else ""
+    cue = low if low in CUES else ""
     hexa = bool(re.fullmatch("[\"']?[0-9a-f]{16,}[\"'.,;]?", word))
     caps = bool(re.fullmatch("[\"']?[A-Z0-9]{16,}[\"'.,;]?", word)) and 0 < digits < n
     bare = re.sub("[^0-9.-]", "", word)
@@ -139,11 +143,16 @@ class Crf:
 
     def vectors(self, words: list[str]) -> np.ndarray:
         """[n, 4 L]: what each word adds to its own labels and to those of the word after, before and two after it."""
-        out = np.zeros((len(words), 4, len(LABELS)), np.float32)
+        out, known = np.zeros((len(words), 4, len(LABELS)), np.float32), {}
         for i, w in enumerate(words):
-            own = features(w)
-            near = own[1:4]
-            out[i] = self._sum([*own, "bias"]), self._sum([f"-1:{f}" for f in near]), self._sum([f"+1:{f}" for f in near]), self._sum([f"-2:{own[3]}"])
+            # words of lower-case letters that are neither cues nor hexadecimal differ in size only
+            plain = w.isascii() and w.isalpha() and w.islower() and w not in CUES and (len(w) < 16 or bool(_NO_HEX.search(w)))
+            own = ("plain", min(len(w), 32)) if plain else tuple(features(w))
+            row = known.get(own)
+            if row is None:
+                f = features(w)
+                row = known[own] = self._sum([*f, "bias"]), self._sum([f"-1:{x}" for x in f[1:4]]), self._sum([f"+1:{x}" for x in f[1:4]]), self._sum([f"-2:{f[3]}"])
+            out[i] = row
         return out.reshape(len(words), -1)
 
     def emissions(self, vectors: np.ndarray, cut: np.ndarray, place: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -175,15 +184,74 @@ class Crf:
         cut[1:] = (low[1:] > high[:-1]) | (text[1:] != text[:-1])  # chains that touch in a text are one
         first = np.flatnonzero(cut)
         text, begin, end = text[first], low[first], high[np.append(first[1:], len(cut)) - 1]
-        size, heads, tails = end - begin, begin == at[text], end == at[text + 1]
+        heads, tails = begin == at[text], end == at[text + 1]
         # emissions look at the two words before and the one after; words of two chains are there twice
-        wide = np.maximum(begin - 2, at[text])
+        size, wide = end - begin, np.maximum(begin - 2, at[text])
         many = np.minimum(end + 1, at[text + 1]) - wide
         place = B.ranges(wide, many)
         grid = self.emissions(vectors(place), np.concatenate(([0], np.cumsum(many))), place, at)
         start = np.concatenate(([0], np.cumsum(many)[:-1])) + begin - wide
-        tags = np.zeros(len(place), np.int64)
         inner = B.ranges(start, size)
+        return place[inner], self._chains(grid, start, size, heads, tails)[inner]
+
+    def decode_all(self, at: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places of words, their best labels) of whole texts; the words that are left out are O.
+
+        The words of text i are at[i]..at[i + 1]; vectors has what every word adds.
+        """
+        n = len(vectors)
+        if not n:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        grid = self.emissions(vectors, at, np.arange(n), at)
+        open_ = ~self.surely_none(grid, at)
+        starts = np.zeros(n + 1, bool)
+        starts[at] = True
+        place = np.flatnonzero(open_)
+        if not len(place):
+            return place, place
+        first = np.append(True, (place[1:] != place[:-1] + 1) | starts[place[1:]])
+        begin = place[first]
+        size = np.diff(np.append(np.flatnonzero(first), len(place)))
+        return place, self._chains(grid, begin, size, starts[begin], starts[begin + size])[place]
+
+    def surely_none(self, grid: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Words that are O on every best path of their text.
+
+        ahead[b] bounds how much better the best path up to a word is with label b there than with O, behind[b] how much better
+        the best path after it goes on.  The first bounds hold whatever is around: O is put for b, and B for an I after it.
+        Each round takes the bounds of the next word in, against a path that stays at O.
+        """
+        n, L, move = len(grid), len(LABELS), self.move.astype(np.float32)
+        legal, inner = LEGAL == 0, np.array([x.startswith("I-") for x in LABELS])
+        more = np.ascontiguousarray((grid - grid[:, :1]).T)
+        edge = np.zeros(n + 1, bool)
+        edge[at] = True
+        head, tail = edge[:-1], edge[1:]
+        begin = np.where(inner, -np.inf, 0).astype(np.float32)[:, None] + more
+        behind, into = np.zeros((L, n), np.float32), np.zeros((L, 1), np.float32)
+        for b in range(1, L):
+            own = b - 1 if inner[b] else b  # B of its kind, I is the next
+            into[b] = max(-np.inf if inner[b] else 0.0, (move[:, b] - move[:, 0])[legal[:, b]].max())
+            then = move[b, own + 1] - move[0, own] + max(0.0, (move[own + 1] - move[own])[legal[own + 1]].max())
+            behind[b, :-1] = np.maximum(max(0.0, (move[b] - move[0])[~inner].max()), then + more[own + 1, 1:] - more[own, 1:])
+        behind[:, tail] = 0
+        ahead = more + into
+        ahead[0] = 0
+        ahead[:, head] = begin[:, head]
+        for _ in range(ROUNDS):
+            last, gone = ahead, behind + more
+            ahead, behind = np.empty_like(last), np.empty_like(last)
+            ahead[0], behind[0] = 0, 0
+            for b in range(1, L):
+                ahead[b, 1:] = _highest(last[:, :-1], move[:, b], legal[:, b]) + (more[b, 1:] - move[0, 0])
+                behind[b, :-1] = _highest(gone[:, 1:], move[b], legal[b]) - move[0, 0]
+            ahead[:, head] = begin[:, head]
+            behind[:, tail] = 0
+        return (ahead[1:] + behind[1:]).max(axis=0) < -1e-2  # more than rounding
+
+    def _chains(self, grid: np.ndarray, start: np.ndarray, size: np.ndarray, heads: np.ndarray, tails: np.ndarray) -> np.ndarray:
+        """The best label of every row of grid that is in a chain start[i]..start[i] + size[i]; 0 elsewhere."""
+        tags = np.zeros(len(grid), np.int64)
         order = np.argsort(size, kind="stable")
         i = 0
         while i < len(order):  # chains of alike length, so that little is padding
@@ -196,7 +264,7 @@ class Crf:
                 rows = size[some] > t
                 tags[start[some][rows] + t] = found[t, rows]
             i = j
-        return place[inner], tags[inner]
+        return tags
 
     def _best(self, grid: np.ndarray, begin: np.ndarray, size: np.ndarray, head: np.ndarray, tail: np.ndarray) -> np.ndarray:
         """[n, m] labels of chains; a chain inside a text stands between two O."""
@@ -223,6 +291,14 @@ class Crf:
         return found
 
 
+def _highest(rows: np.ndarray, add: np.ndarray, which: np.ndarray) -> np.ndarray:
+    out = None
+    for k in np.flatnonzero(which).tolist():
+        x = rows[k] + add[k]
+        out = x if out is None else np.maximum(out, x, out=out)
+    return out
+
+
 def windowed(words: list[str]) -> list[list[str]]:
     """Features of each word, and the cues, shapes and sizes next to it."""
     own = [features(w) for w in words]
@@ -242,8 +318,8 @@ LEGAL = np.array([[0.0 if not b.startswith("I-") or a[2:] == b[2:] and a != "O"
 START = np.array([-1e9 if b.startswith("I-") else 0.0 for b in LABELS])
 
 
-def labelled_rows(n: int = 700, seed: int = 7) -> list[tuple[list[str], list[str]]]:
-    """The small labelled table: made-up sentences, words with their labels."""
+def labelled_rows(n: int = 700, seed: int = 7, bare: int = 0) -> list[tuple[list[str], list[str]]]:
+    """The small labelled table: made-up sentences, words with their labels; after them `bare` ones of plain words alone."""
     rng = random.Random(seed)
     digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
     letters = lambda k: "".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(k))
@@ -304,6 +380,9 @@ def labelled_rows(n: int = 700, seed: int = 7) -> list[tuple[list[str], list[str
         for _ in range(rng.randint(0, CONTEXT)):
             words.append(plain()), labels.append("O")
         rows.append((words, labels))
+    for _ in range(bare):
+        words = [plain() for _ in range(rng.randint(4, 16))]
+        rows.append((words, ["O"] * len(words)))
     return rows
 
 
@@ -361,14 +440,15 @@ _trained: dict[int, Crf] = {}
 
 def trained() -> Crf:
     if 0 not in _trained:
-        _trained[0] = train(labelled_rows())
+        _trained[0] = train(labelled_rows(bare=300))
     return _trained[0]
 
 
 _memos: dict = {}
-_TELLING_BYTES, _BRACKETS = (np.isin(np.arange(256), list(x)) for x in (b"0123456789@", b"[]()"))
 #: Cells (words, padding included) of a Viterbi batch, and bytes of text whose words are decoded together.
-VITERBI_CELLS, SLICE = 1 << 17, 1 << 19
+VITERBI_CELLS, SLICE = 1 << 17, 1 << 18
+#: Rounds of the bounds that tell which words are surely O.
+ROUNDS = 3
 
 
 def crf_spans(texts: pa.Array, model: Crf) -> list[list[tuple[int, int, str]]]:
@@ -376,7 +456,7 @@ def crf_spans(texts: pa.Array, model: Crf) -> list[list[tuple[int, int, str]]]:
     memo = _memos.get(id(model))
     if memo is None:
         _memos.clear()
-        memo = _memos[id(model)] = B.Memo(4 * len(LABELS), 16, np.float32)
+        memo = _memos[id(model)] = B.Memo(4 * len(LABELS), 18, np.float32)
     data, offsets = B.buffers(texts)
     found: list[list[tuple[int, int, str]]] = [[] for _ in range(len(offsets) - 1)]
     trim_left, trim_right = (np.isin(np.arange(256), list(x.encode())) for x in (_TRIM_LEFT, _TRIM_RIGHT))
@@ -394,8 +474,7 @@ def crf_spans(texts: pa.Array, model: Crf) -> list[list[tuple[int, int, str]]]:
             hashes = B.span_hashes(B.prefix_hashes(part), start[which], end[which])
             return memo.get(hashes, lambda rows: model.vectors([word(k) for k in which[rows].tolist()]))
 
-        telling = _telling(part, start, end, word)
-        place, tags = model.decode(telling, at, vectors)
+        place, tags = model.decode_all(at, vectors(np.arange(len(start))))
         some, tags = place[tags > 0], tags[tags > 0]
         if not len(some):
             continue
@@ -416,16 +495,6 @@ def crf_spans(texts: pa.Array, model: Crf) -> list[list[tuple[int, int, str]]]:
     return found
 
 
-def _telling(part: np.ndarray, start: np.ndarray, end: np.ndarray, word) -> np.ndarray:
-    """Places of the telling words."""
-    seen = np.concatenate(([0], np.cumsum(_TELLING_BYTES[part])))
-    held = np.concatenate(([0], np.cumsum(_BRACKETS[part])))
-    sure = seen[end] > seen[start]
-    maybe = np.flatnonzero(~sure & (held[end] > held[start]))
-    sure[[k for k in maybe.tolist() if _TELLING.search(word(k))]] = True
-    return np.flatnonzero(sure)
-
-
 def apart(spans: list[tuple[int, int, str]], base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Spans that touch none of the base spans."""
     if not spans or not base:
