@@ -85,7 +85,7 @@ def find_songs(seeds: DataFrame, catalogue: DataFrame) -> DataFrame:
 
 def resolve_profile(seeds: DataFrame, catalogue: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(ord, row) of the seeds found, the first of those that share a row, and (ord, t, a) of the others."""
-    found = find_songs(seeds, catalogue)
+    found = written(find_songs(seeds, catalogue), "found")
     return found.groupBy("row").agg(F.min("ord").alias("ord")).select("ord", "row"), seeds.join(found, "ord", "left_anti")
 
 

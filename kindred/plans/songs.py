@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import resolve
 from ..sources import ingest
-from ..sources.storage import scratch
+from ..sources.storage import scratch, written
 from .catalogue import query, read
 
 LIB = """lib AS (SELECT p_partkey AS "row", p_type scene, p_size size, p_name || CASE WHEN p_partkey % 11 = 3 THEN ' (Karaoke Version)' WHEN p_partkey % 13 = 5 THEN ' - Sped Up' WHEN p_partkey % 7 = 2 THEN ' feat. ' || p_type WHEN p_partkey % 17 = 4 THEN ' (Remastered 2011)' ELSE '' END title, p_brand || CASE WHEN p_partkey % 5 = 1 THEN ' & Brand#1' WHEN p_partkey % 5 = 2 THEN ', Guest' WHEN p_partkey % 5 = 3 THEN ' ft. Guest' ELSE '' END artist FROM part)"""
@@ -31,12 +31,20 @@ KEYS = LIB + ', keys AS (SELECT "row", title, artist, scene, ' + _MATCH.format("
 SEEDS = KEYS + """, seeds AS (SELECT "row" ord, CASE "row" // 40 % 6 WHEN 2 THEN split_part(title_key, ' ', 1) WHEN 4 THEN 'no such ' || "row" ELSE title_key END t, CASE "row" // 40 % 6 WHEN 1 THEN NULL WHEN 3 THEN 'nobody' WHEN 5 THEN 'brand' ELSE full_artist END a, CASE "row" // 40 % 6 WHEN 1 THEN '' WHEN 3 THEN 'nobody' WHEN 5 THEN 'brand' ELSE artist_key END p FROM keys WHERE "row" % 40 = 0)"""
 
 
-def keyed(spark: SparkSession, d: str) -> DataFrame:
-    s = songs(spark, d)
+def _with_keys(s: DataFrame) -> DataFrame:
     title, artist = text.ascii_fold("title"), text.ascii_fold("artist")
     return s.withColumn("title_key", text.match_key(title)).withColumn("artist_key", text.before_separators(artist)).withColumn("full_artist", artist)
 
 
+def keyed(spark: SparkSession, d: str) -> DataFrame:
+    return _with_keys(songs(spark, d))
+
+
+def keyed_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Keys of each title and artist, made once, with the first of their rows."""
+    return _with_keys(songs(spark, d).groupBy("title", "artist").agg(F.min("row").alias("row")))
+
+
 def seeds(k: DataFrame) -> DataFrame:
     kind = F.floor(F.col("row") / 40) % 6
     pick = lambda c, none: F.when(kind == 1, none).when(kind == 3, "nobody").when(kind == 5, "brand").otherwise(F.col(c))
@@ -57,8 +65,8 @@ def song_lookup(spark: SparkSession, d: str) -> DataFrame:
 @query("WITH " + SEEDS + _FIND + ', g AS (SELECT min(ord) ord, "row" FROM f GROUP BY "row") SELECT ord, "row", NULL::VARCHAR unmatched FROM g UNION ALL SELECT ord, NULL, t FROM seeds WHERE ord NOT IN (SELECT ord FROM f)')
 def profile_rows(spark: SparkSession, d: str) -> DataFrame:
     """Rows of many seeds, once each, and the seeds without any."""
-    k = keyed(spark, d)
-    found, left = resolve.resolve_profile(seeds(k), k)
+    asked = written(seeds(keyed(spark, d)), "seeds")
+    found, left = resolve.resolve_profile(asked, keyed_classes(spark, d))
     return found.select("ord", "row", F.lit(None).cast("string").alias("unmatched")).unionByName(left.select("ord", F.lit(None).cast("long").alias("row"), F.col("t").alias("unmatched")))
 
 
